@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,11 +42,43 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once an application, as ``--py-files`` would."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        path = f"{tempfile.mkdtemp(prefix='spark-')}/{package.name}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        spark.sparkContext.addPyFile(path)
+        _shipped.add(app)
+
+
 def map_texts(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Run ``work`` over Arrow batches of ``df``; ``schema`` is the DDL of what it yields."""
+    ship(df.sparkSession)
     return df.mapInArrow(work, schema)
 
 
+def filter_texts(df: DataFrame, make: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
+    """The rows of ``df`` whose text the mask keeps. ``make`` runs once a task; the mask takes up to 512 texts."""
+
+    def work(batches):
+        mask = make()
+        for batch in batches:
+            text = batch.schema.get_field_index("text")
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                yield part.filter(pa.array(mask(part.column(text).to_pylist()), pa.bool_()))
+
+    ship(df.sparkSession)
+    return df.mapInArrow(work, df.schema)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph by alternating star contraction.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import map_texts
+from sheetwise.llm.common import filter_texts, map_texts
 
 UNKNOWN = "und"
 GRAMS = (5, 4, 3, 2, 1)
@@ -134,21 +134,41 @@ def fit(labelled: DataFrame, per_language: int = 4000) -> Model:
     return Model(sorted({x.lang for x in rows}), [tuple(x) for x in rows])
 
 
+def _loader(docs: DataFrame, model: Model):
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.tables))
+
+    def load():
+        known = Model.__new__(Model)
+        known.languages, known.tables = shared.value
+        return known, _Rows(known)
+
+    return load
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every document; the score is the posterior at equal priors."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.tables))
+    load = _loader(docs, model)
 
     def work(batches):
-        m = Model.__new__(Model)
-        m.languages, m.tables = shared.value
-        rows = _Rows(m)
+        known, rows = load()
         for batch in batches:
-            found = [predict(m, rows, t.as_py()) for t in batch.column(1)]
+            found = [predict(known, rows, t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return map_texts(docs.select("doc_id", "text"), work, "doc_id bigint, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more."""
+    load = _loader(docs, model)
+
+    def make():
+        known, rows = load()
+        return lambda texts: [lang != UNKNOWN and score >= least for lang, score in (predict(known, rows, t) for t in texts)]
+
+    return filter_texts(docs, make)
+
+
 def held_out() -> F.Column:
     """True for a fifth of the ids."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))

@@ -22,8 +22,9 @@ from sheetwise.llm.common import map_texts
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-_PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
-_CACHE = 200_000
+# Latin letters that neither composition nor lower case turns into anything but letters.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
+_CACHE = 300_000
 _LONGEST_CACHED = 64
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, ends array<int>, counts array<int>"
