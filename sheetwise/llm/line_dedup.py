@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import keep
+from sheetwise.llm.common import free_name, keep
 
 MAX_RATIO = 0.05
 MIN_PAGES = 5
@@ -33,8 +33,8 @@ def _full(line) -> F.Column:
     return _trim(line) != ""
 
 
-def _dropped(docs: DataFrame, host: str, max_ratio: float, min_pages: int) -> DataFrame:
-    """Add ``line_drop`` to ``docs``: the keys of the page's boilerplate lines, null if it has none.
+def _dropped(docs: DataFrame, host: str, max_ratio: float, min_pages: int, drop: str) -> DataFrame:
+    """Add the column ``drop`` to ``docs``: the keys of the page's boilerplate lines, null if it has none.
 
     The lines come back to their page by its id and a hash of its row, so rows that repeat get the same.
     """
@@ -48,36 +48,39 @@ def _dropped(docs: DataFrame, host: str, max_ratio: float, min_pages: int) -> Da
     common = counts.join(totals, counts.host.eqNullSafe(totals.host)).where(F.col("n") > max_ratio * F.col("pages")).select(counts.host.alias("its_host"), F.col("line").alias("its_line"))
     common = keep(common, "boilerplate")
     hit = held.join(common, F.col("host").eqNullSafe(F.col("its_host")) & (F.col("line") == F.col("its_line")))
-    drops = hit.groupBy("doc_id", "row").agg(F.collect_set("line").alias("line_drop")).select(F.col("doc_id").alias("line_id"), F.col("row").alias("line_row"), "line_drop")
-    return docs.join(drops, F.col("doc_id").eqNullSafe(F.col("line_id")) & (row == F.col("line_row")), "left").drop("line_id", "line_row")
+    drops = hit.groupBy("doc_id", "row").agg(F.collect_set("line").alias(drop))
+    its_id, its_row = free_name(docs, "its_id"), free_name(docs, "its_row")
+    drops = drops.select(F.col("doc_id").alias(its_id), F.col("row").alias(its_row), drop)
+    return docs.join(drops, F.col("doc_id").eqNullSafe(F.col(its_id)) & (row == F.col(its_row)), "left").drop(its_id, its_row)
 
 
-def _kept() -> F.Column:
-    return F.filter(F.split("text", "\n"), lambda x: ~(_full(x) & F.array_contains("line_drop", _key(_trim(x)))))
+def _kept(drop: str) -> F.Column:
+    return F.filter(F.split("text", "\n"), lambda x: ~(_full(x) & F.array_contains(drop, _key(_trim(x)))))
 
 
-def _cleaned() -> F.Column:
-    return F.when(F.col("line_drop").isNull(), F.col("text")).otherwise(F.array_join(_kept(), "\n"))
+def _cleaned(drop: str) -> F.Column:
+    return F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(_kept(drop), "\n"))
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(doc_id, host, n_lines, n_dropped, text) of every row; n_lines counts the lines that aren't blank."""
     split = F.split("text", "\n")
-    return _dropped(docs.select("doc_id", host, "text"), host, max_ratio, min_pages).select(
+    return _dropped(docs.select("doc_id", host, "text"), host, max_ratio, min_pages, "line_drop").select(
         "doc_id",
         F.col(host).alias("host"),
         F.coalesce(F.size(F.filter(split, _full)), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("line_drop").isNull(), 0).otherwise(F.size(split) - F.size(_kept())).cast("long").alias("n_dropped"),
-        _cleaned().alias("text"),
+        F.when(F.col("line_drop").isNull(), 0).otherwise(F.size(split) - F.size(_kept("line_drop"))).cast("long").alias("n_dropped"),
+        _cleaned("line_drop").alias("text"),
     )
 
 
 def clean(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with the lines dropped from text; n_chars, where it exists, follows."""
-    rows = _dropped(docs, host, max_ratio, min_pages)
-    changed = {"text": _cleaned()}
+    drop = free_name(docs, "line_drop")
+    rows = _dropped(docs, host, max_ratio, min_pages, drop)
+    changed = {"text": _cleaned(drop)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("line_drop").isNull(), F.col("n_chars")).otherwise(F.length(_cleaned()).cast(docs.schema["n_chars"].dataType))
+        changed["n_chars"] = F.when(F.col(drop).isNull(), F.col("n_chars")).otherwise(F.length(_cleaned(drop)).cast(docs.schema["n_chars"].dataType))
     return rows.withColumns(changed).select(*docs.columns)
 
 

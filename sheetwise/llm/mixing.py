@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import keep
+from sheetwise.llm.common import free_name, keep
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -140,5 +140,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COP
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
     """The columns of ``docs`` and ``copy_no``: each document as often as the mix takes it."""
-    rows = _copies(_sized(docs), weights, most)
-    return rows.where("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy_no"))
+    aside = {c: f"own_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text", "source")}
+    rows = _copies(_sized(docs.withColumnsRenamed(aside)), weights, most)
+    own = [F.col(aside.get(c, c)).alias(c) for c in docs.columns]
+    return rows.where("copies > 0").select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias(free_name(docs, "copy_no")))

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from sheetwise.llm.common import connected_components, keep, map_texts, ship
+from sheetwise.llm.common import connected_components, free_name, keep, map_texts, ship
 
 SHINGLE = 3
 RADIUS = 3
@@ -224,14 +225,16 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, l
     if not nameless.take(1):
         return kept
 
+    mark, group = free_name(docs, "simhash_fp"), free_name(docs, "simhash_root")
+
     def work(batches):
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
             fps = np.array([fingerprint(t.as_py(), shingle) for t in text], np.uint64)
-            yield batch.append_column("simhash_fp", pa.array(fps.view(np.int64), pa.int64()))
+            yield batch.append_column(mark, pa.array(fps.view(np.int64), pa.int64()))
 
     ship(docs.sparkSession)
-    schema = nameless.schema.add("simhash_fp", "long")
-    alone = label.where("component_id is null").select(F.col("fp").alias("simhash_fp"), F.col("root").alias("simhash_root"))
-    rest = nameless.mapInArrow(work, schema).join(alone, "simhash_fp").dropDuplicates(["simhash_root"]).select(*docs.columns)
+    schema = StructType([*nameless.schema.fields, StructField(mark, LongType())])
+    alone = label.where("component_id is null").select(F.col("fp").alias(mark), F.col("root").alias(group))
+    rest = nameless.mapInArrow(work, schema).join(alone, mark).dropDuplicates([group]).select(*docs.columns)
     return kept.select(*docs.columns).union(rest)
