@@ -1,4 +1,716 @@
-"""All queries of the drawing-review operators and the SQL that says the same."""
+"""All queries of the drawing-review operators and the SQL that says the same.
+
+Each query takes (spark, sf_dir) and applies one operator to whole tables. Lists come out as sorted,
+joined text, so that both engines compare alike.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sheetwise.functions import geometry as G
+from sheetwise.functions import text as T
+from sheetwise.operators import batch, cells, frames, reports, standards, tiles, zones
+from sheetwise.plans import pipelines, sql
+from sheetwise.plans.fixtures import ctes, derived
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    def register(f):
+        QUERIES[name or f.__name__] = f
+        if oracle:
+            ORACLES[name or f.__name__] = oracle
+        return f
+
+    return register
+
+
+def joined(c, sep: str = ",") -> F.Column:
+    return F.array_join(F.array_sort(c), sep)
+
+
+def _parts(spark, sf):
+    return standards.clean_parts(derived(spark, sf, "parts"))
+
+
+def _notes(spark, sf):
+    return standards.clean_notes(derived(spark, sf, "notes"))
+
+
+# Sources and sinks
+
+
+@query(ctes("files") + " select folder, coalesce(try_cast(folder as int),0) as folder_no, name, row_number() over (partition by folder order by name) as pos from fx_files")
+def drawing_listing(spark: SparkSession, sf: str) -> DataFrame:
+    return batch.drawing_listing(derived(spark, sf, "files"))
+
+
+@query(
+    ctes("battery")
+    + r""", n as (select regexp_extract(name,'(?i)^(.*)_(original|review|draw_1|draw_2|vs)\.pdf$',1) as stem, lower(regexp_extract(name,'(?i)^(.*)_(original|review|draw_1|draw_2|vs)\.pdf$',2)) as r from fx_battery where regexp_matches(name,'(?i)^(.*)_(original|review|draw_1|draw_2|vs)\.pdf$')),
+ w as (select stem, count(*) filter (r='original') as original, count(*) filter (r='review') as review, count(*) filter (r='draw_1') as draw_1, count(*) filter (r='draw_2') as draw_2, count(*) filter (r='vs') as vs from n group by stem)
+ select *, case when draw_1>0 and draw_2>0 and vs>0 then 'trio' when original>0 and review>0 then 'pair' else 'incomplete' end as kind from w"""
+)
+def battery_grouping(spark, sf):
+    return batch.battery_grouping(derived(spark, sf, "battery"))
+
+
+@query(ctes("notes") + f", {sql.NOTES} select ord, standard, content, category, {sql.joined('series')} as series, {sql.joined('applicability')} as applicability from notes")
+def notes_source(spark, sf):
+    return _notes(spark, sf).select("ord", "standard", "content", "category", joined("compressor_series").alias("series"), joined("applicability").alias("applicability"))
+
+
+@query(ctes("parts") + f", {sql.PARTS} select ord, part, {sql.joined('mandatory')} as mandatory from parts")
+def parts_source(spark, sf):
+    return _parts(spark, sf).select("ord", "part", joined("mandatory").alias("mandatory"))
+
+
+@query(ctes("parts") + f", {sql.PARTS} select part, ord from parts order by ord")
+def known_parts(spark, sf):
+    return _parts(spark, sf).select("part", "ord").orderBy("ord")
+
+
+_LOG = "select call_id, modelo, try_cast(total_tokens as bigint) as total_tokens, try_cast(prompt_tokens as bigint) as prompt_tokens, try_cast(completion_tokens as bigint) as completion_tokens, try_cast(latencia_ms as double) as latencia_ms, try_cast(custo_usd as double) as custo_usd from fx_cost_log"
+
+
+@query(ctes("cost_log") + " " + _LOG)
+def cost_log_source(spark, sf):
+    return batch.cost_log(derived(spark, sf, "cost_log"))
+
+
+@query(
+    ctes("cost_log")
+    + f", l as ({_LOG}) select call_id, modelo, total_tokens, prompt_tokens, completion_tokens, printf('%.2f', latencia_ms) as latencia_ms, printf('%.6f', prompt_tokens/1e6*0.075 + completion_tokens/1e6*0.3) as custo_usd from l where latencia_ms is not null"
+)
+def cost_log_append(spark, sf):
+    return batch.cost_rows(batch.cost_log(derived(spark, sf, "cost_log")).where("latencia_ms is not null"))
+
+
+_BACK = """, f as (select *, row_number() over (partition by cad order by row_no) = 1 as one from fx_sheet) select row_no, f.cad, case when one and r.cad is not null then r.classification else f.classification end as classification,
+ case when one and r.cad is not null then r.standards else f.standards end as standards, case when one and r.cad is not null then r.erro else f.erro end as erro from f left join fx_results r on r.cad = f.cad"""
+
+
+@query(ctes("sheet", "results") + _BACK)
+def result_writeback(spark, sf):
+    return batch.result_writeback(derived(spark, sf, "sheet"), derived(spark, sf, "results"), "cad", ["classification", "standards", "erro", "latency"])
+
+
+@query(ctes("sheet", "results") + _BACK)
+def sheet_writeback(spark, sf):
+    path = f"{tiles.shared_folder(spark)}/sheet-{uuid.uuid4().hex}"
+    result_writeback(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(
+    ctes("responses")
+    + """, v as (select doc_id, json_valid(response) as ok, case when json_valid(response) then response end as r from fx_responses),
+ c as (select doc_id, ok, r->>'$.component.value' as component, try_cast(r->>'$.component.confidence' as double) as conf from v)
+ select doc_id, component, case when not ok then 'malformed' when conf > 1 then 'component: confidence' else '' end as violations from c"""
+)
+def response_ingest(spark, sf):
+    return batch.response_ingest(derived(spark, sf, "responses")).select("doc_id", F.col("answer.component.value").alias("component"), F.array_join("violations", "; ").alias("violations"))
+
+
+@query()
+def result_json_export(spark, sf):
+    return pipelines.compliance_json(derived(spark, sf, "drawings"), derived(spark, sf, "cited"), _parts(spark, sf), _notes(spark, sf))
+
+
+# Scalars
+
+
+@query(ctes("notes") + f" select ord, {sql.normalize_text('content')} as text from fx_notes")
+def normalize_text(spark, sf):
+    return derived(spark, sf, "notes").select("ord", T.normalize_text("content").alias("text"))
+
+
+@query(ctes("cited") + f" select drawing_id, ord, standard as raw, {sql.normalize_standard('standard')} as standard from fx_cited")
+def normalize_standard(spark, sf):
+    return derived(spark, sf, "cited").select("drawing_id", "ord", F.col("standard").alias("raw"), T.normalize_standard("standard").alias("standard"))
+
+
+@query(ctes("cited") + f" select drawing_id, ord, evidence, {sql.note_number('evidence')} as note_number from fx_cited")
+def extract_note_number(spark, sf):
+    return derived(spark, sf, "cited").select("drawing_id", "ord", "evidence", T.note_number("evidence").alias("note_number"))
+
+
+@query(ctes("notes") + f" select ord, {sql.joined(sql.split_list('applicability'))} as items, len({sql.split_list('applicability')}) as n from fx_notes")
+def split_list_field(spark, sf):
+    return derived(spark, sf, "notes").select("ord", joined(T.split_list("applicability")).alias("items"), F.size(T.split_list("applicability")).cast("long").alias("n"))
+
+
+@query(ctes("notes", "parts") + f" select n.ord, p.ord as part_ord, {sql.jaccard('n.content', 'p.part')} as score from fx_notes n join fx_parts p on p.ord % 10 = n.ord % 10")
+def jaccard(spark, sf):
+    n, p = derived(spark, sf, "notes"), derived(spark, sf, "parts").select(F.col("ord").alias("part_ord"), "part")
+    return n.join(p, F.col("part_ord") % 10 == F.col("ord") % 10).select("ord", "part_ord", T.jaccard("content", "part").alias("score"))
+
+
+@query(ctes("cited") + f" select drawing_id, ord, {sql.normalize_standard('standard')} as standard, standard as standard_raw, {sql.note_number('evidence')} as note_number, evidence as source_text from fx_cited")
+def cited_standards(spark, sf):
+    return standards.cited_standards(derived(spark, sf, "cited"))
+
+
+_PREFIXES = "|".join(T.STANDARD_PREFIXES)
+
+
+@query(
+    ctes("texts")
+    + rf""", d as (select distinct * from fx_texts), ln as (select drawing_id, page, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)),1) as k from d),
+ cd as (select drawing_id, page, k, line, unnest(regexp_extract_all(line,'(\b(?:{_PREFIXES})[- ]?\d[0-9A-Za-z-]*)',1)) as standard, generate_subscripts(regexp_extract_all(line,'(\b(?:{_PREFIXES})[- ]?\d[0-9A-Za-z-]*)',1),1) as j from ln),
+ f as (select *, row_number() over (partition by drawing_id, page, standard order by k, j, line) as rn from cd)
+ select drawing_id, page, row_number() over (partition by drawing_id, page order by k, j) as ord, standard, trim(line) as evidence from f where rn = 1 and (drawing_id, page) in (select drawing_id, page from fx_texts group by all having count(*) = 1)"""
+)
+def extract_cited_standards(spark, sf):
+    texts = derived(spark, sf, "texts")
+    single = texts.groupBy("drawing_id", "page").agg(F.count("*").alias("n"), F.min("text").alias("text")).where("n = 1")
+    return standards.extract_cited(single, "drawing_id", "page")
+
+
+@query(
+    ctes("cited", "texts")
+    + """, t as (select drawing_id, string_agg(text, chr(10) order by text) as text from fx_texts group by drawing_id)
+ select c.drawing_id, ord, evidence, coalesce(not contains(text, evidence), true) as not_in_text, length(evidence) > 150 as too_long from fx_cited c left join t on t.drawing_id = c.drawing_id"""
+)
+def evidence_grounding(spark, sf):
+    texts = derived(spark, sf, "texts").groupBy("drawing_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
+    return standards.ground_evidence(derived(spark, sf, "cited").select("drawing_id", "ord", "evidence"), texts, "drawing_id")
+
+
+@query(ctes("cost_log") + " select call_id, printf('%.6f', prompt_tokens::double/1e6*0.075 + completion_tokens::double/1e6*0.3) as usd from fx_cost_log")
+def token_cost(spark, sf):
+    return derived(spark, sf, "cost_log").select("call_id", T.fixed(T.token_cost(F.col("prompt_tokens").cast("double"), F.col("completion_tokens").cast("double")), 6).alias("usd"))
+
+
+@query(ctes("boxes") + " select page_id, ord, abs(x1-x0) as width, abs(y1-y0) as height, abs(x1-x0)*abs(y1-y0) as area, (x0+x1)/2 as cx, (y0+y1)/2 as cy, 100 between x0 and x1 and 90 between y0 and y1 as holds from fx_boxes")
+def bbox_metrics(spark, sf):
+    b = F.struct("x0", "y0", "x1", "y1")
+    return derived(spark, sf, "boxes").select(
+        "page_id", "ord", G.width(b).alias("width"), G.height(b).alias("height"), G.area(b).alias("area"), G.centre_x(b).alias("cx"), G.centre_y(b).alias("cy"), G.holds(b, F.lit(100.0), F.lit(90.0)).alias("holds")
+    )
+
+
+@query(ctes("boxes") + " select page_id, ord, trunc(x0*200/72)::int as tx0, trunc(y1*200/72)::int as ty1, round_even(x0*2.5,0)::int as rx0, round_even(y1*2.5,0)::int as ry1 from fx_boxes")
+def bbox_px(spark, sf):
+    return derived(spark, sf, "boxes").select(
+        "page_id", "ord", G.truncated_px(F.col("x0"), 200).alias("tx0"), G.truncated_px(F.col("y1"), 200).alias("ty1"), G.rounded_px(F.col("x0"), 2.5).alias("rx0"), G.rounded_px(F.col("y1"), 2.5).alias("ry1")
+    )
+
+
+def _px(name: str, x0: str, y0: str, x1: str, y1: str, bad: str) -> str:
+    r = lambda e: f"round_even(({e})*2.0,0)::int"
+    inner = f"select *, greatest(0,{r(x0)}) as a, greatest(0,{r(y0)}) as b, least(400,{r(x1)}) as c, least(250,{r(y1)}) as d from fx_boxes"
+    pick = lambda c, n: f"case when not ({bad}) then {c} end as {n}"
+    return ctes("boxes") + f", p as ({inner}) select page_id, ord, {pick('a', 'px0')}, {pick('b', 'py0')}, {pick('c', 'px1')}, {pick('d', 'py1')} from p"
+
+
+_IX, _IY = "greatest(0.6::double,least(3.0::double,(x1-x0)*0.05::double))", "greatest(0.6::double,least(3.0::double,(y1-y0)*0.05::double))"
+
+
+@query(_px("cell_inset", f"x0+{_IX}", f"y0+{_IY}", f"x1-{_IX}", f"y1-{_IY}", "c-a < 3 or d-b < 3"))
+def cell_inset(spark, sf):
+    return cells.cell_inset(derived(spark, sf, "boxes"), 2.0, 400, 250).select("page_id", "ord", "px0", "py0", "px1", "py1")
+
+
+@query(_px("crop_box", "x0-4", "y0-4", "x1+4", "y1+4", "c <= a or d <= b"))
+def crop_box(spark, sf):
+    return cells.crop_box(derived(spark, sf, "boxes"), 2.0, 400, 250).select("page_id", "ord", "px0", "py0", "px1", "py1")
+
+
+@query(ctes("words") + r" select page_id, bool_or(regexp_matches(text,'\d+[.,]?\d*')) as has_number, bool_or(regexp_matches(trim(text),'^[A-Z]$')) as has_letter from fx_words group by page_id")
+def cell_text_flags(spark, sf):
+    t = derived(spark, sf, "words").groupBy("page_id").agg(F.collect_list("text").alias("texts"))
+    return t.select("page_id", T.has_number("texts").alias("has_number"), T.has_letter("texts").alias("has_letter"))
+
+
+def _frames_with_texts(spark, sf):
+    strokes, words = derived(spark, sf, "strokes"), derived(spark, sf, "words")
+    f = frames.frame_nms(frames.frame_nested(frames.frame_signature_dedup(frames.frame_filter(frames.raw_frames(strokes)))))
+    return frames.frame_texts(f, words)
+
+
+@query(ctes("strokes", "words") + rf""", {sql.GDT} select page_id, ord, array_to_string(list_filter(behind, lambda t: regexp_matches(t,'\d+[.,]?\d+')), ',') as tolerances, array_to_string(list_filter(behind, lambda t: regexp_matches(t,'^[A-Z]$')), ',') as datums from ft""")
+def frame_values(spark, sf):
+    return frames.frame_values(_frames_with_texts(spark, sf)).select("page_id", "ord", F.array_join("tolerances", ",").alias("tolerances"), F.array_join("datums", ",").alias("datums"))
+
+
+_CONFIDENCE = r"""round(least(1.0, 0.5 + case when n_cells between 3 and 4 then 0.15 else 0 end + case when len(list_filter(behind, lambda t: regexp_matches(t,'\d+[.,]?\d*'))) > 0 then 0.25 else 0 end
+ + case when len(list_filter(behind, lambda t: regexp_matches(t,'^[A-Z]$'))) > 0 then 0.1 else 0 end)::double, 2)"""
+
+
+@query(ctes("strokes", "words") + f", {sql.GDT} select page_id, ord, {_CONFIDENCE} as confidence from ft join kept using (page_id, ord)")
+def frame_confidence(spark, sf):
+    return frames.frame_confidence(_frames_with_texts(spark, sf)).select("page_id", "ord", "confidence")
+
+
+@query(ctes("reports") + f", {sql.ITEMS} select doc_id, row_no, {sql.status_class('status')} as status_class from items")
+def status_class(spark, sf):
+    return reports.report_items(derived(spark, sf, "reports")).select("doc_id", "row_no", T.status_class("status").alias("status_class"))
+
+
+@query(ctes("reports") + f", {sql.MARKDOWN} select doc_id, row_no, header_no, value, case when contains(value,';') then array_to_string(list_filter(list_transform(string_split(value,';'), lambda x: trim(x)), lambda x: x <> ''),' / ') end as bullets from md")
+def report_text_clean(spark, sf):
+    return reports.clean_cells(derived(spark, sf, "reports"))
+
+
+@query(ctes("cited") + " select drawing_id, string_agg(standard, '; ' order by ord, standard) as codes, string_agg(evidence, chr(10) order by ord, evidence) as reasons from fx_cited group by drawing_id")
+def join_list(spark, sf):
+    t = derived(spark, sf, "cited").groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct("ord", "standard"))).alias("s"), F.array_sort(F.collect_list(F.struct("ord", "evidence"))).alias("e"))
+    return t.select("drawing_id", T.join_list(F.transform("s", lambda x: x["standard"])).alias("codes"), T.join_list(F.transform("e", lambda x: x["evidence"]), "\n").alias("reasons"))
+
+
+@query(ctes("drawings", "parts") + f", {sql.PARTS} select drawing_id, concat('Component: ', d.component, ' / Standards: ', coalesce(array_to_string(list_sort(mandatory), ', '), 'Nenhuma')) as prompt from fx_drawings d left join parts p on p.part = d.component")
+def prompt_column(spark, sf):
+    t = derived(spark, sf, "drawings").join(_parts(spark, sf), F.col("component") == F.col("part"), "left")
+    codes = T.listed(F.coalesce(F.array_sort("mandatory"), F.array().cast("array<string>")))
+    return t.select("drawing_id", T.fill_prompt("Component: {{component}} / Standards: {{codes}}", {"component": F.col("component"), "codes": codes}).alias("prompt"))
+
+
+_VERDICTS = f"""e as (select distinct drawing_id, {sql.normalize_standard('standard')} as standard from fx_expected), c as (select distinct drawing_id, {sql.normalize_standard('standard')} as standard from fx_cited),
+ verdicts as (select coalesce(e.drawing_id, c.drawing_id) as drawing_id, coalesce(e.standard, c.standard) as standard, case when e.standard is not null and c.standard is not null then 'matching' when e.standard is not null then 'missing' else 'unexpected' end as verdict
+ from e full join c on e.drawing_id = c.drawing_id and e.standard = c.standard)"""
+
+
+def _verdicts(spark, sf):
+    return standards.compare_standards(derived(spark, sf, "expected"), derived(spark, sf, "cited"))
+
+
+@query(ctes("expected", "cited") + f", {_VERDICTS} select * from verdicts")
+def compare_standards(spark, sf):
+    return _verdicts(spark, sf)
+
+
+_CONFORMITY = """select drawing_id, count(*) filter (verdict='matching') as n_matching, count(*) filter (verdict='missing') as n_missing, count(*) filter (verdict='unexpected') as n_unexpected from verdicts group by drawing_id"""
+
+
+@query(ctes("expected", "cited") + f", {_VERDICTS}, n as ({_CONFORMITY}), s as (select *, n_matching / nullif(n_matching + n_missing, 0) as conformity from n) select *, case when conformity >= 0.8 then 'satisfactory' when conformity >= 0.5 then 'partial' when conformity is not null then 'insufficient' end as band from s")
+def conformity(spark, sf):
+    return standards.conformity(_verdicts(spark, sf))
+
+
+@query(ctes("reports") + f", {sql.ZONES} select doc_id, row_no, group_no, row_a as zone_row, col_a as zone_column from zones")
+def normalize_zone_token(spark, sf):
+    return _zone_groups(spark, sf).select("doc_id", "row_no", "group_no", F.col("row_a").alias("zone_row"), F.col("col_a").alias("zone_column"))
+
+
+@query(ctes("strokes") + f", {sql.SEGMENTS} select * from segments")
+def segment_classify(spark, sf):
+    return frames.segment_classify(derived(spark, sf, "strokes"))
+
+
+@query(
+    ctes("scores")
+    + f""", {sql.RANKED}, b as (select * from rk where rn = 1) select cell_id, max(template) filter (representation='gray') as gray_best, round(max(score) filter (representation='gray'),4) as gray_score, max(template) filter (representation='binary') as binary_best,
+ round(max(score) filter (representation='binary'),4) as binary_score, max(template) filter (representation='edges') as edges_best, round(max(score) filter (representation='edges'),4) as edges_score, any_value(r.agreement) as agreement, any_value(r.accepted) as accepted from b join ranking r using (cell_id) group by cell_id"""
+)
+def representation_table(spark, sf):
+    return cells.representation_table(derived(spark, sf, "scores"))
+
+
+# Joins
+
+
+@query(
+    ctes("files")
+    + """, r as (select *, row_number() over (partition by folder order by name) as rn from fx_files), g as (select folder, count(*) as n_files, min(name) filter (contains(lower(name),'draw_1')) as a, min(name) filter (contains(lower(name),'draw_2')) as b, min(name) filter (rn=1) as n1, min(name) filter (rn=2) as n2 from r group by folder)
+ select folder, n_files, case when n_files < 2 then null when a is not null and b is not null then a else n1 end as first, case when n_files < 2 then null when a is not null and b is not null then b else n2 end as second, case when n_files < 2 then 'fewer than two drawings' end as error, n_files > 2 as extra from g"""
+)
+def drawing_pairs(spark, sf):
+    return batch.drawing_pairs(derived(spark, sf, "files"))
+
+
+@query(
+    ctes("tiles")
+    + """, c as (select pair_id, max(page) filter (rev=1) as n1, max(page) filter (rev=2) as n2 from fx_tiles group by pair_id), p as (select pair_id, page from fx_tiles group by pair_id, page having count(distinct rev) = 2) select pair_id, page, n1 <> n2 as differing from p join c using (pair_id)"""
+)
+def page_pairs(spark, sf):
+    return batch.page_pairs(derived(spark, sf, "tiles"))
+
+
+_STD = ctes("notes", "parts", "drawings") + f", {sql.NOTES}, {sql.PARTS}, {sql.BEST}"
+
+
+@query(f"{_STD} select target, part, score from best")
+def best_match(spark, sf):
+    names = derived(spark, sf, "drawings").select(F.col("component").alias("target")).where("target is not null").distinct()
+    return standards.best_match(names, _parts(spark, sf))
+
+
+@query(f"{_STD}, {sql.MANDATORY} select drawing_id, standard, reason, source from mandatory")
+def mandatory_standards(spark, sf):
+    return standards.mandatory_standards(derived(spark, sf, "drawings"), _parts(spark, sf)).select("drawing_id", "standard", "reason", "source")
+
+
+@query(f"{_STD}, {sql.COMPONENT} select drawing_id, standard, ord, open_series from component")
+def component_match(spark, sf):
+    return standards.component_match(derived(spark, sf, "drawings"), _notes(spark, sf)).select("drawing_id", "standard", "ord", "open_series")
+
+
+@query(f"{_STD}, {sql.MATERIAL} select drawing_id, standard, ord from material")
+def material_match(spark, sf):
+    return standards.material_match(derived(spark, sf, "drawings"), _notes(spark, sf)).select("drawing_id", "standard", "ord")
+
+
+_APPLICABLE = f"{_STD}, {sql.MANDATORY}, {sql.COMPONENT}, {sql.MATERIAL}, {sql.APPLICABLE}"
+
+
+def _applicable(spark, sf):
+    return standards.applicable_standards(derived(spark, sf, "drawings"), _parts(spark, sf), _notes(spark, sf))
+
+
+@query(f"{_APPLICABLE} select drawing_id, standard, reason, source from applicable", name="applicable_standards")
+@query(f"{_APPLICABLE} select drawing_id, standard, reason, source from applicable")
+def standard_first_source(spark, sf):
+    return _applicable(spark, sf).select("drawing_id", "standard", "reason", "source")
+
+
+@query(f"{_APPLICABLE} select distinct drawing_id, 'compressor_series' as field from component where open_series")
+def unresolved_fields(spark, sf):
+    return standards.unresolved(derived(spark, sf, "drawings"), _notes(spark, sf))
+
+
+@query(f"{_APPLICABLE} select drawing_id, source, count(*) as n, string_agg(standard, ', ' order by standard) as standards from applicable group by drawing_id, source")
+def source_groups(spark, sf):
+    return standards.source_groups(_applicable(spark, sf))
+
+
+_CITED = f""", fc as (select distinct drawing_id, {sql.normalize_standard('c.standard')} as standard from fx_cited c where drawing_id in (select drawing_id from fx_drawings)),
+ verdicts as (select coalesce(a.drawing_id, c.drawing_id) as drawing_id, coalesce(a.standard, c.standard) as standard, case when a.standard is not null and c.standard is not null then 'matching' when a.standard is not null then 'missing' else 'unexpected' end as verdict, a.reason
+ from applicable a full join fc c on a.drawing_id = c.drawing_id and a.standard = c.standard)"""
+_COMPLIANCE = _APPLICABLE.replace("with fx_notes", "with fx_cited as (" + ctes("cited")[len("with fx_cited as (") :] + ", fx_notes", 1) + _CITED
+
+
+@query(f"{_COMPLIANCE} select drawing_id, standard, reason from verdicts where verdict = 'missing'")
+def missing_detail(spark, sf):
+    d = derived(spark, sf, "drawings")
+    cited = derived(spark, sf, "cited").join(d.select("drawing_id").distinct(), "drawing_id", "left_semi")
+    applicable = _applicable(spark, sf)
+    return standards.missing_detail(standards.compare_standards(applicable, cited), applicable)
+
+
+@query(
+    f"""{_COMPLIANCE}, n as (select drawing_id, count(*) filter (verdict='matching') as n_matching, count(*) filter (verdict='missing') as n_missing, count(*) filter (verdict='unexpected') as n_unexpected from verdicts group by drawing_id)
+ select d.drawing_id, coalesce(d.component,'Unknown') as component, coalesce(n_matching,0) as n_matching, coalesce(n_missing,0) as n_missing, coalesce(n_unexpected,0) as n_unexpected, n_matching / nullif(n_matching+n_missing,0) as conformity,
+ case when d.drawing_id in (select drawing_id from component where open_series) then 'INCONCLUSIVE' else 'RESOLVED' end as status from fx_drawings d left join n using (drawing_id)"""
+)
+def standards_compliance(spark, sf):
+    t = pipelines.standards_compliance(derived(spark, sf, "drawings"), derived(spark, sf, "cited"), _parts(spark, sf), _notes(spark, sf))
+    return t.select("drawing_id", "component", "n_matching", "n_missing", "n_unexpected", "conformity", "status")
+
+
+_GRID = ctes("reports", "spans") + f", {sql.ZONES}, {sql.GRID}"
+_RESOLVED = f"""{_GRID}, z as (select *, row_no, doc_id as page_id, coalesce(row_b,row_a) as rb, coalesce(col_b,col_a) as cb from zones),
+ rs as (select z.page_id, z.row_no, z.group_no, least(greatest(0,ca.centre-ca.step/2),greatest(0,cc.centre-cc.step/2)) as x0, least(greatest(0,ra.centre-ra.step/2),greatest(0,rr.centre-rr.step/2)) as y0,
+ greatest(least(ca.page_w,ca.centre+ca.step/2),least(cc.page_w,cc.centre+cc.step/2)) as x1, greatest(least(ra.page_h,ra.centre+ra.step/2),least(rr.page_h,rr.centre+rr.step/2)) as y1 from z
+ join grid ra on ra.page_id=z.page_id and ra.axis='row' and ra.label=z.row_a join grid rr on rr.page_id=z.page_id and rr.axis='row' and rr.label=z.rb
+ join grid ca on ca.page_id=z.page_id and ca.axis='col' and ca.label=z.col_a join grid cc on cc.page_id=z.page_id and cc.axis='col' and cc.label=z.cb)"""
+
+
+def _zone_groups(spark, sf):
+    return reports.zone_groups(reports.report_items(derived(spark, sf, "reports")), "doc_id", "row_no")
+
+
+def _page_items(spark, sf):
+    return reports.report_items(derived(spark, sf, "reports")).withColumnRenamed("doc_id", "page_id")
+
+
+@query(f"{_RESOLVED} select page_id, row_no, group_no, x0, y0, x1, y1 from rs")
+def zone_resolve(spark, sf):
+    groups = reports.zone_groups(_page_items(spark, sf), "page_id", "row_no")
+    return reports.zone_resolve(groups, zones.grid(derived(spark, sf, "spans")), "row_no")
+
+
+_PAINTED = f"""{_RESOLVED}, bx as (select page_id, row_no, string_agg(concat(trunc(x0*200/72)::int,' ',trunc(y0*200/72)::int,' ',trunc(x1*200/72)::int,' ',trunc(y1*200/72)::int), ';' order by group_no) as boxes from rs group by page_id, row_no),
+ painted as (select i.doc_id as page_id, i.row_no, i.item, coalesce(boxes,'') as boxes, boxes is not null as resolved, (i.row_no - 1) % 6 as colour from items i left join bx on bx.page_id = i.doc_id and bx.row_no = i.row_no)"""
+
+
+def _painted(spark, sf):
+    return reports.painted_regions(_page_items(spark, sf), zones.grid(derived(spark, sf, "spans")))
+
+
+@query(f"{_PAINTED} select * from painted")
+def painted_regions(spark, sf):
+    box = lambda b: F.concat_ws(" ", b["x0"], b["y0"], b["x1"], b["y1"])
+    return _painted(spark, sf).withColumn("boxes", F.coalesce(F.array_join(F.transform("boxes", box), ";"), F.lit("")))
+
+
+@query(f"{_PAINTED} select count(*) filter (not resolved) as unresolved, count(*) as total from painted")
+def unresolved_items(spark, sf):
+    return reports.unresolved_items(_painted(spark, sf))
+
+
+@query(ctes("strokes") + f""", {sql.CONNECTORS} select page_id, top_id, bottom_id, top, bottom, array_to_string(list_transform(xs, lambda x: printf('%.3f', x)), ',') as xs from connectors""")
+def frame_connectors(spark, sf):
+    seg = frames.segment_classify(derived(spark, sf, "strokes"))
+    found = frames.frame_connectors(frames.merge_segments(seg, "h"), frames.merge_segments(seg, "v"))
+    return found.select("page_id", F.col("top_id").cast("long").alias("top_id"), F.col("bottom_id").cast("long").alias("bottom_id"), "top", "bottom", _texts("xs").alias("xs"))
+
+
+def _texts(c) -> F.Column:
+    return F.array_join(F.transform(c, lambda x: F.format_string("%.3f", x)), ",")
+
+
+@query(ctes("strokes", "words") + f", {sql.GDT} select page_id, ord, cell_no, array_to_string(texts, ',') as texts from wc where texts is not null")
+def words_in_cell(spark, sf):
+    f = frames.frame_nms(frames.frame_nested(frames.frame_signature_dedup(frames.frame_filter(frames.raw_frames(derived(spark, sf, "strokes"))))))
+    t = frames.words_in_cell(frames.cells_of(f), derived(spark, sf, "words"), "ord", "cell_no")
+    return t.select("page_id", "ord", F.col("cell_no").cast("long").alias("cell_no"), F.array_join("texts", ",").alias("texts"))
+
+
+_CELLS = f"""{sql.FRAMES}, uc as (select page_id, ord, n_cells, generate_subscripts(xs[2:],1) - 1 as cell_index, unnest(xs[:-2]) as x0, y0, unnest(xs[2:]) as x1, y1 from frames),
+ u1 as (select *, row_number() over (partition by page_id, round_even(x0/0.5,0), round_even(y0/0.5,0), round_even(x1/0.5,0), round_even(y1/0.5,0) order by ord, cell_index) as rn from uc),
+ ucells as (select page_id, printf('CELL-%02d-%04d', 1, row_number() over (partition by page_id order by ord, cell_index)) as cell_id, x0, y0, x1, y1, cell_index, n_cells, cell_index = 0 as is_first from u1 where rn = 1)"""
+
+
+@query(ctes("strokes") + f", {_CELLS} select * from ucells")
+def unique_cells(spark, sf):
+    return frames.unique_cells(frames.raw_frames(derived(spark, sf, "strokes")))
+
+
+@query(ctes("strokes", "matches") + f", {_CELLS} select page_id, symbol, round(score,4) as score, scale, round(x0,2) as x0, round(y0,2) as y0, round(x1,2) as x1, round(y1,2) as y1 from fx_matches m where not exists (select 1 from ucells c where c.page_id = m.page_id and (m.x0+m.x1)/2 between c.x0-3 and c.x1+3 and (m.y0+m.y1)/2 between c.y0-3 and c.y1+3)")
+def uncovered_matches(spark, sf):
+    return cells.uncovered_matches(derived(spark, sf, "matches"), frames.unique_cells(frames.raw_frames(derived(spark, sf, "strokes"))))
+
+
+_LOCATED = """select d.page_id, d.text, d.cx, d.cy, coalesce(r.label,'?') || coalesce(c.label,'?') as zone from markers d left join limits r on r.page_id = d.page_id and r.axis = 'row' and d.cy > r.start and d.cy <= r."end"
+ left join limits c on c.page_id = d.page_id and c.axis = 'col' and d.cx > c.start and d.cx <= c."end" where d.kind = 'dimension'"""
+
+
+@query(ctes("spans") + f", {sql.LIMITS} {_LOCATED}")
+def dimension_zone(spark, sf):
+    markers = zones.zone_marker_spans(derived(spark, sf, "spans"))
+    return zones.dimension_zone(markers, zones.zone_limits(zones.zone_markers_median(markers)))
+
+
+@query(ctes("spans") + f", {sql.LIMITS} {_LOCATED}")
+def located_dimensions(spark, sf):
+    return zones.located_dimensions(derived(spark, sf, "spans"))
+
+
+@query(
+    ctes("vectors")
+    + """, u0 as (select cell_id, representation, list_transform(vec, lambda x: x::double) as v from fx_vectors), u1 as (select cell_id, representation, list_transform(v, lambda x: x - list_sum(v)/len(v)) as d from u0),
+ u as (select cell_id, representation, d, sqrt(list_inner_product(d, d)) as n from u1)
+ select c.cell_id, c.representation, concat('tpl', t.cell_id) as template, round(list_inner_product(c.d, t.d) / (c.n * t.n), 6) as score from u c join u t on t.representation = c.representation and t.cell_id < 3"""
+)
+def template_correlation(spark, sf):
+    v = derived(spark, sf, "vectors")
+    t = v.where("cell_id < 3").select(F.concat(F.lit("tpl"), "cell_id").alias("template"), "representation", "vec")
+    return cells.template_correlation(v, t).withColumn("score", F.round("score", 6))
+
+
+@query(ctes("tiles") + ", a as (select * from fx_tiles where rev=1), b as (select * from fx_tiles where rev=2) select coalesce(a.pair_id,b.pair_id) as pair_id, coalesce(a.page,b.page) as page, coalesce(a.tx,b.tx) as tx, coalesce(a.ty,b.ty) as ty from a full join b on a.pair_id=b.pair_id and a.page=b.page and a.tx=b.tx and a.ty=b.ty where coalesce(abs(a.gray-b.gray) > 15, true)")
+def page_tile_diff(spark, sf):
+    return tiles.page_tile_diff(derived(spark, sf, "tiles"))
+
+
+# Aggregations
+
+
+@query(
+    ctes("cost_log")
+    + f""", l as ({_LOG}) select count(*) filter (total_tokens is not null and custo_usd is not null and latencia_ms is not null) as calls, coalesce(sum(total_tokens),0)::bigint as tokens,
+ printf('$%.4f', coalesce(sum(custo_usd) filter (total_tokens is not null),0)) as cost, printf('%.2f', coalesce(avg(latencia_ms) filter (total_tokens is not null and custo_usd is not null),0)) as mean_latency from l"""
+)
+def cost_summary(spark, sf):
+    return batch.cost_summary(derived(spark, sf, "cost_log"))
+
+
+@query(ctes("calls") + " select drawing_id, sum(prompt_tokens)::bigint as input_tokens, sum(completion_tokens)::bigint as output_tokens, round(sum(latency_ms),2) as latency from fx_calls group by drawing_id")
+def drawing_token_totals(spark, sf):
+    return batch.drawing_token_totals(derived(spark, sf, "calls"))
+
+
+@query(ctes("calls") + " select count(*) as n_rows, count(*) filter (error is null) as classified, count(error) as errors, sum(prompt_tokens)::bigint as input_tokens, sum(completion_tokens)::bigint as output_tokens, round(avg(latency_ms),6) as mean_latency from fx_calls")
+def batch_summary(spark, sf):
+    return batch.batch_summary(derived(spark, sf, "calls"))
+
+
+@query(ctes("reports") + f", {sql.ITEMS} select {sql.status_class('status')} as status_class, count(*) as n, count(distinct doc_id) as pages from items group by 1")
+def status_summary(spark, sf):
+    return reports.status_summary(derived(spark, sf, "reports"))
+
+
+@query(ctes("scores") + f", {sql.RANKED} select template, count(*) filter (accepted) as n from (select distinct template from fx_scores) t left join ranking on best = template group by template")
+def class_counts(spark, sf):
+    s = derived(spark, sf, "scores")
+    return cells.class_counts(cells.cell_ranking(s), s)
+
+
+@query()
+def diff_regions(spark, sf):
+    return tiles.diff_regions(tiles.page_tile_diff(derived(spark, sf, "tiles")), close=0, dilate=0)
+
+
+@query()
+def changed_pages(spark, sf):
+    t = derived(spark, sf, "tiles")
+    return tiles.changed_pages(tiles.diff_regions(tiles.page_tile_diff(t), close=0, dilate=0), batch.page_pairs(t).select("pair_id", "page"))
+
+
+@query(ctes("spans") + f", {sql.LIMITS} select page_id, axis, label, centre from centres")
+def zone_markers_median(spark, sf):
+    return zones.zone_markers_median(zones.zone_marker_spans(derived(spark, sf, "spans")))
+
+
+# Ordered operators
+
+
+def _merged(axis):
+    def run(spark, sf):
+        return frames.merge_segments(frames.segment_classify(derived(spark, sf, "strokes")), axis).withColumn("at", F.round("at", 6))
+
+    return run
+
+
+for _axis in ("h", "v"):
+    query(ctes("strokes") + f", {sql.SEGMENTS}, {sql.merged(_axis)} select page_id, round(\"at\",6) as \"at\", lo, hi from {_axis}", name=f"merge_segments_{_axis}")(_merged(_axis))
+
+
+@query(ctes("strokes") + f""", {sql.FRAMES} select page_id, top, bottom, array_to_string(list_transform(xs, lambda x: printf('%.3f', x)), ',') as xs from spaced where len(xs) between 3 and 7""")
+def connector_spacing(spark, sf):
+    seg = frames.segment_classify(derived(spark, sf, "strokes"))
+    found = frames.connector_spacing(frames.frame_connectors(frames.merge_segments(seg, "h"), frames.merge_segments(seg, "v")))
+    return found.select("page_id", "top", "bottom", _texts("xs").alias("xs"))
+
+
+@query(ctes("strokes") + f", {sql.FRAMES} select page_id, ord, x0, y0, x1, y1, n_cells from frames")
+def frame_cells(spark, sf):
+    return frames.raw_frames(derived(spark, sf, "strokes")).drop("cells").withColumn("n_cells", F.col("n_cells").cast("long"))
+
+
+@query(ctes("strokes") + f", {sql.FRAMES} select page_id, ord, x0, y0, x1, y1, n_cells from ff")
+def frame_filter(spark, sf):
+    return frames.frame_filter(frames.raw_frames(derived(spark, sf, "strokes"))).drop("cells").withColumn("n_cells", F.col("n_cells").cast("long"))
+
+
+@query(ctes("boxes") + f" select * from {sql.first_of_signature('fx_boxes')}")
+def frame_signature_dedup(spark, sf):
+    return frames.frame_signature_dedup(derived(spark, sf, "boxes"))
+
+
+@query(ctes("boxes") + f" select * from {sql.renumbered(sql.nested('fx_boxes'))}")
+def frame_nested(spark, sf):
+    return frames.frame_nested(derived(spark, sf, "boxes"))
+
+
+@query(ctes("boxes") + f", nn as {sql.renumbered(sql.nested('fx_boxes'))} select * from {sql.renumbered(sql.nms('nn'))}")
+def frame_nms(spark, sf):
+    return frames.frame_nms(frames.frame_nested(derived(spark, sf, "boxes")))
+
+
+@query(ctes("boxes") + " select page_id, ord, printf('GDT-CAND-P%02d-%03d', 1, row_number() over (partition by page_id order by ord)) as frame_id from fx_boxes")
+def frame_ids(spark, sf):
+    return frames.frame_ids(derived(spark, sf, "boxes")).select("page_id", "ord", "frame_id")
+
+
+@query(ctes("scores") + f", {sql.RANKED} select cell_id, best, best_score, second, second_score, round(margin,6) as margin, agreement, accepted from ranking")
+def cell_ranking(spark, sf):
+    return cells.cell_ranking(derived(spark, sf, "scores")).withColumn("margin", F.round("margin", 6))
+
+
+@query(ctes("scores") + f", {sql.RANKED} select cell_id, accepted, case when accepted then best else '' end as label, best_score from ranking order by accepted desc, label, best_score desc, cell_id")
+def classified_order(spark, sf):
+    return cells.classified_order(cells.cell_ranking(derived(spark, sf, "scores")))
+
+
+@query(ctes("spans") + f", {sql.LIMITS} select * from limits")
+def zone_limits(spark, sf):
+    return zones.zone_limits(zones.zone_markers_median(zones.zone_marker_spans(derived(spark, sf, "spans"))))
+
+
+@query(ctes("spans") + f", {sql.LABELS} select * from labels")
+def grid_labels(spark, sf):
+    return zones.grid_labels(derived(spark, sf, "spans"))
+
+
+@query(ctes("spans") + f", {sql.MARKERS} select * from markers")
+def zone_marker_spans(spark, sf):
+    return zones.zone_marker_spans(derived(spark, sf, "spans"))
+
+
+@query(ctes("spans") + f", {sql.GRID} select page_id, axis, label, centre, step, page_w, page_h from grid")
+def grid_progression(spark, sf):
+    return zones.grid(derived(spark, sf, "spans"))
+
+
+# Parsers
+
+
+@query(ctes("reports") + f", {sql.MARKDOWN} select doc_id, row_no, header_no, header, value from md")
+def markdown_rows(spark, sf):
+    return reports.markdown_rows(derived(spark, sf, "reports"))
+
+
+@query(
+    ctes("reports")
+    + f""", {sql.MARKDOWN} select doc_id, min_by(header, pos) filter (contains(lower(header),'item')) as item_header, min_by(header, pos) filter (contains(lower(header),'localiza') or contains(lower(header),'quadrante')) as zone_header,
+ min_by(header, pos) filter (contains(lower(header),'status')) as status_header from hd group by doc_id"""
+)
+def header_lookup(spark, sf):
+    return reports.header_lookup(derived(spark, sf, "reports"))
+
+
+@query(
+    ctes("reports")
+    + """, l as (select doc_id, unnest(string_split(report, chr(10))) as line, generate_subscripts(string_split(report, chr(10)),1) as k from fx_reports), t as (select *, starts_with(trim(line),'|') and ends_with(trim(line),'|') as tab from l),
+ f as (select *, coalesce(min(k) filter (tab) over (partition by doc_id), 1000000) as first from t)
+ select doc_id, coalesce(string_agg(line, chr(10) order by k) filter (k < first),'') as before, coalesce(string_agg(line, chr(10) order by k) filter (k > first and not tab),'') as after from f group by doc_id"""
+)
+def report_preamble(spark, sf):
+    return reports.report_preamble(derived(spark, sf, "reports"))
+
+
+@query(ctes("reports") + f", {sql.ZONES} select doc_id, row_no, group_no, row_a, col_a, row_b, col_b from zones")
+def zone_groups(spark, sf):
+    return _zone_groups(spark, sf)
+
+
+# Compositions
+
+
+@query()
+def enriched_classification(spark, sf):
+    return pipelines.enriched_classification(derived(spark, sf, "responses"))
+
+
+@query(
+    ctes("files", "calls", "sheet", "results")
+    + """, d as (select distinct concat('D', folder) as cad from fx_files), t as (select drawing_id, sum(prompt_tokens)::bigint as input_tokens from fx_calls group by drawing_id)
+ select s.row_no, s.cad, case when r.cad is not null and d.cad is not null and rn = 1 then r.classification else s.classification end as classification, t.input_tokens
+ from (select *, row_number() over (partition by cad order by row_no) as rn from fx_sheet) s left join d on d.cad = s.cad left join fx_results r on r.cad = s.cad left join t on t.drawing_id = s.row_no"""
+)
+def batch_classification(spark, sf):
+    return pipelines.batch_classification(derived(spark, sf, "files"), derived(spark, sf, "calls"), derived(spark, sf, "sheet"), derived(spark, sf, "results"))
+
+
+@query()
+def revision_review(spark, sf):
+    return pipelines.revision_review(derived(spark, sf, "files"), derived(spark, sf, "tiles"), derived(spark, sf, "reports"), derived(spark, sf, "spans"))
+
+
+@query(
+    ctes("strokes", "words")
+    + f""", {sql.GDT} select page_id, printf('GDT-CAND-P%02d-%03d', 1, ord) as frame_id, x0, y0, x1, y1, n_cells, array_to_string(texts, ',') as texts, {_CONFIDENCE} as confidence from kept join ft using (page_id, ord)"""
+)
+def gdt_frames(spark, sf):
+    t = frames.gdt_frames(derived(spark, sf, "strokes"), derived(spark, sf, "words"))
+    return t.select("page_id", "frame_id", "x0", "y0", "x1", "y1", F.col("n_cells").cast("long").alias("n_cells"), F.array_join(F.flatten("texts"), ",").alias("texts"), "confidence")
+
+
+@query()
+def gdt_cells(spark, sf):
+    return pipelines.gdt_cells(derived(spark, sf, "strokes"), derived(spark, sf, "vectors"))
+
+
+@query(ctes("scores") + f", {sql.RANKED} select cell_id, best, best_score, case when accepted then 'validated' else 'rejected' end as verdict from ranking where cell_id % 4 = 1")
+def gdt_first_cell(spark, sf):
+    s = derived(spark, sf, "scores")
+    first = s.select("cell_id", (F.col("cell_id") % 4 == 1).alias("is_first")).distinct()
+    return cells.gdt_first_cell(first, s)
