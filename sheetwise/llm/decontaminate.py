@@ -34,9 +34,9 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 SHINGLE = 5
 OVERLAP = 0.8
-PART_CHARS = 2_000_000
-MAX_BLOCKS = 64
-MIN_BLOCK = 8
+PART_CHARS = 500_000
+#: Blocks of an index; so many items or fewer have a block each.
+MAX_BLOCKS = 256
 _TERM = re.compile(r"\w+")
 _LAST = re.compile(r"(.*[.!?\n])\s*(\S.*)", re.S)
 
@@ -68,7 +68,7 @@ class Index:
         self.items = [x[0] for x in items]
         self.cell = max(len(x[1]) for x in items)
         self.cell += self.cell // 4 + 1
-        size = max(MIN_BLOCK, math.ceil(len(items) / MAX_BLOCKS))
+        size = math.ceil(len(items) / MAX_BLOCKS)
         self.block_size, blocks = size, math.ceil(len(items) / size)
         weights = []
         for _, terms, _, _ in items:
@@ -86,6 +86,11 @@ class Index:
         for k, w in enumerate(self.weights):
             for t, x in w.items():
                 self.most[t, k // size] = max(self.most[t, k // size], x * (1 + 1e-6))
+        self.blocks = []
+        for b in range(blocks):
+            own = self.weights[b * size : (b + 1) * size]
+            held = np.array(sorted({t for w in own for t in w}), np.int64)
+            self.blocks.append((held, np.array([[w.get(t, 0.0) for w in own] for t in held.tolist()])))
         ids = lambda terms: [vocabulary[t] for t in terms]
         self.parts = [(shingles(ids(q)), shingles(ids(a)), shingles(ids(terms))) for _, terms, q, a in items]
 
@@ -113,15 +118,22 @@ class Index:
         follows[base[1:][cells > 0] - 1] = False  # the last cell of a document has none after it
         both = bound[:-1] + np.where(follows[:, None], bound[1:], 0)
         at = np.searchsorted(cell, np.arange(base[-1] + 1))
-        for c, block in zip(*np.nonzero(both >= threshold)):
-            d = int(np.searchsorted(base, c, side="right")) - 1
-            end = c + 1 + int(follows[c])
-            inside = set(term[at[c] : at[end]].tolist())
-            for k in range(block * self.block_size, min(len(self.items), (block + 1) * self.block_size)):
-                score = sum(x for t, x in self.weights[k].items() if t in inside)
-                if score >= threshold:
-                    a = starts[d] + (c - base[d]) * self.cell
-                    yield d, k, score, a, min(starts[d + 1], a + 2 * self.cell)
+        spots, blocks = np.nonzero(both >= threshold)
+        for b in np.unique(blocks):
+            c = spots[blocks == b]
+            first, count = at[c], at[c + 1 + follows[c]] - at[c]
+            owner = np.repeat(np.arange(len(c)), count)
+            inside = term[np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            once = np.unique(owner * self.terms + inside)  # a term of both cells of a passage counts once
+            own_terms, weights = self.blocks[b]
+            place = np.minimum(np.searchsorted(own_terms, once % self.terms), len(own_terms) - 1)
+            hit = own_terms[place] == once % self.terms
+            scores = np.zeros((len(c), weights.shape[1]))
+            np.add.at(scores, once[hit] // self.terms, weights[place[hit]])
+            for i, k in zip(*np.nonzero(scores >= threshold)):
+                d = int(np.searchsorted(base, c[i], side="right")) - 1
+                begin = starts[d] + (c[i] - base[d]) * self.cell
+                yield d, int(b * self.block_size + k), float(scores[i, k]), begin, min(starts[d + 1], begin + 2 * self.cell)
 
 
 def build(items: list[tuple], document_frequency: dict[str, int], total: int, mean_length: float) -> tuple[dict[str, int], list[Index]]:
