@@ -166,11 +166,15 @@ def words_in_cell(cells: DataFrame, words: DataFrame, *keys: str) -> DataFrame:
 
 
 def frame_texts(frames: DataFrame, words: DataFrame) -> DataFrame:
-    """Add ``texts``, the list of word lists of the frame's cells."""
-    cells = cells_of(frames)
-    found = cells.select("page_id", "ord", "cell_no").join(words_in_cell(cells, words, "ord", "cell_no"), ["page_id", "ord", "cell_no"], "left")
-    lists = found.groupBy("page_id", "ord").agg(F.array_sort(F.collect_list(F.struct("cell_no", F.coalesce("texts", F.array().cast("array<string>")).alias("texts")))).alias("cs"))
-    return frames.join(lists.select("page_id", "ord", F.transform("cs", lambda c: c["texts"]).alias("texts")), ["page_id", "ord"])
+    """Add ``texts``, the list of word lists of the frame's cells.
+
+    The words of a page meet its frames in one join on the page; frames are computed once.
+    """
+    word = F.struct(F.col("ord").alias("word_no"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), T.strip("text").alias("word"))
+    by_page = words.where(T.strip("text") != "").groupBy("page_id").agg(F.array_sort(F.collect_list(word)).alias("page_words"))
+    inside = lambda c: F.transform(F.filter("page_words", lambda w: G.holds(c, w["x"], w["y"])), lambda w: w["word"])
+    texts = F.transform("cells", lambda c: F.coalesce(inside(c), F.array().cast("array<string>")))
+    return frames.join(by_page, "page_id", "left").withColumn("texts", texts).drop("page_words")
 
 
 def _behind_first(lists):

@@ -92,26 +92,23 @@ def zone_groups(texts: DataFrame, *keys: str) -> DataFrame:
     return groups.select(*keys, "group_no", ra.alias("row_a"), ca.alias("col_a"), rb.alias("row_b"), cb.alias("col_b"))
 
 
-def zone_resolve(groups: DataFrame, grid: DataFrame, *keys: str, page: str = "page_id") -> DataFrame:
-    """(keys, page, group_no, x0, y0, x1, y1): the box of each group on its page's grid; groups with an unknown label go.
+def zone_resolve(groups: DataFrame, grid: DataFrame, *keys: str) -> DataFrame:
+    """(keys, page_id, group_no, x0, y0, x1, y1): the box of each group on its page's grid; groups with an unknown label go.
 
-    ``grid``: (page_id, axis, label, centre, step, page_w, page_h), axis ``col`` or ``row``. Four equi-joins on page and label.
+    ``grid``: (page_id, axis, label, centre, step, page_w, page_h), axis ``col`` or ``row``. A page's few
+    labels become two maps, so that groups meet the grid in one join on the page.
     """
-    out = groups.withColumns({"row_b": F.coalesce("row_b", "row_a"), "col_b": F.coalesce("col_b", "col_a")})
-    for axis in ("row", "col"):
-        for end in ("a", "b"):
-            labels = grid.where(F.col("axis") == axis).select(
-                page, F.col("label").alias(f"{axis}_{end}"), F.col("centre").alias(f"{axis}_{end}_at"), F.col("step").alias(f"{axis}_{end}_step"),
-                *((F.col("page_w"), F.col("page_h")) if (axis, end) == ("row", "a") else ()),
-            )
-            out = out.join(labels, [page, f"{axis}_{end}"])
-    low = lambda axis, end: F.greatest(F.lit(0.0), F.col(f"{axis}_{end}_at") - F.col(f"{axis}_{end}_step") / 2)
-    high = lambda axis, end, size: F.least(F.col(size), F.col(f"{axis}_{end}_at") + F.col(f"{axis}_{end}_step") / 2)
-    return out.select(
-        *keys, page, "group_no",
-        F.least(low("col", "a"), low("col", "b")).alias("x0"), F.least(low("row", "a"), low("row", "b")).alias("y0"),
-        F.greatest(high("col", "a", "page_w"), high("col", "b", "page_w")).alias("x1"), F.greatest(high("row", "a", "page_h"), high("row", "b", "page_h")).alias("y1"),
-    )
+    entry = lambda axis: F.map_from_entries(F.collect_list(F.when(F.col("axis") == axis, F.struct("label", "centre"))))
+    step = lambda axis: F.max(F.when(F.col("axis") == axis, F.col("step")))
+    pages = grid.groupBy("page_id").agg(
+        entry("row").alias("row_at"), entry("col").alias("col_at"), step("row").alias("row_step"), step("col").alias("col_step"), F.max("page_w").alias("col_size"), F.max("page_h").alias("row_size")
+    )
+    place = lambda axis, end: F.try_element_at(f"{axis}_at", F.coalesce(f"{axis}_{end}", f"{axis}_a"))
+    ends = {f"{axis}_{end}_at": place(axis, end) for axis in ("row", "col") for end in ("a", "b")}
+    found = groups.join(pages, "page_id").withColumns(ends).dropna(subset=list(ends))
+    low = lambda axis: F.least(*(F.greatest(F.lit(0.0), F.col(f"{axis}_{e}_at") - F.col(f"{axis}_step") / 2) for e in ("a", "b")))
+    high = lambda axis: F.greatest(*(F.least(F.col(f"{axis}_size"), F.col(f"{axis}_{e}_at") + F.col(f"{axis}_step") / 2) for e in ("a", "b")))
+    return found.select(*keys, "page_id", "group_no", low("col").alias("x0"), low("row").alias("y0"), high("col").alias("x1"), high("row").alias("y1"))
 
 
 COLOURS = 6

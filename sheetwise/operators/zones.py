@@ -27,16 +27,16 @@ def grid_labels(spans: DataFrame) -> DataFrame:
 
 
 def progressions(labels: DataFrame) -> DataFrame:
-    """(page_id, axis, chain, step): the longest regularly spaced chain of labels on each axis.
+    """(page_id, axis, chain, step, page_w, page_h): the longest regularly spaced chain of labels on each axis.
 
     A seed is a pair of labels more than 1 apart. The chain grows by the first unused label, in order
     of coordinate and label, within 6 % of a step from the next place; one forward fold over the sorted labels of
     the axis finds it. The longest chain wins, of equals that of the first seed.
     """
-    points = labels.select("page_id", "axis", "label", F.bround("coord", 1).alias("coord")).distinct()
-    listed = points.groupBy("page_id", "axis").agg(F.array_sort(F.collect_list(F.struct("coord", "label"))).alias("pts"))
-    one = listed.select("page_id", "axis", "pts", F.posexplode("pts").alias("i", "a"))
-    seeds = one.select("page_id", "axis", "pts", "i", "a", F.posexplode("pts").alias("j", "b")).where((F.col("j") > F.col("i")) & (F.col("b.coord") - F.col("a.coord") > 1.0))
+    point = F.struct(F.bround("coord", 1).alias("coord"), "label")
+    listed = labels.groupBy("page_id", "axis").agg(F.array_sort(F.collect_set(point)).alias("pts"), F.max("page_w").alias("page_w"), F.max("page_h").alias("page_h"))
+    one = listed.select("*", F.posexplode("pts").alias("i", "a"))
+    seeds = one.select("*", F.posexplode("pts").alias("j", "b")).where((F.col("j") > F.col("i")) & (F.col("b.coord") - F.col("a.coord") > 1.0))
     step = F.col("b.coord") - F.col("a.coord")
     start = F.struct(F.array("a", "b").alias("chain"), F.array("a.label", "b.label").alias("used"), F.col("b.coord").alias("at"))
 
@@ -44,9 +44,9 @@ def progressions(labels: DataFrame) -> DataFrame:
         fits = ~F.array_contains(s["used"], p["label"]) & (F.abs(p["coord"] - (s["at"] + F.col("step"))) <= F.col("step") * STEP_TOLERANCE)
         return F.when(fits, F.struct(F.array_append(s["chain"], p).alias("chain"), F.array_append(s["used"], p["label"]).alias("used"), p["coord"].alias("at"))).otherwise(s)
 
-    grown = seeds.withColumn("step", step).select("page_id", "axis", "i", "j", "step", F.aggregate("pts", start, grow)["chain"].alias("chain"))
-    best = grown.groupBy("page_id", "axis").agg(F.max_by(F.struct("chain", "step"), F.struct(F.size("chain"), -F.col("i"), -F.col("j"))).alias("best"))
-    return best.select("page_id", "axis", "best.chain", "best.step")
+    grown = seeds.withColumn("step", step).select("page_id", "axis", "page_w", "page_h", "i", "j", "step", F.aggregate("pts", start, grow)["chain"].alias("chain"))
+    best = grown.groupBy("page_id", "axis").agg(F.max_by(F.struct("chain", "step"), F.struct(F.size("chain"), -F.col("i"), -F.col("j"))).alias("best"), F.max("page_w").alias("page_w"), F.max("page_h").alias("page_h"))
+    return best.select("page_id", "axis", "best.chain", "best.step", "page_w", "page_h")
 
 
 def grid(spans: DataFrame) -> DataFrame:
@@ -54,13 +54,15 @@ def grid(spans: DataFrame) -> DataFrame:
 
     A label that stands twice in a chain keeps its last place.
     """
-    labels = grid_labels(spans)
-    sizes = labels.groupBy("page_id").agg(F.max("page_w").alias("page_w"), F.max("page_h").alias("page_h"))
-    rows = progressions(labels).select("page_id", "axis", "step", F.posexplode("chain").alias("k", "p"))
-    marks = rows.groupBy("page_id", "axis", "step", F.col("p.label").alias("label")).agg(F.max_by("p.coord", "k").alias("centre"))
-    counts = marks.groupBy("page_id").agg(F.count_if(F.col("axis") == "col").alias("cols"), F.count_if(F.col("axis") == "row").alias("rows"))
-    good = counts.where((F.col("cols") >= MIN_LABELS) & (F.col("rows") >= MIN_LABELS)).select("page_id")
-    return marks.join(good, "page_id").join(sizes, "page_id").select("page_id", "axis", "label", "centre", "step", "page_w", "page_h")
+    chains = progressions(grid_labels(spans))
+    labels = F.array_distinct(F.transform("chain", lambda p: p["label"]))
+    axis = F.struct("axis", "step", "chain", labels.alias("labels"))
+    pages = chains.groupBy("page_id").agg(F.collect_list(axis).alias("axes"), F.max("page_w").alias("page_w"), F.max("page_h").alias("page_h"))
+    enough = lambda name: F.exists("axes", lambda a: (a["axis"] == name) & (F.size(a["labels"]) >= MIN_LABELS))
+    one = pages.where(enough("col") & enough("row")).select("page_id", "page_w", "page_h", F.explode("axes").alias("a"))
+    marks = one.select("page_id", "page_w", "page_h", "a.axis", "a.step", "a.chain", F.explode("a.labels").alias("label"))
+    centre = F.element_at(F.filter("chain", lambda p: p["label"] == F.col("label")), -1)["coord"]
+    return marks.select("page_id", "axis", "label", centre.alias("centre"), "step", "page_w", "page_h")
 
 
 def zone_marker_spans(spans: DataFrame) -> DataFrame:
