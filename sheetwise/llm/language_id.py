@@ -64,27 +64,28 @@ class Model:
     def __init__(self, languages: list[str], rows: list[tuple[str, int, str, int]], smoothing: float = 0.5):
         self.languages = sorted(languages)
         at = {x: k for k, x in enumerate(self.languages)}
-        self.tables: dict[int, dict[str, np.ndarray]] = {}
+        self.tables: dict[int, dict[str, tuple[float, ...]]] = {}
         for kind in (0, *GRAMS):
             counts: dict[str, np.ndarray] = {}
             for lang, k, gram, n in rows:
                 if k == kind:
                     counts.setdefault(gram, np.zeros(len(at)))[at[lang]] += n
             total = sum(counts.values(), np.zeros(len(at))) + smoothing * (len(counts) + 1)
-            self.tables[kind] = {g: (np.log((c + smoothing) / total)).astype(np.float32) for g, c in counts.items()}
+            self.tables[kind] = {g: tuple(np.log((c + smoothing) / total).tolist()) for g, c in counts.items()}
 
-    def word(self, word: str) -> np.ndarray:
-        """Log frequency in each language, relative to the best."""
+    def word(self, word: str) -> list[float]:
+        """Log frequency in each language, relative to the best. Languages are few: plain floats beat arrays."""
         found = self.tables[0].get(word)
         if found is None:
             for n in GRAMS:
                 known = [v for v in map(self.tables[n].get, grams_of(word, n)) if v is not None]
                 if known:
-                    found = np.mean(known, axis=0)
+                    found = [sum(x) / len(known) for x in zip(*known)]
                     break
             else:
-                return np.zeros(len(self.languages), np.float32)
-        return found - found.max()
+                return [0.0] * len(self.languages)
+        best = max(found)
+        return [x - best for x in found]
 
 
 class _Rows(dict):
