@@ -93,7 +93,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``edges``: two columns ``a`` and ``b`` of type long. Returns ``node`` and ``root`` (the smallest
     node of the component) for every node that has an edge to another node. Each round joins each
     edge with the smallest neighbour of its end, so no adjacency list is ever gathered; a hub is an
-    ordinary skewed join key. Self-loops and rows with a null end are ignored; repeated edges count once.
+    ordinary skewed join key, which can be split because both sides are read from tables. Self-loops and rows with a null end are ignored; repeated edges count once.
     """
     e = (
         edges.where("a <> b")
@@ -104,9 +104,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(max_rounds):
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = keep(large, "edges")
+        low = keep(large.groupBy("hi").agg(F.min("lo").alias("m")), "lowest")
         small = (
             large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .union(low.select("hi", F.col("m").alias("lo")))
