@@ -173,6 +173,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     texts = _ids(docs)
     counted = map_texts(texts.select("id", "th", "text"), _occurrences(False), "anchor bigint, ext bigint")
     again = counted.groupBy("anchor").agg(F.count("*").alias("n"), F.min("ext").alias("least"), F.max("ext").alias("most")).where("n > 1").select("anchor", (F.col("least") == F.col("most")).alias("alike"))
+    again = keep(again, "anchors")  # read from a table, a hot anchor's side of the join can be split
     found = map_texts(texts.select("id", "th", "text"), _occurrences(True), "anchor bigint, ext bigint, id bigint, place bigint")
     found = keep(found.join(again, "anchor"), "repeated-anchors")
 
@@ -189,7 +190,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     probed = texts.select("id", "th", "text").join(probes, ["id", "th"]).select("id", "th", "text", "places")
     windows = keep(map_texts(probed, _windows, "anchor bigint, window bigint, id bigint, start bigint, single boolean"), "windows")
     twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
-    single = windows.where("single").join(twice, ["anchor", "window"], "left_semi")
+    single = windows.where("single").join(keep(twice, "repeated-windows"), ["anchor", "window"], "left_semi")
 
     mask = (1 << _TEXT) - 1
     first = F.shiftright("place", _SPAN + _TEXT)
