@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 THRESHOLD = 15
+# In tiles: a lone changed tile grows to 9 and isn't a region.
+CLOSE, DILATE, MIN_SIZE = 1, 1, 9
 KEY = ("pair_id", "page")
 
 
@@ -54,7 +56,8 @@ def diff_regions(changed: DataFrame, close: int = 1, dilate: int = 1, min_size:
     """(pair_id, page, region, size, x0, y0, x1, y1): 8-connected regions of changed tiles with more than ``min_size`` tiles.
 
     Gaps are closed and the tiles dilated first. Labels sink to the smallest of the neighbourhood until
-    none changes; each round writes the labels, so the plan stays short. Regions stay inside a page.
+    none changes; each round writes the labels, so the plan stays short. Regions don't join across pages;
+    closing and dilation aren't cut at a page's edge, so size and box count the margin there too.
     """
     tiles = _spread(_closed(changed, close), dilate) if dilate else _closed(changed, close)
     number = F.col("ty").cast("long") * (1 << 32) + F.col("tx")

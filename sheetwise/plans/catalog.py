@@ -545,13 +545,13 @@ def class_counts(spark, sf):
 
 @query()
 def diff_regions(spark, sf):
-    return tiles.diff_regions(tiles.page_tile_diff(derived(spark, sf, "tiles")), close=0, dilate=0)
+    return tiles.diff_regions(tiles.page_tile_diff(derived(spark, sf, "tiles")), close=tiles.CLOSE, dilate=tiles.DILATE, min_size=tiles.MIN_SIZE)
 
 
 @query()
 def changed_pages(spark, sf):
     t = derived(spark, sf, "tiles")
-    return tiles.changed_pages(tiles.diff_regions(tiles.page_tile_diff(t), close=0, dilate=0), batch.page_pairs(t).select("pair_id", "page"))
+    return tiles.changed_pages(tiles.diff_regions(tiles.page_tile_diff(t), close=tiles.CLOSE, dilate=tiles.DILATE, min_size=tiles.MIN_SIZE), batch.page_pairs(t).select("pair_id", "page"))
 
 
 @query(ctes("spans") + f", {sql.LIMITS} select page_id, axis, label, centre from centres")

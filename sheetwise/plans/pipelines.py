@@ -57,7 +57,7 @@ def batch_classification(files: DataFrame, calls: DataFrame, sheet: DataFrame, r
 def revision_review(files: DataFrame, pixels: DataFrame, answers: DataFrame, spans: DataFrame) -> DataFrame:
     """(pair_id, first, second, regions, items, observations, corrections, approvals, resolved): pairs with a changed page and their reports."""
     pairs = batch.drawing_pairs(files).where("error is null").select(F.col("folder").alias("pair_id"), "first", "second")
-    changed = tiles.changed_pages(tiles.diff_regions(tiles.page_tile_diff(pixels), close=0, dilate=0), batch.page_pairs(pixels).select("pair_id", "page")).where("regions > 0")
+    changed = tiles.changed_pages(tiles.diff_regions(tiles.page_tile_diff(pixels), close=tiles.CLOSE, dilate=tiles.DILATE, min_size=tiles.MIN_SIZE), batch.page_pairs(pixels).select("pair_id", "page")).where("regions > 0")
     per_pair = changed.groupBy("pair_id").agg(F.sum("regions").alias("regions"))
     items = reports.report_items(answers).withColumnRenamed("doc_id", "page_id")
     painted = reports.painted_regions(items, zones.grid(spans)).select("page_id", "row_no", "resolved")
