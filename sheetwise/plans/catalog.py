@@ -173,6 +173,19 @@ def extract_cited_standards(spark, sf):
     return standards.extract_cited(single, "drawing_id", "page")
 
 
+@query(
+    ctes("texts")
+    + rf""", d as (select drawing_id, page, string_agg(text, chr(10) order by text) as text from fx_texts group by drawing_id, page), ln as (select drawing_id, page, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)),1) as k from d),
+ cd as (select drawing_id, page, k, line, unnest(regexp_extract_all(line,'(\b(?:{_PREFIXES})[- ]?\d[0-9A-Za-z-]*)',1)) as standard, generate_subscripts(regexp_extract_all(line,'(\b(?:{_PREFIXES})[- ]?\d[0-9A-Za-z-]*)',1),1) as j from ln),
+ f as (select *, row_number() over (partition by drawing_id, page, standard order by k, j) as rn from cd)
+ select drawing_id, page, row_number() over (partition by drawing_id, page order by k, j) as ord, standard, trim(line) as evidence from f where rn = 1"""
+)
+def extract_cited_all_pages(spark, sf):
+    """Every page; the texts of a page that comes more than once are joined in sorted order."""
+    texts = derived(spark, sf, "texts").groupBy("drawing_id", "page").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
+    return standards.extract_cited(texts, "drawing_id", "page")
+
+
 @query(
     ctes("cited", "texts")
     + """, t as (select drawing_id, string_agg(text, chr(10) order by text) as text from fx_texts group by drawing_id)
