@@ -1,5 +1,10 @@
 """Each query of a whole table against brute force, and edge cases on small ones."""
 
+import base64
+import random
+import time
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,18 +190,54 @@ def test_simhash(docs, rows, odd, empty):
         assert kept.count() >= len(named) and len(groups) >= len(named)
 
 
-def test_tokens(docs, rows, odd, empty):
+def library_counts():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_count._path(token_count.VOCABULARY))
-    for df, plain in both(docs.where("doc_id < 200"), [r for r in rows if r[0] < 200], odd, empty):
-        want = [(r[0], len((r[1] or "").encode()), len(t.encode(r[1] or "", add_special_tokens=False).ids)) for r in plain]
+    return lambda text: len(t.encode(text, add_special_tokens=False).ids)
+
+
+def test_tokens(docs, rows, odd, empty):
+    count = library_counts()
+    for df, plain in both(docs, rows, odd, empty):
+        want = [(r[0], len((r[1] or "").encode()), count(r[1] or "")) for r in plain]
         assert got(token_count.budget_answers(df), "doc_id", "n_bytes", "n_tokens") == sorted(want, key=repr)
-    fits = {r.doc_id: r for r in token_count.budget_answers(docs, limit=100).where("over_limit").limit(20).collect()}
-    for d, text, *_ in rows:
-        if d in fits:
-            n = fits[d].fits_chars
-            assert len(t.encode(text[:n], add_special_tokens=False).ids) <= 100 < len(t.encode(text[: n + 8], add_special_tokens=False).ids) + 4
+        stored = token_count.prefix_counts(df)
+        assert got(stored, "doc_id", "n_bytes", "n_tokens") == sorted(want, key=repr)
+        answers = got(token_count.budget_answers(df, limit=100), "doc_id", "fits_chars")
+        assert got(token_count.fitting(stored, 100), "doc_id", "fits_chars") == answers
+    fits = {r.doc_id: r for r in token_count.budget_answers(docs, limit=100).where("over_limit").collect()}
+    texts = [r for r in rows if r[0] in fits][:150]
+    for d, text, *_ in texts:
+        n = fits[d].fits_chars
+        assert count(text[:n]) <= 100 and all(count(text[:k]) > 100 for k in range(n + 1, min(len(text), n + 20)))
+
+
+def test_every_prefix_has_the_count_of_the_library():
+    draw, count = random.Random(1), library_counts()
+    counter = token_count.Counter(token_count._path(token_count.VOCABULARY))
+    some = list("abcdefghijklmnopqrstuvwxyzABC'''!!<|>0129 \n\t\x85\x1c\xa0\u3000½ⅧßİΣﬁſ中文한😀\u0301") + ["'ll", "'re", "e\u0301", "\u1112\u1161\u11ab", "<|endoftext|>", "<|startoftext|>", "aaaa", "!!!!", "the", "tion"]
+    for _ in range(400):
+        text = "".join(draw.choice(some) for _ in range(draw.randint(0, 25)))
+        counts = counter.prefixes(text)
+        assert len(counts) == len(text)
+        for k in range(1, len(text) + 1):
+            if k == len(text) or not (unicodedata.combining(text[k]) or text[k] in token_count._joins_back()):
+                assert counts[k - 1] == count(text[:k]), text[:k]
+
+
+@pytest.mark.parametrize("kind", ["base64", "chinese", "letter", "mark", "composed", "marks"])
+def test_long_text_without_a_space(kind):
+    draw, n = random.Random(2), 200_000
+    text = {
+        "base64": lambda: base64.b64encode(draw.randbytes(n)).decode(), "chinese": lambda: "".join(chr(draw.randint(0x4E00, 0x9FFF)) for _ in range(n)),
+        "letter": lambda: "a" * n, "mark": lambda: "!" * n, "composed": lambda: "e\u0301" * n, "marks": lambda: "e" + "\u0301" * n,
+    }[kind]()
+    start = time.perf_counter()
+    counts = token_count.Counter(token_count._path(token_count.VOCABULARY)).prefixes(text)
+    assert time.perf_counter() - start < 60
+    assert len(counts) == len(text) and counts[-1] == library_counts()(text)
+    assert token_count.longest(counts, 2048) < len(text)
 
 
 def test_substring(docs, rows, odd, empty):
