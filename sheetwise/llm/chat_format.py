@@ -4,14 +4,18 @@ Each turn is a row. A visitor walks the parts of the turn and flattens them, in
 text parts are escaped, and an image, audio or document part becomes a placeholder with a reference
 into the turn's attachment list and the number of tokens it expands to. Turns are marked by control
 strings; a control string, or a backslash, inside a text is escaped by a backslash, so the formatted
-text can be read back exactly. The loss mask covers the text of assistant turns.
+text can be read back exactly. Neighbouring text parts are escaped as one, so that none can complete a
+control string that another begins. The loss mask covers the text of assistant turns.
 
 Formatting works row by row, so a conversation of any length needs no group. Reading back sorts the
-rows by conversation and turn in each partition and streams them through running digests.
+rows by conversation and turn in each partition and streams them through running digests; a digest
+needs all turns of its conversation in order, so one conversation is read by one task, turn by turn.
 
 Defined results: a null text is empty, a null role is the empty role; rows with equal conversation
 and turn follow in order of role and text, and each counts as a turn; null conversations form one
-conversation; an empty table gives no rows; extra columns are ignored.
+conversation; an empty table gives no rows; extra columns are ignored. A null part is left out; a part
+of another or no type becomes a placeholder that keeps its type and reference and stands for 0 tokens
+unless it says more; negative token counts are 0. Very long texts are formatted like any others.
 """
 
 from __future__ import annotations
@@ -31,9 +35,9 @@ PART_TOKENS = {"image": 576, "audio": 750, "document": 1024}
 PARTS = "array<struct<type:string,text:string,ref:string,tokens:int>>"
 
 # Control strings of the template.
-CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]", "<|image|>", "<|audio|>", "<|document|>", "<|/part|>")
+CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]", "<|image|>", "<|audio|>", "<|document|>", "<|other|>", "<|/part|>")
 _CONTROL = re.compile(r"\\|" + "|".join(map(re.escape, CONTROLS)))
-_PART = re.compile(r"<\|(image|audio|document)\|>(\d+):(\d+)<\|/part\|>")
+_PART = re.compile(r"<\|(image|audio|document|other)\|>(\d+):(\d+)<\|/part\|>")
 _ESCAPED = re.compile(r"\\(\\?)")
 
 SEGMENTS = (
@@ -56,24 +60,36 @@ class Flatten:
 
     def __init__(self):
         self.out: list[str] = []
+        self.texts: list[str] = []
         self.attachments: list[dict] = []
 
-    def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part['type']}", self.visit_other)(part)
+    def visit(self, part: dict | None) -> None:
+        if part is not None:
+            {"text": self.visit_text, "image": self.visit_known, "audio": self.visit_known, "document": self.visit_known}.get(part["type"], self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(escape(part.get("text") or ""))
+        self.texts.append(part.get("text") or "")
 
-    def _attach(self, part: dict) -> None:
-        tokens = part.get("tokens")
-        tokens = PART_TOKENS[part["type"]] if tokens is None else tokens
-        self.out.append(f"<|{part['type']}|>{len(self.attachments)}:{tokens}<|/part|>")
+    def visit_known(self, part: dict) -> None:
+        self._attach(part["type"], part, PART_TOKENS[part["type"]])
+
+    def visit_other(self, part: dict) -> None:
+        self._attach("other", part, 0)
+
+    def _attach(self, mark: str, part: dict, tokens: int) -> None:
+        self._end_text()
+        given = part.get("tokens")
+        tokens = tokens if given is None else max(0, given)
+        self.out.append(f"<|{mark}|>{len(self.attachments)}:{tokens}<|/part|>")
         self.attachments.append({"kind": part["type"], "ref": part.get("ref"), "tokens": tokens})
 
-    visit_image = visit_audio = visit_document = _attach
+    def _end_text(self) -> None:
+        self.out.append(escape("".join(self.texts)))
+        self.texts = []
 
-    def visit_other(self, part: dict) -> None:
-        raise ValueError(f"content part of unknown type {part['type']!r}")
+    def body(self) -> str:
+        self._end_text()
+        return "".join(self.out)
 
 
 def format_turn(role: str, parts: list[dict]) -> tuple[str, int, int, list[dict]]:
@@ -81,7 +97,7 @@ def format_turn(role: str, parts: list[dict]) -> tuple[str, int, int, list[dict]
     flat = Flatten()
     for part in parts:
         flat.visit(part)
-    body = "".join(flat.out)
+    body = flat.body()
     if role == LOSS_ROLE:
         return f" {body} </s>", 1, 1 + len(body), flat.attachments
     if role == "user":
@@ -100,13 +116,13 @@ def read_turn(formatted: str) -> tuple[str, str]:
 
 
 def read_parts(body: str, attachments: list[dict]) -> list[dict]:
-    """The parts of a turn, from its body and attachments; adjacent text parts come back as one."""
+    """The parts of a turn, from its body and attachments; adjacent text parts come back as one, empty ones not."""
     parts, at = [], 0
     for m in _PART.finditer(body):
         if m.start() > at:
             parts.append({"type": "text", "text": unescape(body[at : m.start()])})
         found = attachments[int(m[2])]
-        parts.append({"type": m[1], "ref": found["ref"], "tokens": int(m[3])})
+        parts.append({"type": found["kind"], "ref": found["ref"], "tokens": int(m[3])})
         at = m.end()
     if at < len(body) or not parts:
         parts.append({"type": "text", "text": unescape(body[at:])})
@@ -141,32 +157,38 @@ def format_turns(turns: DataFrame, parts_col: str | None = None) -> DataFrame:
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """Digests of every conversation, computed from the formatted text alone."""
+    """Digests of every conversation, and its attachments and their tokens, computed from the formatted text alone."""
 
     def work(batches):
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "part_tokens"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         none = object()
+
+        def row(conv, s):
+            return conv, s[0], s[1].hexdigest(), s[2], s[3].hexdigest(), s[4], s[5], s[6]
+
         conv, state = none, None
         for batch in batches:
             done = []
             for c, formatted, start, end in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if conv is none or c != conv:
                     if conv is not none:
-                        done.append((conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
-                    conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                        done.append(row(conv, state))
+                    conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
                 role, body = read_turn(formatted)
+                for m in _PART.finditer(body):
+                    state[5] += 1
+                    state[6] += int(m[3])
                 state[0] += 1
-                state[1].update(f"{role}\n{unescape(body)}\n".encode())
-                loss = unescape(formatted[start:end])
+                state[1].update(f"{role}\n{unescape(_PART.sub('', body))}\n".encode())
+                loss = unescape(_PART.sub("", formatted[start:end]))
                 state[2] += len(loss)
                 state[3].update(loss.encode())
                 state[4] += len(formatted)
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=names)
         if conv is not none:
-            last = (conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
-            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(last, kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row(conv, state), kinds)], names=names)
 
     ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "formatted", "loss_start", "loss_end")
-    return map_texts(ordered, work, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return map_texts(ordered, work, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_attachments bigint, part_tokens bigint")

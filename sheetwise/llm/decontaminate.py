@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import filter_texts, map_texts
+from sheetwise.llm.common import filter_texts, keep, map_texts
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -183,6 +183,7 @@ def _parts(items: DataFrame, part_chars: int):
     frequency = None
     if parts > 1:
         frequency = map_texts(items.select(part.alias("part"), "text"), spread, "part int, term string").groupBy("term").agg(F.count("*").alias("n"), F.collect_set("part").alias("parts"))
+        frequency = keep(frequency, "item-terms")
     for k in range(parts):
         rows = []
         for r in items.where(part == k).collect():  # about part_chars characters

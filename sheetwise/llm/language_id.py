@@ -1,19 +1,26 @@
 """Language identification by words first, with backoff to shorter character n-grams.
 
 Training counts words and character n-grams by language over a bounded sample of labelled documents
-(``per_language`` documents a language, chosen by a hash of the id, whole texts). Prediction sums,
+(about ``per_language`` documents a language, chosen by a hash of the id, whole texts). Prediction sums,
 over the words of a text, the log frequency of the word in each language; a word that no language
 knows is scored by the mean over its longest n-grams that some language knows.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if
+The model itself is bounded too: of the sample it holds the MAX_LANGUAGES most frequent languages (others
+are never predicted) and, for each language and kind, its share of MAX_ENTRIES, the most frequent first
+(rarer words are scored by their n-grams, and rarer n-grams by shorter ones); words of more than
+MAX_LENGTH letters are scored by n-grams alone. These bounds don't depend on the size of the table.
+
+Defined results: a letter is a character of a Unicode letter category. A null text, or one without a letter, is ``und`` with score 0; so is every text if
 nothing is labelled. Equal scores go to the language that sorts first. Rows that repeat keep a row
-each; an empty table gives no rows; extra columns are ignored.
+each; an empty table gives no rows; extra columns are ignored; a very long text is read in steps of whole words.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +33,19 @@ UNKNOWN = "und"
 GRAMS = (5, 4, 3, 2, 1)
 MAX_LANGUAGES = 200
 MAX_ENTRIES = 400_000
-_WORD = re.compile(r"[^\W\d_]+")
+MAX_LENGTH = 200
 _CACHE = 200_000
 
 
+@cache
+def _words() -> re.Pattern:
+    """Runs of letters: of what \\w holds, neither digits nor numerals such as ½ and Ⅷ, which are no letters."""
+    numerals = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[^\W\d_{numerals}]+")
+
+
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    return _words().findall(text.lower()) if text else []
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -131,7 +145,7 @@ def fit(labelled: DataFrame, per_language: int = 4000) -> Model:
     counts = map_texts(sample.select("lang", "text"), _count, "lang string, kind int, gram string, n bigint").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     most = MAX_ENTRIES // (len(sizes) * (1 + len(GRAMS)))
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram"))
-    rows = counts.where(F.length("gram") <= 200).withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "kind", "gram", "n").collect()
+    rows = counts.where(F.length("gram") <= MAX_LENGTH).withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "kind", "gram", "n").collect()
     return Model(sorted({x.lang for x in rows}), [tuple(x) for x in rows])
 
 

@@ -104,6 +104,8 @@ def solve(sizes: DataFrame, aims: DataFrame, most: int = MAX_COPIES) -> DataFram
         state = keep(moved.select("mix_key", "source_size", "target", "mean", F.col("next").alias("lam"), "low", "high", off.alias("off")), "dual")
         if (state.agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"the dual isn't solved to {TOLERANCE} after {MAX_ROUNDS} rounds")
     return state.select("mix_key", "source_size", "target", "mean", "lam")
 
 
@@ -116,7 +118,8 @@ def _copies(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
 
     largest = sizes.agg(F.max("n")).first()[0] or 1
     mixed = F.xxhash64(F.col("doc_id"), F.lit("mix"))
-    bucket = F.pmod(mixed, F.lit(-(-largest // CELL)))
+    # Buckets follow the order of the hash, so their number doesn't change which documents get a further copy.
+    bucket = F.floor((mixed / F.lit(2.0**64) + 0.5) * F.lit(-(-largest // CELL)))
     rates = sizes.join(aims, "mix_key").join(dual.select("mix_key", "mean", "lam"), "mix_key", "left").select(
         "mix_key", "mix_size", "source_size", "target", F.when(F.col("source_size") > 0, F.round(_rate(most) * UNIT)).otherwise(0).cast("long").alias("rate")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.llm import chat_format, decontaminate, language_id, line_dedup, mixing, quality, secret_scan, simhash, substring_dedup, token_count
+from sheetwise.llm.common import keep
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,8 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first run fills the ledger; the second meets it and scans only what it lacks, here nothing."""
     docs = _table(spark, sf_dir, "documents")
-    return secret_scan.digest(secret_scan.join_findings(docs, secret_scan.scan_unseen(docs), ["doc_id"]))
+    ledger = keep(secret_scan.scan_unseen(docs), "ledger")
+    ledger = ledger.union(secret_scan.scan_unseen(docs, ledger))
+    return secret_scan.digest(secret_scan.join_findings(docs, ledger, ["doc_id"]))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,18 @@
 
 Every version of a text is addressed by the SHA-256 of its content. The ledger holds one row for
 each (blob, rule version) that has been scanned, with the spans found. A run scans only the pairs
-that the ledger lacks, each distinct blob once, and joins the ledger back to all paths.
+that the ledger lacks, each distinct blob once, and joins the ledger back to all paths. The version
+is a checksum of the rules, so changed rules scan all blobs anew.
 
 Defined results: a null text is the empty text; an empty table gives no rows; rows that repeat keep
-one result row each; extra columns are ignored unless they are named as path columns.
+one result row each; extra columns are ignored unless they are named as path columns; a very long text
+is one scan. A blob that the ledger lacks has null spans, one that it holds twice counts once.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +21,6 @@ from pyspark.sql import functions as F
 
 from sheetwise.llm.common import map_texts
 
-RULE_VERSION = 1
 BASE_KINDS = ("assign", "access", "hex")
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -28,6 +30,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,}?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
 _WEB_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 MIN_ASSIGNED = 6
+RULE_VERSION = zlib.crc32("\n".join((*(p.pattern for p in (_ASSIGN, _ACCESS, _HEX, _KEY_BLOCK, _WEB_TOKEN)), str(MIN_ASSIGNED))).encode())
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
@@ -70,16 +73,18 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, text_col:
     """
     blobs = versions.select(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
+        # Hashes alone meet the ledger; texts are moved only for what it lacks.
+        seen = ledger.where(F.col("rule_version") == rule_version).select("blob")
+        blobs = blobs.join(blobs.select("blob").distinct().join(seen, "blob", "left_anti"), "blob", "left_semi")
     scanned = map_texts(blobs.dropDuplicates(["blob"]), _scan, f"blob string, spans {SPANS}")
-    return scanned.select("blob", F.lit(rule_version).alias("rule_version"), "spans")
+    return scanned.select("blob", F.lit(rule_version).cast("long").alias("rule_version"), "spans")
 
 
 def join_findings(versions: DataFrame, ledger: DataFrame, path_cols: list[str], text_col: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:
-    """``path_cols``, blob and spans of every version; blobs without a finding have an empty list."""
+    """``path_cols``, blob and spans of every version: empty for a blob without a finding, null for one never scanned."""
     paths = versions.select(*path_cols, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob"))
-    found = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
-    return paths.join(found, "blob", "left").select(*path_cols, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    found = ledger.where(F.col("rule_version") == rule_version).select("blob", "spans").dropDuplicates(["blob"])
+    return paths.join(found, "blob", "left").select(*path_cols, "blob", "spans")
 
 
 def span_list(spans) -> F.Column:

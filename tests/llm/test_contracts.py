@@ -1,9 +1,11 @@
 """Each query of a whole table against brute force, and edge cases on small ones."""
 
 import base64
+import math
 import random
 import time
 import unicodedata
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,8 +66,25 @@ def test_secret_ledger_is_incremental(spark):
     second = secret_scan.scan_unseen(new, first)
     assert first.count() == 2 and second.count() == 2
     assert secret_scan.scan_unseen(new, first, rule_version=2).count() == 4
-    found = secret_scan.join_findings(new, first.union(second), ["path", "version"])
-    assert got(found.where(F.size("spans") > 0), "path", "version") == [("a", 1), ("a", 2), ("c", 1)]
+    whole = first.union(second)
+    for ledger in (whole, whole.union(second)):  # rows that were appended twice count once
+        found = secret_scan.join_findings(new, ledger, ["path", "version"])
+        assert found.count() == new.count()
+        assert got(found.where(F.size("spans") > 0), "path", "version") == [("a", 1), ("a", 2), ("c", 1)]
+    assert got(secret_scan.join_findings(new, first, ["path", "version"]).where("spans is null"), "path") == [("c",), ("d",)]
+
+
+def test_secret_query_scans_once(spark, docs):
+    ledger = secret_scan.scan_unseen(docs).cache()
+    assert ledger.count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert secret_scan.scan_unseen(docs, ledger).count() == 0
+
+
+def test_added_secret_kinds():
+    token = "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12
+    block = "-----BEGIN RSA PRIVATE KEY-----\n" + "Ab1+" * 20 + "\n-----END RSA PRIVATE KEY-----"
+    assert secret_scan.find_secrets(f"é {token} {block}") == [("web_token", 2, 2 + len(token)), ("key_block", 3 + len(token), 3 + len(token) + len(block))]
+    assert secret_scan.find_secrets("eyJshort.eyJ.x -----BEGIN PRIVATE KEY----- none") == []
 
 
 def test_quality(docs, rows, odd, empty):
@@ -93,6 +112,53 @@ def test_language(spark, docs, odd, empty):
     assert language_id.identify(empty, nothing).count() == 0
 
 
+def test_language_against_brute_force(spark, odd):
+    """Counts, backoff and posterior stated plainly, over a table small enough to be learned whole."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plain = [(r.text, r.lang) for r in docs.collect()]
+    letters = lambda t: "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (t or "").lower()).split()
+    languages = sorted({lang for _, lang in plain if lang is not None})
+    grams = lambda w, n: [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    tables = {n: {lang: Counter() for lang in languages} for n in range(6)}
+    for text, lang in plain:
+        if lang is not None:
+            for w in letters(text):
+                tables[0][lang][w] += 1
+                for n in range(1, 6):
+                    tables[n][lang].update(grams(w, n))
+    known = {n: set().union(*tables[n].values()) for n in tables}
+    sums = {(n, lang): sum(tables[n][lang].values()) + 0.5 * (len(known[n]) + 1) for n in tables for lang in languages}
+    log = lambda n, lang, x: math.log((tables[n][lang][x] + 0.5) / sums[n, lang])
+
+    def brute_force(text):
+        words = letters(text)
+        if not words:
+            return "und", 0.0
+        total = dict.fromkeys(languages, 0.0)
+        for w in words:
+            if w in known[0]:
+                scores = {k: log(0, k, w) for k in languages}
+            else:
+                n = next((n for n in (5, 4, 3, 2, 1) if any(g in known[n] for g in grams(w, n))), None)
+                if n is None:
+                    continue
+                have = [g for g in grams(w, n) if g in known[n]]
+                scores = {k: sum(log(n, k, g) for g in have) / len(have) for k in languages}
+            for k in languages:
+                total[k] += scores[k] - max(scores.values())
+        best = max(languages, key=lambda k: (total[k], [-ord(c) for c in k]))
+        return best, 1 / sum(math.exp(total[k] - total[best]) for k in languages)
+
+    model = language_id.fit(docs)
+    extra = ["½ ²³ ① Ⅷ", "xqzxq wvvw", "the the", "ª", "一二三", "word½word", None]
+    table = spark.createDataFrame([(k, t) for k, t in enumerate([*extra, *(t for t, _ in plain[:60])])], "doc_id bigint, text string")
+    found = {r.doc_id: r for r in language_id.identify(table, model).collect()}
+    for k, t in enumerate([*extra, *(t for t, _ in plain[:60])]):
+        lang, score = brute_force(t)
+        assert found[k].lang_pred == lang and abs(found[k].score - score) < 1e-3, t
+    assert [found[k].lang_pred for k in (0, 6)] == ["und", "und"]
+
+
 def test_decontamination(spark, docs, rows, odd, empty):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = {r.item_id: decontaminate.terms_of(r.text) for r in items.collect()}
@@ -265,5 +331,37 @@ def test_content_parts(spark):
     role, body = chat_format.read_turn(row.formatted)
     back = chat_format.read_parts(body, [a.asDict() for a in row.attachments])
     assert role == "user" and back == [{"type": "text", "text": "see <|image|>"}, {"type": "image", "ref": "s3://a", "tokens": 576}, {"type": "audio", "ref": "b", "tokens": 9}]
-    with pytest.raises(ValueError):
-        chat_format.format_turn("user", [{"type": "video"}])
+    digest = chat_format.read_back(chat_format.format_turns(df, "parts")).first()
+    assert (digest.n_attachments, digest.part_tokens) == (2, 585)
+
+
+def test_random_parts_read_back(spark):
+    """Null parts go, neighbouring texts join; all else comes back, whatever control strings the pieces make together."""
+    draw, table = random.Random(4), []
+    bits = [x for c in chat_format.CONTROLS for k in range(1, len(c)) for x in (c, c[:k], c[k:])] + ["\\", "a", "", "0:5", None]
+    for k in range(300):
+        parts = []
+        for _ in range(draw.randint(0, 8)):
+            kind = draw.choice(["text"] * 6 + ["image", "audio", "document", "video", None])
+            parts.append(draw.choice([None] + 9 * [{"type": kind, "text": draw.choice(bits), "ref": draw.choice(["r", None]), "tokens": draw.choice([None, 0, 7, -3])}]))
+        table.append((k, 0, draw.choice(["user", "assistant", "tool", "[/ROLE] x", ""]), draw.choice([parts, parts, None]) if k % 9 == 0 else parts))
+    df = spark.createDataFrame(table, f"conv_id bigint, turn bigint, role string, parts {chat_format.PARTS}")
+    rows = {r.conv_id: r for r in chat_format.format_turns(df, "parts").collect()}
+    size = {"image": 576, "audio": 750, "document": 1024}
+    for k, _, role, parts in table:
+        want = []
+        for p in filter(None, parts or []):
+            if p["type"] != "text":
+                tokens = size.get(p["type"], 0) if p["tokens"] is None else max(0, p["tokens"])
+                want.append({"type": p["type"], "ref": p["ref"], "tokens": tokens})
+            elif p["text"] and want and want[-1]["type"] == "text":
+                want[-1]["text"] += p["text"]
+            elif p["text"]:
+                want.append({"type": "text", "text": p["text"]})
+        got_role, body = chat_format.read_turn(rows[k].formatted)
+        assert got_role == role and rows[k].part_tokens == sum(p.get("tokens", 0) for p in want)
+        assert chat_format.read_parts(body, [a.asDict() for a in rows[k].attachments]) == (want or [{"type": "text", "text": ""}])
+        inside = body
+        for m in chat_format._PART.finditer(body):
+            inside = inside.replace(m[0], "\0")
+        assert not any(c in inside for c in chat_format.CONTROLS)
