@@ -37,15 +37,20 @@ MAX_LENGTH = 200
 _CACHE = 200_000
 
 
+_WORD = re.compile(r"[^\W\d_]+")
+
+
 @cache
-def _words() -> re.Pattern:
-    """Runs of letters: of what \\w holds, neither digits nor numerals such as ½ and Ⅷ, which are no letters."""
-    numerals = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[^\W\d_{numerals}]+")
+def _numerals() -> re.Pattern:
+    """Numerals such as ½ and Ⅷ, which \\w holds besides digits but which are no letters."""
+    return re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _words().findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    return _WORD.findall(text if text.isascii() else _numerals().sub(" ", text))
 
 
 def grams_of(word: str, n: int) -> list[str]:
