@@ -60,7 +60,7 @@ def token_cost(prompt, completion) -> Column:
 
 
 def fixed(x, digits: int) -> Column:
-    """``x`` (not negative) with ``digits`` decimals, rounded by its exact binary value, ties to even.
+    """``x`` (not negative; null stays null) with ``digits`` decimals, rounded by its exact binary value, ties to even.
 
     ``format_string`` rounds the shortest decimal that stands for the double instead. The value is
     split into two halves whose products with the scale are exact, so the distance to the tie is too.
@@ -70,7 +70,7 @@ def fixed(x, digits: int) -> Column:
     whole = F.floor(x * scale)
     off = (high * scale - (whole + F.lit(0.5))) + (x - high) * scale
     units = F.when((off > 0) | ((off == 0) & (whole % 2 == 1)), whole + 1).otherwise(whole)
-    return F.format_string(f"%d.%0{digits}d", F.floor(units / int(scale)), units % int(scale))
+    return F.when(x.isNotNull(), F.format_string(f"%d.%0{digits}d", F.floor(units / int(scale)), units % int(scale)))
 
 
 def status_class(c) -> Column:

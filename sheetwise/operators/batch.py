@@ -94,13 +94,13 @@ def result_writeback(sheet: DataFrame, results: DataFrame, key: str, columns: li
 def cost_log(raw: DataFrame) -> DataFrame:
     """The log with typed columns; what doesn't parse is null."""
     kinds = {"total_tokens": "bigint", "prompt_tokens": "bigint", "completion_tokens": "bigint", "latencia_ms": "double", "custo_usd": "double"}
-    return raw.select("call_id", "modelo", *(F.col(c).try_cast(k).alias(c) for c, k in kinds.items()))
+    return raw.select("call_id", "timestamp", "modelo", *(F.col(c).try_cast(k).alias(c) for c, k in kinds.items()))
 
 
 def cost_rows(calls: DataFrame) -> DataFrame:
-    """Log rows for calls: latency with 2 and cost with 6 decimals, as text."""
+    """Log rows for calls, in the order of the log's columns: latency with 2 and cost with 6 decimals, as text; what is null stays empty."""
     return calls.select(
-        "call_id", "modelo", "total_tokens", "prompt_tokens", "completion_tokens",
+        "timestamp", "modelo", "total_tokens", "prompt_tokens", "completion_tokens",
         T.fixed(F.col("latencia_ms").cast("double"), 2).alias("latencia_ms"),
         T.fixed(T.token_cost(F.col("prompt_tokens"), F.col("completion_tokens")), 6).alias("custo_usd"),
     )

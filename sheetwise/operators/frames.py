@@ -6,7 +6,7 @@ so ordered greedy steps fold over one page's sorted array. Strokes of all pages
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions import geometry as G
@@ -148,9 +148,9 @@ def frame_nms(frames: DataFrame) -> DataFrame:
     return _greedy(frames, [-F.col("n_cells"), -_area({c: F.col(c) for c in ("x0", "y0", "x1", "y1")}), F.col("ord")], overlaps)
 
 
-def frame_ids(frames: DataFrame, page: int = 1) -> DataFrame:
-    """Add frame_id by the order in the page."""
-    return frames.withColumn("frame_id", F.format_string("GDT-CAND-P%02d-%03d", F.lit(page), F.row_number().over(Window.partitionBy("page_id").orderBy("ord"))))
+def frame_ids(frames: DataFrame, page: Column) -> DataFrame:
+    """Add frame_id by the order in the page; ``page`` is the page's number in its document, from 1."""
+    return frames.withColumn("frame_id", F.format_string("GDT-CAND-P%02d-%03d", page, F.row_number().over(Window.partitionBy("page_id").orderBy("ord"))))
 
 
 def cells_of(frames: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def frame_texts(frames: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _behind_first(lists):
-    return F.slice(lists, 2, 100)
+    return F.slice(lists, F.lit(2), F.size(lists))
 
 
 def frame_values(frames: DataFrame) -> DataFrame:
@@ -195,17 +195,20 @@ def frame_confidence(frames: DataFrame) -> DataFrame:
     return frames.withColumn("confidence", F.round(F.least(F.lit(1.0), score), 2))
 
 
-def gdt_frames(strokes: DataFrame, words: DataFrame) -> DataFrame:
+def gdt_frames(strokes: DataFrame, words: DataFrame, page: Column) -> DataFrame:
     """Numbered frame candidates with their words, values and confidence."""
     frames = frame_nms(frame_nested(frame_signature_dedup(frame_filter(raw_frames(strokes)))))
-    return frame_ids(frame_values(frame_confidence(frame_texts(frames, words))))
+    return frame_ids(frame_values(frame_confidence(frame_texts(frames, words))), page)
 
 
-def unique_cells(frames: DataFrame, page: int = 1) -> DataFrame:
-    """(page_id, cell_id, x0, y0, x1, y1, cell_index, n_cells, is_first) of unfiltered frames: the first cell at each place, snapped to half points."""
+def unique_cells(frames: DataFrame, page: Column) -> DataFrame:
+    """(page_id, cell_id, x0, y0, x1, y1, cell_index, n_cells, is_first) of unfiltered frames: the first cell at each place, snapped to half points.
+
+    ``page`` is the page's number in its document, from 1; with the order in the page it makes the id.
+    """
     cells = frames.select("page_id", "ord", "n_cells", F.posexplode("cells").alias("cell_index", "c")).select("page_id", "ord", "n_cells", "cell_index", "c.*")
     place = [F.bround(F.col(c) / SNAP) for c in ("x0", "y0", "x1", "y1")]
     here = Window.partitionBy("page_id", *place).orderBy("ord", "cell_index")
     first = cells.withColumn("nth", F.row_number().over(here)).where("nth = 1")
     number = F.row_number().over(Window.partitionBy("page_id").orderBy("ord", "cell_index"))
-    return first.select("page_id", F.format_string("CELL-%02d-%04d", F.lit(page), number).alias("cell_id"), "x0", "y0", "x1", "y1", "cell_index", "n_cells", (F.col("cell_index") == 0).alias("is_first"))
+    return first.select("page_id", F.format_string("CELL-%02d-%04d", page, number).alias("cell_id"), "x0", "y0", "x1", "y1", "cell_index", "n_cells", (F.col("cell_index") == 0).alias("is_first"))

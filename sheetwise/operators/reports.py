@@ -61,10 +61,20 @@ def report_preamble(reports: DataFrame) -> DataFrame:
 
 
 def report_items(reports: DataFrame) -> DataFrame:
-    """(doc_id, row_no, item, zone_text, status): a row for each item of each report."""
-    cells = markdown_rows(reports)
-    by_hint = lambda name, hints: F.min_by(F.when(F.rlike(F.lower("header"), F.lit("|".join(hints))), F.col("value")), F.when(F.rlike(F.lower("header"), F.lit("|".join(hints))), F.col("header_no"))).alias(name)
-    return cells.groupBy("doc_id", "row_no").agg(by_hint("item", ITEM_HINTS), by_hint("zone_text", ZONE_HINTS), by_hint("status", STATUS_HINTS))
+    """(doc_id, row_no, item, zone_text, status): a row for each item of each report.
+
+    The three columns are found once in a report's header; rows are read where they stand, without a shuffle.
+    """
+    rows = F.filter(F.transform(F.split("report", "\n"), T.strip), _is_row)
+    table = reports.select("doc_id", rows.alias("lines")).where(F.size("lines") > 1).select("doc_id", "lines", _cells(F.col("lines")[0]).alias("headers"))
+    hints = {"item": ITEM_HINTS, "zone_text": ZONE_HINTS, "status": STATUS_HINTS}
+    place = lambda h: F.size("headers") - F.array_position(F.reverse("headers"), h).cast("int")
+    # Of a header that repeats, the last value counts; the place is null without the header.
+    places = [place(find_header(F.col("headers"), hint)).alias(f"{name}_at") for name, hint in hints.items()]
+    body = table.select("doc_id", *places, F.posexplode(F.slice("lines", F.lit(2), F.size("lines") - 1)).alias("at", "line"))
+    body = body.select("doc_id", (F.col("at") + 1).alias("row_no"), *(f"{name}_at" for name in hints), _cells(F.col("line")).alias("cells"))
+    value = lambda at: F.when(F.col(at).isNotNull(), F.coalesce(F.get("cells", at), F.lit("")))
+    return body.select("doc_id", "row_no", *(value(f"{name}_at").alias(name) for name in hints))
 
 
 def status_summary(reports: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from sheetwise.functions import text as T
 from sheetwise.operators import batch, cells, frames, reports, standards, tiles, zones
 from sheetwise.plans import pipelines, sql
 from sheetwise.plans.fixtures import ctes, derived
+from sheetwise.sources import files
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -76,7 +77,7 @@ def known_parts(spark, sf):
     return _parts(spark, sf).select("part", "ord").orderBy("ord")
 
 
-_LOG = "select call_id, modelo, try_cast(total_tokens as bigint) as total_tokens, try_cast(prompt_tokens as bigint) as prompt_tokens, try_cast(completion_tokens as bigint) as completion_tokens, try_cast(latencia_ms as double) as latencia_ms, try_cast(custo_usd as double) as custo_usd from fx_cost_log"
+_LOG = "select call_id, \"timestamp\", modelo, try_cast(total_tokens as bigint) as total_tokens, try_cast(prompt_tokens as bigint) as prompt_tokens, try_cast(completion_tokens as bigint) as completion_tokens, try_cast(latencia_ms as double) as latencia_ms, try_cast(custo_usd as double) as custo_usd from fx_cost_log"
 
 
 @query(ctes("cost_log") + " " + _LOG)
@@ -86,10 +87,14 @@ def cost_log_source(spark, sf):
 
 @query(
     ctes("cost_log")
-    + f", l as ({_LOG}) select call_id, modelo, total_tokens, prompt_tokens, completion_tokens, printf('%.2f', latencia_ms) as latencia_ms, printf('%.6f', prompt_tokens/1e6*0.075 + completion_tokens/1e6*0.3) as custo_usd from l where latencia_ms is not null"
+    + f""", l as ({_LOG}) select "timestamp", modelo, cast(total_tokens as varchar) as total_tokens, cast(prompt_tokens as varchar) as prompt_tokens, cast(completion_tokens as varchar) as completion_tokens,
+ printf('%.2f', latencia_ms) as latencia_ms, printf('%.6f', prompt_tokens/1e6*0.075 + completion_tokens/1e6*0.3) as custo_usd from l"""
 )
 def cost_log_append(spark, sf):
-    return batch.cost_rows(batch.cost_log(derived(spark, sf, "cost_log")).where("latencia_ms is not null"))
+    """Every call appended to a new log in the shared folder, and the log read again."""
+    path = f"{tiles.shared_folder(spark)}/costs-{uuid.uuid4().hex}"
+    batch.append_costs(batch.cost_log(derived(spark, sf, "cost_log")), path)
+    return files.read_cost_log(spark, path).drop("call_id")
 
 
 _BACK = """, f as (select *, row_number() over (partition by cad order by row_no) = 1 as one from fx_sheet) select row_no, f.cad, case when one and r.cad is not null then r.classification else f.classification end as classification,
@@ -146,10 +151,11 @@ def split_list_field(spark, sf):
     return derived(spark, sf, "notes").select("ord", joined(T.split_list("applicability")).alias("items"), F.size(T.split_list("applicability")).cast("long").alias("n"))
 
 
-@query(ctes("notes", "parts") + f" select n.ord, p.ord as part_ord, {sql.jaccard('n.content', 'p.part')} as score from fx_notes n join fx_parts p on p.ord % 10 = n.ord % 10")
+@query(ctes("notes") + f", n as (select ord, content, unnest({sql.split_list('applicability')}) as name from fx_notes) select ord, name, {sql.jaccard('content', 'name')} as score from n")
 def jaccard(spark, sf):
-    n, p = derived(spark, sf, "notes"), derived(spark, sf, "parts").select(F.col("ord").alias("part_ord"), "part")
-    return n.join(p, F.col("part_ord") % 10 == F.col("ord") % 10).select("ord", "part_ord", T.jaccard("content", "part").alias("score"))
+    """Each note's content against each of its own applicability names."""
+    named = derived(spark, sf, "notes").select("ord", "content", F.explode(T.split_list("applicability")).alias("name"))
+    return named.select("ord", "name", T.jaccard("content", "name").alias("score"))
 
 
 @query(ctes("cited") + f" select drawing_id, ord, {sql.normalize_standard('standard')} as standard, standard as standard_raw, {sql.note_number('evidence')} as note_number, evidence as source_text from fx_cited")
@@ -160,19 +166,6 @@ def cited_standards(spark, sf):
 _PREFIXES = "|".join(T.STANDARD_PREFIXES)
 
 
-@query(
-    ctes("texts")
-    + rf""", d as (select distinct * from fx_texts), ln as (select drawing_id, page, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)),1) as k from d),
- cd as (select drawing_id, page, k, line, unnest(regexp_extract_all(line,'(\b(?:{_PREFIXES})[- ]?\d[0-9A-Za-z-]*)',1)) as standard, generate_subscripts(regexp_extract_all(line,'(\b(?:{_PREFIXES})[- ]?\d[0-9A-Za-z-]*)',1),1) as j from ln),
- f as (select *, row_number() over (partition by drawing_id, page, standard order by k, j, line) as rn from cd)
- select drawing_id, page, row_number() over (partition by drawing_id, page order by k, j) as ord, standard, trim(line) as evidence from f where rn = 1 and (drawing_id, page) in (select drawing_id, page from fx_texts group by all having count(*) = 1)"""
-)
-def extract_cited_standards(spark, sf):
-    texts = derived(spark, sf, "texts")
-    single = texts.groupBy("drawing_id", "page").agg(F.count("*").alias("n"), F.min("text").alias("text")).where("n = 1")
-    return standards.extract_cited(single, "drawing_id", "page")
-
-
 @query(
     ctes("texts")
     + rf""", d as (select drawing_id, page, string_agg(text, chr(10) order by text) as text from fx_texts group by drawing_id, page), ln as (select drawing_id, page, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)),1) as k from d),
@@ -180,12 +173,16 @@ def extract_cited_standards(spark, sf):
  f as (select *, row_number() over (partition by drawing_id, page, standard order by k, j) as rn from cd)
  select drawing_id, page, row_number() over (partition by drawing_id, page order by k, j) as ord, standard, trim(line) as evidence from f where rn = 1"""
 )
-def extract_cited_all_pages(spark, sf):
+def extract_cited_standards(spark, sf):
     """Every page; the texts of a page that comes more than once are joined in sorted order."""
     texts = derived(spark, sf, "texts").groupBy("drawing_id", "page").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
     return standards.extract_cited(texts, "drawing_id", "page")
 
 
+QUERIES["extract_cited_all_pages"] = extract_cited_standards
+ORACLES["extract_cited_all_pages"] = ORACLES["extract_cited_standards"]
+
+
 @query(
     ctes("cited", "texts")
     + """, t as (select drawing_id, string_agg(text, chr(10) order by text) as text from fx_texts group by drawing_id)
@@ -465,6 +462,11 @@ def frame_connectors(spark, sf):
     return found.select("page_id", F.col("top_id").cast("long").alias("top_id"), F.col("bottom_id").cast("long").alias("bottom_id"), "top", "bottom", _texts("xs").alias("xs"))
 
 
+def _page_no() -> F.Column:
+    """Number of a page in its document: documents of 99 pages, in the order of the page ids."""
+    return (F.col("page_id") % 99 + 1).cast("int")
+
+
 def _texts(c) -> F.Column:
     return F.array_join(F.transform(c, lambda x: F.format_string("%.3f", x)), ",")
 
@@ -478,17 +480,17 @@ def words_in_cell(spark, sf):
 
 _CELLS = f"""{sql.FRAMES}, uc as (select page_id, ord, n_cells, generate_subscripts(xs[2:],1) - 1 as cell_index, unnest(xs[:-2]) as x0, y0, unnest(xs[2:]) as x1, y1 from frames),
  u1 as (select *, row_number() over (partition by page_id, round_even(x0/0.5,0), round_even(y0/0.5,0), round_even(x1/0.5,0), round_even(y1/0.5,0) order by ord, cell_index) as rn from uc),
- ucells as (select page_id, printf('CELL-%02d-%04d', 1, row_number() over (partition by page_id order by ord, cell_index)) as cell_id, x0, y0, x1, y1, cell_index, n_cells, cell_index = 0 as is_first from u1 where rn = 1)"""
+ ucells as (select page_id, printf('CELL-%02d-%04d', page_id % 99 + 1, row_number() over (partition by page_id order by ord, cell_index)) as cell_id, x0, y0, x1, y1, cell_index, n_cells, cell_index = 0 as is_first from u1 where rn = 1)"""
 
 
 @query(ctes("strokes") + f", {_CELLS} select * from ucells")
 def unique_cells(spark, sf):
-    return frames.unique_cells(frames.raw_frames(derived(spark, sf, "strokes")))
+    return frames.unique_cells(frames.raw_frames(derived(spark, sf, "strokes")), _page_no())
 
 
 @query(ctes("strokes", "matches") + f", {_CELLS} select page_id, symbol, round(score,4) as score, scale, round(x0,2) as x0, round(y0,2) as y0, round(x1,2) as x1, round(y1,2) as y1 from fx_matches m where not exists (select 1 from ucells c where c.page_id = m.page_id and (m.x0+m.x1)/2 between c.x0-3 and c.x1+3 and (m.y0+m.y1)/2 between c.y0-3 and c.y1+3)")
 def uncovered_matches(spark, sf):
-    return cells.uncovered_matches(derived(spark, sf, "matches"), frames.unique_cells(frames.raw_frames(derived(spark, sf, "strokes"))))
+    return cells.uncovered_matches(derived(spark, sf, "matches"), frames.unique_cells(frames.raw_frames(derived(spark, sf, "strokes")), _page_no()))
 
 
 _LOCATED = """select d.page_id, d.text, d.cx, d.cy, coalesce(r.label,'?') || coalesce(c.label,'?') as zone from markers d left join limits r on r.page_id = d.page_id and r.axis = 'row' and d.cy > r.start and d.cy <= r."end"
@@ -618,9 +620,9 @@ def frame_nms(spark, sf):
     return frames.frame_nms(frames.frame_nested(derived(spark, sf, "boxes")))
 
 
-@query(ctes("boxes") + " select page_id, ord, printf('GDT-CAND-P%02d-%03d', 1, row_number() over (partition by page_id order by ord)) as frame_id from fx_boxes")
+@query(ctes("boxes") + " select page_id, ord, printf('GDT-CAND-P%02d-%03d', page_id % 99 + 1, row_number() over (partition by page_id order by ord)) as frame_id from fx_boxes")
 def frame_ids(spark, sf):
-    return frames.frame_ids(derived(spark, sf, "boxes")).select("page_id", "ord", "frame_id")
+    return frames.frame_ids(derived(spark, sf, "boxes"), _page_no()).select("page_id", "ord", "frame_id")
 
 
 @query(ctes("scores") + f", {sql.RANKED} select cell_id, best, best_score, second, second_score, round(margin,6) as margin, agreement, accepted from ranking")
@@ -710,20 +712,34 @@ def revision_review(spark, sf):
 
 @query(
     ctes("strokes", "words")
-    + f""", {sql.GDT} select page_id, printf('GDT-CAND-P%02d-%03d', 1, ord) as frame_id, x0, y0, x1, y1, n_cells, array_to_string(texts, ',') as texts, {_CONFIDENCE} as confidence from kept join ft using (page_id, ord)"""
+    + f""", {sql.GDT} select page_id, printf('GDT-CAND-P%02d-%03d', page_id % 99 + 1, ord) as frame_id, x0, y0, x1, y1, n_cells, array_to_string(texts, ',') as texts, {_CONFIDENCE} as confidence from kept join ft using (page_id, ord)"""
 )
 def gdt_frames(spark, sf):
-    t = frames.gdt_frames(derived(spark, sf, "strokes"), derived(spark, sf, "words"))
+    t = frames.gdt_frames(derived(spark, sf, "strokes"), derived(spark, sf, "words"), _page_no())
     return t.select("page_id", "frame_id", "x0", "y0", "x1", "y1", F.col("n_cells").cast("long").alias("n_cells"), F.array_join(F.flatten("texts"), ",").alias("texts"), "confidence")
 
 
-@query()
+_CELL_SCORES = f"""{_CELLS}, uk as (select *, page_id * 10000 + cast(substr(cell_id, 9) as bigint) as cell_key from ucells),
+ sc as (select cell_key as cell_id, rep as representation, concat('tpl', cast(k as varchar)) as template, cast(((page_id * 7 + cell_index * 13 + k * 31 + n_cells * 5 + length(rep) * k * 11) % 100) / 100.0 as double) as score
+  from uk, (select 'gray' as rep union all select 'binary' union all select 'edges') v, (select 0 as k union all select 1 union all select 2) t)"""
+
+
+def _cells_and_scores(spark, sf):
+    """Unique cells of every page with a key, and the scores that a matcher delivers for each cell."""
+    unique = frames.unique_cells(frames.raw_frames(derived(spark, sf, "strokes")), _page_no())
+    keyed = unique.withColumn("cell_key", F.col("page_id").cast("long") * 10000 + F.substring("cell_id", 9, 9).cast("long"))
+    reps, templates = F.array(*map(F.lit, cells.REPRESENTATIONS)), F.array(*(F.lit(k) for k in range(3)))
+    each = keyed.select("*", F.explode(reps).alias("representation")).select("*", F.explode(templates).alias("k"))
+    points = (F.col("page_id") * 7 + F.col("cell_index") * 13 + F.col("k") * 31 + F.col("n_cells") * 5 + F.length("representation") * F.col("k") * 11) % 100
+    return keyed, each.select(F.col("cell_key").alias("cell_id"), "representation", F.concat(F.lit("tpl"), "k").alias("template"), (points / 100.0).alias("score"))
+
+
+@query(ctes("strokes") + f", {_CELL_SCORES}, fx_scores as (select * from sc), {sql.RANKED} select page_id, u.cell_id, is_first, best, best_score, agreement, accepted from uk u join ranking r on r.cell_id = u.cell_key")
 def gdt_cells(spark, sf):
-    return pipelines.gdt_cells(derived(spark, sf, "strokes"), derived(spark, sf, "vectors"))
+    return pipelines.gdt_cells(*_cells_and_scores(spark, sf))
 
 
-@query(ctes("scores") + f", {sql.RANKED} select cell_id, best, best_score, case when accepted then 'validated' else 'rejected' end as verdict from ranking where cell_id % 4 = 1")
+@query(ctes("strokes") + f", {_CELL_SCORES}, fx_scores as (select * from sc), {sql.RANKED} select r.cell_id, best, best_score, case when accepted then 'validated' else 'rejected' end as verdict from ranking r join uk u on u.cell_key = r.cell_id where is_first")
 def gdt_first_cell(spark, sf):
-    s = derived(spark, sf, "scores")
-    first = s.select("cell_id", (F.col("cell_id") % 4 == 1).alias("is_first")).distinct()
-    return cells.gdt_first_cell(first, s)
+    keyed, scores = _cells_and_scores(spark, sf)
+    return cells.gdt_first_cell(keyed.select(F.col("cell_key").alias("cell_id"), "is_first"), scores)

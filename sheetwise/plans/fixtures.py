@@ -14,23 +14,23 @@ GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem
 
 SQL = {
     "parts": """
-select cast(row_number() over (order by p_name) as bigint) as ord, p_name as part,
+select cast(ord as bigint) as ord, p_name as part,
   concat('tss-', lpad(cast(length(p_name)*7 % 40 as string),6,'0'), '; TSS', lpad(cast(length(p_name)*11 % 40 as string),6,'0'),
          ';ISO ', cast(1000+length(p_name) as string)) as mandatory
-from (select distinct p_name from part) d""",
+from (select p_name, min(p_partkey) as ord from part group by p_name) d""",
     "notes": """
 select p_partkey as ord,
   concat(case p_partkey%3 when 0 then 'TSS' when 1 then 'tss-' else 'NTB_' end, lpad(cast(p_partkey%400 as string),6,'0')) as standard,
   concat(p_name,' ',lower(p_type)) as content, case when p_size%5=0 then 'Material' else 'Process' end as category,
   case when p_size%4=0 then 'All' else concat(p_brand,', Brand#',cast(p_size%25 as string)) end as compressor_series,
-  case when p_size%7=0 then 'all' else concat(p_name,'; ',p_type,' ',p_name) end as applicability
-from part where p_partkey%20=3""",
+  case when p_partkey<10 then 'all' else concat(p_name,'; ',p_type,' ',p_name) end as applicability
+from part""",
     "drawings": """
 select o_orderkey as drawing_id,
   case o_orderkey%4 when 0 then p_name when 1 then upper(p_name) when 2 then concat(p_name,' raw') else 'unknown thing' end as component,
   case when o_orderkey%3=0 then null else p_brand end as compressor_series,
   case o_orderkey%5 when 0 then p_name when 1 then 'steel_sheet' else null end as material_family
-from orders join part on p_partkey = 1 + o_orderkey%150""",
+from (select o_orderkey, o_orderkey % n as k from orders, (select count(*) as n from part) c) o join part on p_partkey = k""",
     "cited": """
 select l_orderkey as drawing_id, cast(l_linenumber as int) as ord,
   concat(case l_partkey%4 when 0 then 'TSS' when 1 then 'tss-' when 2 then 'TSS_' else 'ISO ' end, lpad(cast(l_partkey%40 as string),6,'0')) as standard,
@@ -38,7 +38,7 @@ select l_orderkey as drawing_id, cast(l_linenumber as int) as ord,
     when 1 then concat(cast(l_linenumber as string),'. GEOMETRIC REQUIREMENTS') else 'ACCORDING TO SPEC' end as evidence
 from lineitem""",
     "cost_log": """
-select event_id as call_id, event_type as modelo,
+select event_id as call_id, concat('2026-07-', lpad(cast(1+event_id%28 as string),2,'0'), 'T10:00:00') as timestamp, event_type as modelo,
   case when event_id%97=0 then 'n/a' else cast(2000+event_id%5000 as string) end as total_tokens,
   cast(1500+event_id%1000 as string) as prompt_tokens, cast(300+event_id%700 as string) as completion_tokens,
   case when event_id%83=0 then '' else cast(8000+event_id%9000 as string) end as latencia_ms,

@@ -69,12 +69,10 @@ def revision_review(files: DataFrame, pixels: DataFrame, answers: DataFrame, spa
     return pairs.join(per_pair, "pair_id").join(summary, "pair_id")
 
 
-def gdt_cells(strokes: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(page_id, cell_id, is_first, best, best_score, accepted): unique cells of each page with their symbol.
+def gdt_cells(unique: DataFrame, scores: DataFrame) -> DataFrame:
+    """(page_id, cell_id, is_first, best, best_score, agreement, accepted): unique cells of each page with their symbol.
 
-    The vector of a cell is that of its page's number; templates are the first three vectors.
+    ``unique``: as of frames.unique_cells, with cell_key; ``scores``: (cell_id, representation, template, score), cell_id the key.
     """
-    unique = frames.unique_cells(frames.raw_frames(strokes))
-    templates = vectors.where("cell_id < 3").select(F.concat(F.lit("tpl"), "cell_id").alias("template"), "representation", "vec")
-    ranked = cells.cell_ranking(cells.template_correlation(vectors, templates)).select(F.col("cell_id").alias("page_id"), "best", F.round("best_score", 6).alias("best_score"), "accepted")
-    return unique.join(ranked, "page_id").select("page_id", "cell_id", "is_first", "best", "best_score", "accepted")
+    ranked = cells.cell_ranking(scores).select(F.col("cell_id").alias("cell_key"), "best", "best_score", "agreement", "accepted")
+    return unique.join(ranked, "cell_key").select("page_id", "cell_id", "is_first", "best", "best_score", "agreement", "accepted")

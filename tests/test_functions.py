@@ -71,8 +71,8 @@ def test_fixed_rounds_as_printf(spark, xs, digits):
 
 
 def test_cost_summary_counts_up_to_the_first_bad_cell(spark):
-    rows = [(1, "m", "10", "5", "5", "100", "0.5"), (2, "m", "20", "5", "5", "100", "x"), (3, "m", "30", "5", "5", "", "0.25"), (4, "m", "n/a", "1", "1", "1", "1")]
-    df = spark.createDataFrame(rows, "call_id long, modelo string, total_tokens string, prompt_tokens string, completion_tokens string, latencia_ms string, custo_usd string")
+    rows = [(1, "t", "m", "10", "5", "5", "100", "0.5"), (2, "t", "m", "20", "5", "5", "100", "x"), (3, "t", "m", "30", "5", "5", "", "0.25"), (4, "t", "m", "n/a", "1", "1", "1", "1")]
+    df = spark.createDataFrame(rows, "call_id long, timestamp string, modelo string, total_tokens string, prompt_tokens string, completion_tokens string, latencia_ms string, custo_usd string")
     assert tuple(batch.cost_summary(df).first()) == (1, 60, "$0.7500", "100.00")
     assert tuple(batch.cost_summary(df.limit(0)).first()) == (0, 0, "$0.0000", "0.00")
 

@@ -26,7 +26,8 @@ def test_listing_and_writers(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).first()[0] == '{"a":1,"b":null}'
     files.write_sheet(df.withColumn("c", F.lit("x")), str(tmp_path / "sheet"))
     assert spark.read.csv(str(tmp_path / "sheet"), header=True).columns == ["a", "b", "c"]
-    calls = spark.createDataFrame([(1, "m", 10, 5, 5, 12.345)], "call_id long, modelo string, total_tokens long, prompt_tokens long, completion_tokens long, latencia_ms double")
+    calls = spark.createDataFrame([("2026-07-01T10:00:00", "m", 10, 5, 5, 12.345)], "timestamp string, modelo string, total_tokens long, prompt_tokens long, completion_tokens long, latencia_ms double")
     for _ in range(2):
         batch.append_costs(calls, str(tmp_path / "costs"))
-    assert spark.read.csv(str(tmp_path / "costs"), header=True).count() == 2
+    back = files.read_cost_log(spark, str(tmp_path / "costs")).drop("call_id").collect()
+    assert [tuple(r) for r in back] == [("2026-07-01T10:00:00", "m", "10", "5", "5", f"{12.345:.2f}", "0.000002")] * 2
