@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The prefixes, limits and prices of the review rules.
 STANDARD_PREFIXES = ("TSS", "SOP", "ISO", "DIN", "JIS", "ASTM", "ASME", "ANSI", "IEC", "NTB")
 MAX_EVIDENCE = 150
 INPUT_PRICE, OUTPUT_PRICE = 0.075, 0.30  # USD for a million tokens

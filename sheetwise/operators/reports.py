@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sheetwise.functions import text as T
 
 ITEM_HINTS, ZONE_HINTS, STATUS_HINTS = ("item",), ("localiza", "quadrante"), ("status",)
+# The forms of a zone and of a range of zones.
 TOKEN = r"(?:[A-Za-z]\d{1,2}|\d{1,2}[A-Za-z])"
 RANGE = rf"(?i)\b({TOKEN})\s*(?:-|a)\s*({TOKEN})\b"
 

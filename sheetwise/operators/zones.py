@@ -11,6 +11,7 @@ EDGE = 0.13
 STEP_TOLERANCE = 0.06
 MIN_LABELS = 3
 MARGIN = 0.08
+# Fixed value: the form of a dimension text.
 DIMENSION = r"^\(?\d+[.,]\d*(?:[±+-]\d+[.,]\d+)?\)?$"
 
 
