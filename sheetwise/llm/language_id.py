@@ -41,16 +41,23 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 @cache
-def _numerals() -> re.Pattern:
-    """Numerals such as ½ and Ⅷ, which \\w holds besides digits but which are no letters."""
-    return re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]")
+def _numerals() -> dict[int, str]:
+    """Spaces for numerals such as ½ and Ⅷ, which \\w holds besides digits but which are no letters."""
+    return {ord(c): " " for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()}
+
+
+@cache
+def _numeral_set() -> frozenset[str]:
+    return frozenset(map(chr, _numerals()))
 
 
 def words_of(text: str | None) -> list[str]:
     if not text:
         return []
     text = text.lower()
-    return _WORD.findall(text if text.isascii() else _numerals().sub(" ", text))
+    if not text.isascii() and not _numeral_set().isdisjoint(text):
+        text = text.translate(_numerals())
+    return _WORD.findall(text)
 
 
 def grams_of(word: str, n: int) -> list[str]:
