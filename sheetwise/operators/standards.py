@@ -14,6 +14,8 @@ from sheetwise.functions import text as T
 MATRIX, COMPONENT, MATERIAL = "customer_applicability_matrix", "component_match", "material_match"
 SOURCES = (MATRIX, COMPONENT, MATERIAL)
 THRESHOLD, MATERIAL_THRESHOLD = 0.5, 0.4
+#: Copies of each note for all components, and characters by which families meet contents.
+SALTS, GRAM = 32, 4
 
 
 def clean_notes(raw: DataFrame) -> DataFrame:
@@ -71,15 +73,24 @@ def mandatory_standards(queries: DataFrame, parts: DataFrame, threshold: float =
     )
 
 
+def _general() -> F.Column:
+    return F.exists("applicability", lambda x: F.lower(x) == "all")
+
+
+def _series_keys(notes: DataFrame) -> DataFrame:
+    """(ord, standard, series_key): "a" for notes of all series; else "s" with each series, and "s" alone for drawings without one."""
+    every = F.exists("compressor_series", lambda x: F.lower(x) == "all")
+    named = F.transform(F.array_distinct("compressor_series"), lambda x: F.concat(F.lit("s"), x))
+    return notes.select("ord", "standard", F.explode(F.when(every, F.array(F.lit("a"))).otherwise(F.array_append(named, F.lit("s")))).alias("series_key"))
+
+
 def component_notes(queries: DataFrame, notes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(component, ord): notes that apply to each distinct component name, series aside."""
+    """(component, ord): notes listed for names like each distinct component; series and notes for all components aside."""
     names = queries.select("component").where("component is not null").distinct()
-    listed = notes.select("ord", F.explode("applicability").alias("part")).where("lower(part) <> 'all'")
+    listed = notes.where(~F.coalesce(_general(), F.lit(False))).select("ord", F.explode("applicability").alias("part"))
     parts = listed.select(F.col("part"), F.col("part").alias("name")).distinct()
     near = similar(names.select("component", F.col("component").alias("name")), "component", parts, "part").where(F.col("score") >= threshold)
-    matched = near.join(listed, "part").select("component", "ord").distinct()
-    general = notes.where(F.exists("applicability", lambda x: F.lower(x) == "all")).select("ord")
-    return matched.union(names.crossJoin(general)).distinct()
+    return near.join(listed, "part").select("component", "ord").distinct()
 
 
 def component_match(queries: DataFrame, notes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -87,26 +98,38 @@ def component_match(queries: DataFrame, notes: DataFrame, threshold: float = THR
 
     With a series, a note passes if its series are all or contain it exactly. Without one, only notes
     for all series pass; the others come back with open_series, since the series decides them.
+
+    Component and series are equi-keys. Notes for all components meet every drawing by their meaning;
+    they are repeated over SALTS, so that neither side has a hot key and none has to be broadcast.
     """
-    pairs = component_notes(queries, notes, threshold).join(notes.select("ord", "standard", "compressor_series"), "ord")
-    rows = queries.select("drawing_id", "component", F.coalesce("compressor_series", F.lit("")).alias("series")).join(pairs, "component")
-    every = F.exists("compressor_series", lambda x: F.lower(x) == "all")
-    given = F.col("series") != ""
-    return (
-        rows.withColumn("open_series", ~given & ~every)
-        .where(every | ~given | F.array_contains("compressor_series", F.col("series")))
-        .select("drawing_id", "standard", F.lit("component applies").alias("reason"), F.lit(COMPONENT).alias("source"), F.lit(1).alias("src"), "ord", "open_series")
-    )
+    rows = queries.where("component is not null").select("drawing_id", "component", F.explode(F.array(F.lit("a"), F.concat(F.lit("s"), F.coalesce("compressor_series", F.lit(""))))).alias("series_key"))
+    listed = component_notes(queries, notes, threshold).join(_series_keys(notes), "ord")
+    general = _series_keys(notes.where(_general())).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("drawing_id"), F.lit(SALTS)).cast("int"))
+    both = rows.join(listed, ["component", "series_key"]).select("drawing_id", "standard", "ord", "series_key")
+    both = both.union(salted.join(general, ["salt", "series_key"]).select("drawing_id", "standard", "ord", "series_key"))
+    return both.select("drawing_id", "standard", F.lit("component applies").alias("reason"), F.lit(COMPONENT).alias("source"), F.lit(1).alias("src"), "ord", (F.col("series_key") == "s").alias("open_series"))
+
+
+def _grams(text, n: int) -> F.Column:
+    """Distinct parts of ``text`` of 1 to ``n`` characters, and the empty one."""
+    at = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - k + 1)), lambda i: F.substr(text, i, F.lit(k)))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *map(at, range(1, n + 1))))
 
 
 def material_match(queries: DataFrame, notes: DataFrame) -> DataFrame:
     """Notes of category material whose content contains the family or is similar to it.
 
-    Families are few and distinct; the containment test has no key, so it runs over distinct families.
+    A content that contains a family contains the family's first GRAM characters, and one that is
+    similar shares a word, so both are equi-joins of distinct families with notes.
     """
     families = queries.select(F.col("material_family").alias("family")).where("family is not null and family <> ''").distinct()
-    material = notes.where(F.lower("category") == "material").select("ord", "standard", "content")
-    hit = families.join(material, T.normalize_text("content").contains(T.normalize_text("family")) | (T.jaccard("family", "content") >= MATERIAL_THRESHOLD))
+    material = notes.where(F.lower("category") == "material").select("ord", "standard", "content", T.normalize_text("content").alias("plain"))
+    heads = families.withColumn("short", T.normalize_text("family")).withColumn("gram", F.substring("short", 1, GRAM))
+    grams = material.select("ord", "plain", F.explode(_grams(F.col("plain"), GRAM)).alias("gram"))
+    held = heads.join(grams, "gram").where(F.contains("plain", "short")).select("family", "ord")
+    near = similar(families.withColumn("name", F.col("family")), "family", material.select("ord", F.col("content").alias("name")), "ord").where(F.col("score") >= MATERIAL_THRESHOLD)
+    hit = held.union(near.select("family", "ord")).distinct().join(material.select("ord", "standard"), "ord")
     return queries.join(hit, F.col("material_family") == F.col("family")).select(
         "drawing_id", "standard", F.lit("material applies").alias("reason"), F.lit(MATERIAL).alias("source"), F.lit(2).alias("src"), "ord"
     )
@@ -125,8 +148,16 @@ def applicable_standards(queries: DataFrame, parts: DataFrame, notes: DataFrame)
 
 
 def unresolved(queries: DataFrame, notes: DataFrame) -> DataFrame:
-    """(drawing_id, field): the series, once, where a note depends on a series that isn't given."""
-    return component_match(queries, notes).where("open_series").select("drawing_id", F.lit("compressor_series").alias("field")).distinct()
+    """(drawing_id, field): the series, once, where a note depends on a series that isn't given.
+
+    Decided for distinct components; of the notes for all components, one row tells.
+    """
+    rows = queries.where("component is not null and coalesce(compressor_series, '') = ''").select("drawing_id", "component", F.lit("s").alias("series_key"))
+    open_notes = lambda df: _series_keys(df).where("series_key = 's'")
+    listed = component_notes(queries, notes).join(open_notes(notes), "ord", "left_semi").select("component").distinct()
+    general = open_notes(notes.where(_general())).select("series_key").limit(1)
+    found = rows.join(listed, "component", "left_semi").select("drawing_id").union(rows.join(F.broadcast(general), "series_key", "left_semi").select("drawing_id"))
+    return found.distinct().select("drawing_id", F.lit("compressor_series").alias("field"))
 
 
 def cited_standards(cited: DataFrame) -> DataFrame:
@@ -180,10 +211,11 @@ def conformity(verdicts: DataFrame) -> DataFrame:
     return counts.withColumn("conformity", share).withColumn("band", T.conformity_band(F.col("conformity")))
 
 
-def missing_detail(verdicts: DataFrame, applicable: DataFrame) -> DataFrame:
-    """(drawing_id, standard, reason): each missing code with its first reason, null if none is known."""
-    first = applicable.groupBy("drawing_id", "standard").agg(F.min_by("reason", F.struct("src", "ord")).alias("reason"))
-    return verdicts.where("verdict = 'missing'").select("drawing_id", "standard").join(first, ["drawing_id", "standard"], "left")
+def missing_detail(applicable: DataFrame, cited: DataFrame) -> DataFrame:
+    """(drawing_id, standard, reason): each applicable code that isn't cited, with its first reason. One pass over ``applicable``."""
+    code = T.normalize_standard("standard").alias("standard")
+    first = applicable.select("drawing_id", code, "reason", "src", "ord").where("standard <> ''").groupBy("drawing_id", "standard").agg(F.min_by("reason", F.struct("src", "ord")).alias("reason"))
+    return first.join(cited.select("drawing_id", code), ["drawing_id", "standard"], "left_anti")
 
 
 def source_groups(applicable: DataFrame) -> DataFrame:

@@ -400,8 +400,7 @@ _COMPLIANCE = _APPLICABLE.replace("with fx_notes", "with fx_cited as (" + ctes("
 def missing_detail(spark, sf):
     d = derived(spark, sf, "drawings")
     cited = derived(spark, sf, "cited").join(d.select("drawing_id").distinct(), "drawing_id", "left_semi")
-    applicable = _applicable(spark, sf)
-    return standards.missing_detail(standards.compare_standards(applicable, cited), applicable)
+    return standards.missing_detail(_applicable(spark, sf), cited)
 
 
 @query(
