@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions import text as T
@@ -69,6 +71,39 @@ def response_ingest(responses: DataFrame) -> DataFrame:
     return parsed.select("doc_id", "answer", F.array_compact(F.array(*bad)).alias("violations"))
 
 
+#: The fields of the stored answers of each kind.
+SCHEMAS = {
+    "classification": "classificacao string, justificativa string",
+    "standards": "lista_normas array<string>, justificativas array<string>",
+    "classification_and_standards": "classificacao string, justificativa_classificacao string, lista_normas array<string>, justificativas_normas array<string>",
+    "missing_standards": "normas_sugeridas array<string>, reasoning string, confianca double",
+    "difference": "parecer_geral string, analise_faltantes array<struct<norma:string,impacto:string>>, analise_extras array<struct<norma:string,avaliacao:string>>, conformidade_percentual double",
+}
+
+
+def schema_ingest(responses: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, answer, violations): stored answers of one of SCHEMAS, with every rule they break.
+
+    All fields are required, also those of list items; codes don't repeat; a list of reasons is as
+    long as its list of codes; a confidence is from 0 to 1. What isn't JSON is malformed.
+    """
+    parsed = responses.select("doc_id", F.from_json("response", SCHEMAS[kind]).alias("answer"), F.try_parse_json("response").isNull().alias("malformed"))
+    fields = {f.name: f.dataType for f in parsed.schema["answer"].dataType}
+    own = {f: F.col(f"answer.{f}") for f in fields}
+    bad = [F.when(own[f].isNull(), f"{f}: missing") for f in fields]
+    for f, t in fields.items():
+        if t.typeName() == "array" and t.elementType.typeName() == "struct":
+            parts = t.elementType.names
+            bad.append(F.when(F.exists(own[f], lambda x: reduce(Column.__or__, (x[c].isNull() for c in parts))), f"{f}: incomplete"))  # noqa: B023
+    reasons = [f for f in fields if f.startswith("justificativas")]
+    codes = [f for f in fields if f in ("lista_normas", "normas_sugeridas")]
+    bad += [F.when(F.size(own[a]) != F.size(own[b]), f"{a}: unequal length") for a, b in zip(codes, reasons)]
+    bad += [F.when(F.size(own[f]) > F.size(F.array_distinct(own[f])), f"{f}: repeated") for f in codes]
+    bad += [F.when(~own[f].between(0, 1), f"{f}: confidence") for f in fields if f == "confianca"]
+    rules = F.when(F.col("malformed"), F.array(F.lit("malformed"))).otherwise(F.array_compact(F.array(*bad)))
+    return parsed.select("doc_id", "answer", rules.alias("violations"))
+
+
 def valid(ingested: DataFrame) -> DataFrame:
     return ingested.where(F.size("violations") == 0).drop("violations")
 

@@ -7,6 +7,7 @@ joined text, so that both engines compare alike.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,6 +124,31 @@ def response_ingest(spark, sf):
     return batch.response_ingest(derived(spark, sf, "responses")).select("doc_id", F.col("answer.component.value").alias("component"), F.array_join("violations", "; ").alias("violations"))
 
 
+def _missing(*fields: str) -> str:
+    return ", ".join(f"case when r->>'$.{f}' is null then '{f}: missing' end" for f in fields)
+
+
+def _lists(a: str, b: str) -> str:
+    length = f"case when json_array_length(r,'$.{a}') <> json_array_length(r,'$.{b}') then '{a}: unequal length' end"
+    return f"{length}, case when len(list_distinct((r->>'$.{a}')::varchar[])) < json_array_length(r,'$.{a}') then '{a}: repeated' end"
+
+
+@query(
+    ctes("answers")
+    + f""", v as (select doc_id, kind, case when json_valid(response) then response end as r from fx_answers)
+ select doc_id, kind, case when r is null then 'malformed' else case kind when 'classification' then concat_ws('; ', {_missing('classificacao', 'justificativa')})
+  when 'standards' then concat_ws('; ', {_missing('lista_normas', 'justificativas')}, {_lists('lista_normas', 'justificativas')})
+  when 'classification_and_standards' then concat_ws('; ', {_missing('classificacao', 'justificativa_classificacao', 'lista_normas', 'justificativas_normas')}, {_lists('lista_normas', 'justificativas_normas')})
+  when 'missing_standards' then concat_ws('; ', {_missing('normas_sugeridas', 'reasoning', 'confianca')}, case when try_cast(r->>'$.confianca' as double) not between 0 and 1 then 'confianca: confidence' end)
+  else concat_ws('; ', {_missing('parecer_geral', 'analise_faltantes', 'analise_extras', 'conformidade_percentual')}, case when r->>'$.analise_faltantes[0].impacto' is null then 'analise_faltantes: incomplete' end) end end as violations from v"""
+)
+def response_schemas(spark, sf):
+    """Stored answers of five kinds, each by its own schema and rules."""
+    t = derived(spark, sf, "answers")
+    each = [batch.schema_ingest(t.where(F.col("kind") == k), k).select("doc_id", F.lit(k).alias("kind"), F.array_join("violations", "; ").alias("violations")) for k in batch.SCHEMAS]
+    return reduce(DataFrame.union, each)
+
+
 @query()
 def result_json_export(spark, sf):
     return pipelines.compliance_json(derived(spark, sf, "drawings"), derived(spark, sf, "cited"), _parts(spark, sf), _notes(spark, sf))
@@ -689,7 +715,12 @@ def zone_groups(spark, sf):
 # Compositions
 
 
-@query()
+@query(
+    ctes("responses")
+    + f""", v as (select doc_id, case when json_valid(response) then response end as r from fx_responses)
+ select doc_id, 0 as ord, r->>'$.component.value' as component, {sql.normalize_standard("r->>'$.cited_standards[0].standard'")} as standard, r->>'$.cited_standards[0].standard' as standard_raw,
+  {sql.note_number("r->>'$.cited_standards[0].evidence'")} as note_number from v where r is not null and try_cast(r->>'$.component.confidence' as double) <= 1"""
+)
 def enriched_classification(spark, sf):
     return pipelines.enriched_classification(derived(spark, sf, "responses"))
 

@@ -89,6 +89,15 @@ select o_orderkey as doc_id, case when o_orderkey%50=0 then '{"component": ' els
  cast(o_custkey%64 as string),'","evidence":"PART NAME","confidence":', case when o_orderkey%17=0 then '1.5' else '0.5' end,
  '},"material_family":{"value":null,"evidence":null,"confidence":0.0},"compressor_series":{"value":null,"evidence":null,"confidence":0.0},"cited_standards":[{"standard":"TSS-',
  lpad(cast(o_custkey%40 as string),6,'0'),'","evidence":"NOTE 7: X"}]}') end as response from orders""",
+    "answers": """
+select o_orderkey as doc_id, case o_orderkey%5 when 0 then 'classification' when 1 then 'standards' when 2 then 'classification_and_standards' when 3 then 'missing_standards' else 'difference' end as kind,
+ case when o_orderkey%43=0 then '{"x' else case o_orderkey%5
+  when 0 then concat('{"classificacao":"part ',cast(o_custkey as string),'"', case when o_orderkey%7=0 then '' else ',"justificativa":"title"' end, '}')
+  when 1 then concat('{"lista_normas":["TSS 000001","', case when o_orderkey%7=0 then 'TSS 000001' else 'ISO 2' end, '"],"justificativas":["a"', case when o_orderkey%3=0 then '' else ',"b"' end, ']}')
+  when 2 then concat('{"classificacao":"part","justificativa_classificacao":null,"lista_normas":["ISO 1"],"justificativas_normas":["a"', case when o_orderkey%3=0 then ',"b"' else '' end, ']}')
+  when 3 then concat('{"normas_sugeridas":["ISO 1"],"reasoning":"r","confianca":', case when o_orderkey%7=0 then '1.5' when o_orderkey%3=0 then 'null' else '0.4' end, '}')
+  else concat('{"parecer_geral":"ok","analise_faltantes":[{"norma":"ISO 1"', case when o_orderkey%7=0 then '' else ',"impacto":"low"' end, '}],"analise_extras":[],"conformidade_percentual":80.0}') end end as response
+from orders""",
     "vectors": """
 select vec_id as cell_id, rep as representation, embedding as vec from embeddings, (select 'gray' as rep union all select 'binary' as rep union all select 'edges' as rep) v""",
     "boxes": """
