@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -32,16 +33,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_passing = threading.local()
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the written table.
 
     This cuts the lineage: a lost executor costs only the tasks that read the table.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for paths in getattr(_passing, "levels", [])[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_last(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Keep what ``make`` returns and delete the tables that it kept on the way."""
+    levels = _passing.levels = getattr(_passing, "levels", [])
+    levels.append([])
+    try:
+        last = make()
+    except BaseException:
+        levels.pop()
+        raise
+    passing = levels.pop()
+    last = keep(last, name)
+    spark = last.sparkSession
+    for path in passing:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return last
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores behind as no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}
@@ -95,6 +119,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edge with the smallest neighbour of its end, so no adjacency list is ever gathered; a hub is an
     ordinary skewed join key, which can be split because both sides are read from tables. Self-loops and rows with a null end are ignored; repeated edges count once.
     """
+    return keep_last(lambda: _contracted(edges, max_rounds), "components")
+
+
+def _contracted(edges: DataFrame, max_rounds: int) -> DataFrame:
     e = (
         edges.where("a <> b")
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
