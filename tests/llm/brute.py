@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -114,3 +115,40 @@ def chats(rows):
         loss = "".join(x for _, _, r, x in turns if r == "assistant")
         out.append((c, len(turns), sha("".join(f"{r}\n{x}\n" for _, _, r, x in turns)), len(loss), sha(loss)))
     return out
+
+
+def runs(words):
+    """(start, length, period) of every periodic run: all lags, all stretches, all smaller periods."""
+    n, out = len(words), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            length = j + q - i
+            if length >= max(6, 4 * q) and not any(all(words[x] == words[x + p] for x in range(i, j + q - p)) for p in range(1, q)):
+                out.append((i, length, q))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def periodic(doc_id, text):
+    """(doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256)"""
+    words = WORD.findall(text or "")
+    n = len(words)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    found = runs(words)
+    gone = {i for s, length, q in found for i in range(s + q, s + length)}
+    best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=None)
+    told = sha("".join(f"{s},{length},{q}\n" for s, length, q in found))
+    kept = sha(" ".join(w for i, w in enumerate(words) if i not in gone))
+    return (doc_id, len(found), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, told, kept)
