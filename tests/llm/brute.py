@@ -152,3 +152,45 @@ def periodic(doc_id, text):
     told = sha("".join(f"{s},{length},{q}\n" for s, length, q in found))
     kept = sha(" ".join(w for i, w in enumerate(words) if i not in gone))
     return (doc_id, len(found), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, told, kept)
+
+
+def alignment(rows, encode_a, bytes_a, encode_b, bytes_b):
+    """rows: (doc_id, text). (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256); ``encode``: ids of a text, ``bytes``: of an id."""
+    found, seen = [], Counter()
+    for d, text in rows:
+        a, b = (encode_a(" " + text), encode_b(text)) if text else ([], [])
+        whole = (" " + (text or "")).encode()
+        if b"".join(map(bytes_a, a)) != whole or b"".join(map(bytes_b, b)) != whole:
+            a, b = [], []
+        spans = []
+        for ids, spell in ((a, bytes_a), (b, bytes_b)):
+            at, own = 0, []
+            for i in ids:
+                own.append((at, at := at + len(spell(i)), i))
+            spans.append(own)
+        links, k = [], 0
+        for s, e, i in spans[0]:
+            while k and spans[1][k][0] > s:
+                k -= 1
+            while k < len(spans[1]) and spans[1][k][1] <= s:
+                k += 1
+            j = k
+            while j < len(spans[1]) and spans[1][j][0] < e:
+                links.append((i, spans[1][j][2]))
+                j += 1
+        cuts = sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]})
+        groups, heads = [], [0, 0]
+        for c in cuts:
+            sides = []
+            for side, own in enumerate(spans):
+                begin = heads[side]
+                while heads[side] < len(own) and own[heads[side]][1] <= c:
+                    heads[side] += 1
+                sides.append(",".join(str(i) for _, _, i in own[begin : heads[side]]))
+            groups.append("|".join(sides))
+        seen.update(links)
+        found.append((d, len(a), len(b), len(cuts), links, ";".join(groups)))
+    most = defaultdict(int)
+    for (_, j), n in seen.items():
+        most[j] = max(most[j], n)
+    return [(d, na, nb, n, len(ls), sum(seen[x] == most[x[1]] for x in ls), sum(seen[x] for x in ls), sha(g) if g else "") for d, na, nb, n, ls, g in found]
