@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm import alignment, chat_format, decontaminate, language_id, line_dedup, mixing, periodic_runs, quality, secret_scan, simhash, substring_dedup, token_count
+from sheetwise.llm import alignment, chat_format, decontaminate, language_id, license_scan, line_dedup, mixing, periodic_runs, quality, secret_scan, simhash, substring_dedup, token_count
 from sheetwise.llm.common import keep
 
 
@@ -63,6 +63,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(turns.union(probe)))
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.find_licenses(_table(spark, sf_dir, "documents")))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.totals(_table(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_language_id, op3_quality_rules, op4_benchmark_decontamination, op5_line_dedup,
-    op6_mixing, op7_simhash, op8_token_counts, op9_substring_dedup, op10_chat_formatting, op12_tokenizer_alignment, op13_periodic_runs,
+    op6_mixing, op7_simhash, op8_token_counts, op9_substring_dedup, op10_chat_formatting, op11_license_scans, op12_tokenizer_alignment, op13_periodic_runs,
 )}
 
-ORACLES = {"op5_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op5_line_dedup": line_dedup.ORACLE, "op11_license_scans": license_scan.ORACLE}

@@ -194,3 +194,12 @@ def alignment(rows, encode_a, bytes_a, encode_b, bytes_b):
     for (_, j), n in seen.items():
         most[j] = max(most[j], n)
     return [(d, na, nb, n, len(ls), sum(seen[x] == most[x[1]] for x in ls), sum(seen[x] for x in ls), sha(g) if g else "") for d, na, nb, n, ls, g in found]
+
+
+def licenses(text):
+    """(n_words, n_base, first_word, last_word, base_labels)"""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    phrases = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
+    at = [(i, label) for label, p in phrases.items() for i in range(len(words)) if words[i : i + len(p)] == p]
+    starts = [i for i, _ in at]
+    return len(words), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({label for _, label in at}))
