@@ -2,20 +2,26 @@
 
 Tables: notes (ord, standard, content, category, compressor_series, applicability), parts (ord, part,
 mandatory), queries (drawing_id, component, compressor_series, material_family).
+
+What applies to a drawing follows from its component, series and family alone, so everything is matched once for
+each distinct shape of these three. Shapes grow with the catalog, not with the drawings; drawings meet the finished
+list of their shape in one join at the end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions import text as T
+from sheetwise.scratch import keep, keep_last
 
 MATRIX, COMPONENT, MATERIAL = "customer_applicability_matrix", "component_match", "material_match"
 SOURCES = (MATRIX, COMPONENT, MATERIAL)
 THRESHOLD, MATERIAL_THRESHOLD = 0.5, 0.4
-#: Copies of each note for all components, and characters by which families meet contents.
-SALTS, GRAM = 32, 4
+#: Characters of a gram by which families meet contents, and families up to which their index goes to every task.
+GRAM, MAX_BROADCAST = 4, 200_000
+SHAPE = ("component", "compressor_series", "material_family")
 
 
 def clean_notes(raw: DataFrame) -> DataFrame:
@@ -37,43 +43,85 @@ def clean_parts(raw: DataFrame) -> DataFrame:
     return rows.groupBy("part").agg(F.min("ord").alias("ord"), F.max_by("mandatory", "ord").alias("mandatory")).select("ord", "part", "mandatory")
 
 
-def _words(df: DataFrame, name: str, key: str) -> DataFrame:
-    """key, n (words of the name) and a row for each word."""
-    t = T.tokens(name)
-    return df.select(key, F.size(t).alias(f"{key}_n"), F.explode(t).alias("word"))
+def _ranked(names: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """(key, words): the distinct words of ``name``, the rarest first."""
+    each = names.select(key, F.explode(T.tokens("name")).alias("word")).join(counts, "word")
+    return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("words"))
 
 
-def similar(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
-    """Jaccard similarity of all pairs that share a word: an equi-join on words instead of all pairs.
+def candidates(left: DataFrame, left_key: str, right: DataFrame, right_key: str, threshold: float) -> DataFrame:
+    """(left_key, right_key, a, b): pairs, each once, that may reach a Jaccard similarity of ``threshold``, with their words.
 
-    ``left`` and ``right`` have a key and the column ``name``; keys are distinct.
+    Words are ordered by how few names have them. Two similar names share a word among the first n - ceil(threshold * n) + 1
+    of n, so only these are join keys, and a word that all names have makes no pairs unless names have little else. Of names
+    that share several such words the first is taken; sizes too far apart are left out.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be above 0, at most 1")
+    words = left.select(F.explode(T.tokens("name")).alias("word")).union(right.select(F.explode(T.tokens("name")).alias("word")))
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    size = F.size("words")
+    first = F.slice("words", F.lit(1), size - F.ceil(size * threshold - 1e-9).cast("int") + 1)
+    side = lambda df, key, own: _ranked(df, key, counts).select(key, F.col("words").alias(own), first.alias(f"{own}_first"), F.explode(first).alias("word"))
+    both = side(left, left_key, "a").join(side(right, right_key, "b"), "word")
+    near = F.least(F.size("a"), F.size("b")) >= F.greatest(F.size("a"), F.size("b")) * threshold - 1e-9
+    once = F.get(F.array_intersect("a_first", "b_first"), F.lit(0)) == F.col("word")
+    return both.where(near & once).select(left_key, right_key, "a", "b")
+
+
+def similar(left: DataFrame, left_key: str, right: DataFrame, right_key: str, threshold: float) -> DataFrame:
+    """(left_key, right_key, score): all pairs with a Jaccard similarity of their words of ``threshold`` or more.
+
+    ``left`` and ``right`` have a key and the column ``name``; keys are distinct. A name without words is like none.
     """
-    a, b = _words(left, "name", left_key), _words(right, "name", right_key)
-    both = a.join(b, "word").groupBy(left_key, right_key, f"{left_key}_n", f"{right_key}_n").agg(F.count("*").alias("common"))
-    return both.select(left_key, right_key, (F.col("common") / (F.col(f"{left_key}_n") + F.col(f"{right_key}_n") - F.col("common"))).alias("score"))
+    common = F.size(F.array_intersect("a", "b"))
+    scored = candidates(left, left_key, right, right_key, threshold).select(left_key, right_key, (common / (F.size("a") + F.size("b") - common)).alias("score"))
+    return scored.where(F.col("score") >= threshold)
 
 
 def best_match(targets: DataFrame, parts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(target, part, score) for distinct ``targets`` (target): the most similar part, the first of equals, at or above the threshold."""
-    names = parts.select("part", "ord", F.col("part").alias("name"))
-    scored = similar(targets.select("target", F.col("target").alias("name")), "target", names, "part").join(parts.select("part", "ord"), "part")
+    names = parts.select("part", F.col("part").alias("name"))
+    scored = similar(targets.select("target", F.col("target").alias("name")), "target", names, "part", threshold).join(parts.select("part", "ord"), "part")
     best = scored.groupBy("target").agg(F.max_by(F.struct("part", "score"), F.struct("score", -F.col("ord"))).alias("best"))
-    return best.where(F.col("best.score") >= threshold).select("target", "best.part", "best.score")
+    return best.select("target", "best.part", "best.score")
 
 
-def mandatory_standards(queries: DataFrame, parts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(drawing_id, standard, reason, source, src, ord) from the matched part of each query.
+def shape_key() -> Column:
+    """One text for a drawing's component, series and family; what is null differs from what is empty."""
+    return F.to_json(F.struct(*SHAPE), {"ignoreNullFields": "false"})
 
-    Similarities are computed for distinct component names, which are far fewer than drawings.
-    """
-    matched = best_match(queries.select(F.col("component").alias("target")).distinct().where("target is not null"), parts, threshold)
+
+def shapes(queries: DataFrame) -> DataFrame:
+    """(shape, component, compressor_series, material_family): the distinct ones, written once."""
+    return keep(queries.select(*SHAPE).distinct().select(shape_key().alias("shape"), *SHAPE), "shapes")
+
+
+def _for_drawings(queries: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """(drawing_id, columns): each drawing with the rows of its shape, which are a list until then."""
+    lists = rows.groupBy("shape").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    own = queries.select("drawing_id", shape_key().alias("shape"))
+    return own.join(lists, "shape").select("drawing_id", F.inline("rows"))
+
+
+ROW = ("standard", "reason", "source", "src", "ord")
+
+
+def _mandatory(kinds: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """(shape, standard, reason, source, src, ord) from the part that is most like each component."""
+    matched = best_match(kinds.select(F.col("component").alias("target")).where("target is not null").distinct(), parts, threshold)
     found = matched.join(parts.select("part", "mandatory"), "part").select("target", "part", F.posexplode(F.array_sort("mandatory")).alias("ord", "standard"))
-    return queries.join(found, F.col("component") == F.col("target")).select(
-        "drawing_id", "standard", F.concat(F.lit("mandatory for "), "part").alias("reason"), F.lit(MATRIX).alias("source"), F.lit(0).alias("src"), F.col("ord").cast("long").alias("ord")
+    return kinds.join(found, F.col("component") == F.col("target")).select(
+        "shape", "standard", F.concat(F.lit("mandatory for "), "part").alias("reason"), F.lit(MATRIX).alias("source"), F.lit(0).alias("src"), F.col("ord").cast("long").alias("ord")
     )
 
 
-def _general() -> F.Column:
+def mandatory_standards(queries: DataFrame, parts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(drawing_id, standard, reason, source, src, ord) from the matched part of each query."""
+    return _for_drawings(queries, _mandatory(shapes(queries), parts, threshold), *ROW)
+
+
+def _general() -> Column:
     return F.exists("applicability", lambda x: F.lower(x) == "all")
 
 
@@ -89,75 +137,127 @@ def component_notes(queries: DataFrame, notes: DataFrame, threshold: float = THR
     names = queries.select("component").where("component is not null").distinct()
     listed = notes.where(~F.coalesce(_general(), F.lit(False))).select("ord", F.explode("applicability").alias("part"))
     parts = listed.select(F.col("part"), F.col("part").alias("name")).distinct()
-    near = similar(names.select("component", F.col("component").alias("name")), "component", parts, "part").where(F.col("score") >= threshold)
+    near = similar(names.select("component", F.col("component").alias("name")), "component", parts, "part", threshold)
     return near.join(listed, "part").select("component", "ord").distinct()
 
 
+def _by_component(kinds: DataFrame, notes: DataFrame, threshold: float) -> DataFrame:
+    """(shape, standard, reason, source, src, ord, open_series): notes by component, then by series.
+
+    Component and series are equi-keys. Notes for all components are one list for each series key.
+    """
+    rows = kinds.where("component is not null").select("shape", "component", F.explode(F.array(F.lit("a"), F.concat(F.lit("s"), F.coalesce("compressor_series", F.lit(""))))).alias("series_key"))
+    listed = component_notes(kinds, notes, threshold).join(_series_keys(notes), "ord")
+    general = _series_keys(notes.where(_general())).groupBy("series_key").agg(F.collect_list(F.struct("standard", "ord")).alias("general"))
+    both = rows.join(listed, ["component", "series_key"]).select("shape", "standard", "ord", "series_key")
+    both = both.union(rows.join(general, "series_key").select("shape", F.inline("general"), "series_key"))
+    return both.select("shape", "standard", F.lit("component applies").alias("reason"), F.lit(COMPONENT).alias("source"), F.lit(1).alias("src"), "ord", (F.col("series_key") == "s").alias("open_series"))
+
+
 def component_match(queries: DataFrame, notes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(drawing_id, standard, reason, source, src, ord, open_series): notes by component, then by series.
 
     With a series, a note passes if its series are all or contain it exactly. Without one, only notes
     for all series pass; the others come back with open_series, since the series decides them.
-
-    Component and series are equi-keys. Notes for all components meet every drawing by their meaning;
-    they are repeated over SALTS, so that neither side has a hot key and none has to be broadcast.
     """
-    rows = queries.where("component is not null").select("drawing_id", "component", F.explode(F.array(F.lit("a"), F.concat(F.lit("s"), F.coalesce("compressor_series", F.lit(""))))).alias("series_key"))
-    listed = component_notes(queries, notes, threshold).join(_series_keys(notes), "ord")
-    general = _series_keys(notes.where(_general())).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("drawing_id"), F.lit(SALTS)).cast("int"))
-    both = rows.join(listed, ["component", "series_key"]).select("drawing_id", "standard", "ord", "series_key")
-    both = both.union(salted.join(general, ["salt", "series_key"]).select("drawing_id", "standard", "ord", "series_key"))
-    return both.select("drawing_id", "standard", F.lit("component applies").alias("reason"), F.lit(COMPONENT).alias("source"), F.lit(1).alias("src"), "ord", (F.col("series_key") == "s").alias("open_series"))
+    return _for_drawings(queries, _by_component(shapes(queries), notes, threshold), *ROW, "open_series")
 
 
-def _grams(text, n: int) -> F.Column:
-    """Distinct parts of ``text`` of 1 to ``n`` characters, and the empty one."""
-    at = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - k + 1)), lambda i: F.substr(text, i, F.lit(k)))
-    return F.array_distinct(F.concat(F.array(F.lit("")), *map(at, range(1, n + 1))))
+def _grams(text, n: int) -> Column:
+    """Distinct parts of ``text`` of ``n`` characters; of 0 characters, the empty one."""
+    if n == 0:
+        return F.array(F.lit(""))
+    return F.array_distinct(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda _: F.length(text) >= n), lambda i: F.substr(text, i, F.lit(n))))
 
 
-def material_match(queries: DataFrame, notes: DataFrame) -> DataFrame:
-    """Notes of category material whose content contains the family or is similar to it.
+def containing(patterns: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pattern, content): all pairs where the distinct ``patterns`` (pattern, short) lie in the distinct ``texts`` (content, plain).
 
-    A content that contains a family contains the family's first GRAM characters, and one that is
-    similar shares a word, so both are equi-joins of distinct families with notes.
+    A pattern is looked up by one gram of it, of GRAM characters or its own length, the one that the fewest texts have. The index of
+    these grams goes to every task if it has at most MAX_BROADCAST rows, so texts aren't shuffled and a short pattern's gram
+    is no hot key; beyond that both sides are joined by gram.
     """
-    families = queries.select(F.col("material_family").alias("family")).where("family is not null and family <> ''").distinct()
-    material = notes.where(F.lower("category") == "material").select("ord", "standard", "content", T.normalize_text("content").alias("plain"))
-    heads = families.withColumn("short", T.normalize_text("family")).withColumn("gram", F.substring("short", 1, GRAM))
-    grams = material.select("ord", "plain", F.explode(_grams(F.col("plain"), GRAM)).alias("gram"))
-    held = heads.join(grams, "gram").where(F.contains("plain", "short")).select("family", "ord")
-    near = similar(families.withColumn("name", F.col("family")), "family", material.select("ord", F.col("content").alias("name")), "ord").where(F.col("score") >= MATERIAL_THRESHOLD)
-    hit = held.union(near.select("family", "ord")).distinct().join(material.select("ord", "standard"), "ord")
-    return queries.join(hit, F.col("material_family") == F.col("family")).select(
-        "drawing_id", "standard", F.lit("material applies").alias("reason"), F.lit(MATERIAL).alias("source"), F.lit(2).alias("src"), "ord"
+    size = F.least(F.length("short"), F.lit(GRAM))
+    lengths = sorted(n for (n,) in patterns.select(size).distinct().collect())
+    if not lengths:
+        return texts.select(F.lit("").alias("pattern"), "content").where(F.lit(False))
+    small = patterns.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    to_all = F.broadcast if small else (lambda df: df)
+    own = F.concat(*(F.when(size == n, _grams(F.col("short"), n)).otherwise(F.array().cast("array<string>")) for n in lengths))
+    keys = patterns.select("pattern", "short", F.explode(own).alias("gram"))
+    held = texts.select("content", "plain", F.explode(F.concat(*(_grams(F.col("plain"), n) for n in lengths))).alias("gram"))
+    counts = held.join(to_all(keys.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = keys.join(counts, "gram", "left").groupBy("pattern", "short").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    index = keep(rarest.where("least.n > 0").select("pattern", "short", "least.gram"), "pattern-index")
+    return held.join(to_all(index), "gram").where(F.contains("plain", "short")).select("pattern", "content")
+
+
+def _by_material(kinds: DataFrame, notes: DataFrame) -> DataFrame:
+    """(shape, standard, reason, source, src, ord): notes of category material whose content contains the family or is similar to it.
+
+    Both are decided for distinct families and distinct contents.
+    """
+    families = kinds.select(F.col("material_family").alias("pattern")).where("pattern is not null and pattern <> ''").distinct()
+    material = notes.where(F.lower("category") == "material").select("ord", "standard", "content")
+    contents = keep(material.select("content", T.normalize_text("content").alias("plain")).distinct(), "contents")
+    held = containing(families.withColumn("short", T.normalize_text("pattern")), contents)
+    near = similar(families.withColumn("name", F.col("pattern")), "pattern", contents.withColumn("name", F.col("content")), "content", MATERIAL_THRESHOLD)
+    hit = held.union(near.select("pattern", "content")).distinct().join(material, "content")
+    return kinds.join(hit, F.col("material_family") == F.col("pattern")).select(
+        "shape", "standard", F.lit("material applies").alias("reason"), F.lit(MATERIAL).alias("source"), F.lit(2).alias("src"), "ord"
     )
 
 
-def first_source(rows: DataFrame) -> DataFrame:
-    """Each standard of a drawing once: mandatory before component before material, then note order."""
-    here = Window.partitionBy("drawing_id", "standard").orderBy("src", "ord")
-    return rows.withColumn("nth", F.row_number().over(here)).where("nth = 1").drop("nth")
+def material_match(queries: DataFrame, notes: DataFrame) -> DataFrame:
+    """Notes of category material whose content contains the family or is similar to it."""
+    return _for_drawings(queries, _by_material(shapes(queries), notes), *ROW)
+
+
+def shape_standards(queries: DataFrame, parts: DataFrame, notes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(shape, codes, open): for each distinct shape its applicable standards, in code order, and whether a note depends on a missing series.
+
+    Each standard comes once: mandatory before component before material, then note order. ``codes``: (standard, reason, source, src, ord).
+    """
+
+    def make():
+        kinds = shapes(queries)
+        known = keep(notes, "notes")
+        closed = F.lit(False).alias("open_series")
+        rows = _mandatory(kinds, parts, threshold).select("shape", *ROW, closed).union(_by_component(kinds, known, threshold)).union(_by_material(kinds, known).select("shape", *ROW, closed))
+        row = F.when(~F.col("open_series"), F.struct(*ROW))
+        each = rows.groupBy("shape", "standard").agg(F.min_by(row, F.when(~F.col("open_series"), F.struct("src", "ord"))).alias("row"), F.max("open_series").alias("open"))
+        lists = each.groupBy("shape").agg(F.array_sort(F.collect_list("row")).alias("codes"), F.max("open").alias("open"))
+        return kinds.select("shape").join(lists, "shape", "left").select("shape", F.coalesce("codes", F.array().cast(lists.schema["codes"].dataType)).alias("codes"), F.coalesce("open", F.lit(False)).alias("open"))
+
+    return keep_last(make, "shape-standards")
 
 
 def applicable_standards(queries: DataFrame, parts: DataFrame, notes: DataFrame) -> DataFrame:
     """(drawing_id, standard, reason, source, src, ord) of every applicable standard."""
-    by_component = component_match(queries, notes).where("not open_series").drop("open_series")
-    return first_source(mandatory_standards(queries, parts).union(by_component).union(material_match(queries, notes)))
+    own = queries.select("drawing_id", shape_key().alias("shape"))
+    return own.join(shape_standards(queries, parts, notes), "shape").select("drawing_id", F.inline("codes"))
 
 
-def unresolved(queries: DataFrame, notes: DataFrame) -> DataFrame:
-    """(drawing_id, field): the series, once, where a note depends on a series that isn't given.
+def unresolved_fields(is_open) -> Column:
+    """The fields that a drawing's standards depend on and that it lacks."""
+    return F.when(is_open, F.array(F.lit("compressor_series"))).otherwise(F.array().cast("array<string>"))
 
-    Decided for distinct components; of the notes for all components, one row tells.
-    """
-    rows = queries.where("component is not null and coalesce(compressor_series, '') = ''").select("drawing_id", "component", F.lit("s").alias("series_key"))
-    open_notes = lambda df: _series_keys(df).where("series_key = 's'")
-    listed = component_notes(queries, notes).join(open_notes(notes), "ord", "left_semi").select("component").distinct()
-    general = open_notes(notes.where(_general())).select("series_key").limit(1)
-    found = rows.join(listed, "component", "left_semi").select("drawing_id").union(rows.join(F.broadcast(general), "series_key", "left_semi").select("drawing_id"))
-    return found.distinct().select("drawing_id", F.lit("compressor_series").alias("field"))
+
+def applicability(queries: DataFrame, parts: DataFrame, notes: DataFrame) -> DataFrame:
+    """(drawing_id, codes, unresolved_fields, status): a row for each drawing with all that applies to it, and what is open."""
+    own = queries.select("drawing_id", shape_key().alias("shape"))
+    fields = unresolved_fields(F.col("open"))
+    return own.join(shape_standards(queries, parts, notes), "shape").select("drawing_id", "codes", fields.alias("unresolved_fields"), status(F.col("open")).alias("status"))
+
+
+def status(is_open) -> Column:
+    return F.when(is_open, "INCONCLUSIVE").otherwise("RESOLVED")
+
+
+def unresolved(queries: DataFrame, notes: DataFrame) -> DataFrame:
+    """(drawing_id, field): the series, once, where a note depends on a series that isn't given. Decided for distinct shapes."""
+    found = _by_component(shapes(queries), notes, THRESHOLD).where("open_series").select("shape").distinct()
+    return queries.select("drawing_id", shape_key().alias("shape")).join(found, "shape").select("drawing_id", F.lit("compressor_series").alias("field")).distinct()
 
 
 def cited_standards(cited: DataFrame) -> DataFrame:
@@ -178,17 +278,21 @@ def extract_cited(texts: DataFrame, *keys: str) -> DataFrame:
 
 
 def ground_evidence(claims: DataFrame, texts: DataFrame, *keys: str) -> DataFrame:
-    """Claims with flags: evidence that isn't a literal part of the text, or is too long."""
-    return claims.join(texts.select(*keys, "text"), list(keys), "left").select(
-        *claims.columns, F.coalesce(~F.contains("text", "evidence"), F.lit(True)).alias("not_in_text"), (F.length("evidence") > T.MAX_EVIDENCE).alias("too_long")
-    )
-
+    """Claims (keys, ord, evidence) with flags: evidence that isn't a literal part of a text of the keys, or is too long.
 
-def compare_sets(expected, cited):
-    """Matching, missing and unexpected codes of two arrays, normalised and sorted."""
-    clean = lambda c: F.array_distinct(F.filter(F.transform(c, T.normalize_standard), lambda x: x != ""))
-    a, b = clean(expected), clean(cited)
-    return F.array_sort(F.array_intersect(a, b)), F.array_sort(F.array_except(a, b)), F.array_sort(F.array_except(b, a))
+    ``texts`` has the keys and ``text``, with any number of rows for a key. Evidence that is a whole line is found by its hash, as most is;
+    only the rest is searched for in the texts of its key, each once. Null evidence isn't in a text.
+    """
+    line = T.strip("line")
+    lines = texts.select(*keys, F.explode(F.split("text", "\n")).alias("line")).select(*keys, F.xxhash64(line).alias("h1"), F.xxhash64(line, F.lit(1)).alias("h2")).distinct().withColumn("is_line", F.lit(True))
+    known = claims.select(*keys, "evidence").distinct()
+    own = known.select(*keys, "evidence", F.xxhash64("evidence").alias("h1"), F.xxhash64("evidence", F.lit(1)).alias("h2")).join(lines, [*keys, "h1", "h2"], "left")
+    rest = own.where("is_line is null").select(*keys, "evidence")
+    inside = rest.join(texts.select(*keys, "text"), list(keys)).where(F.contains("text", "evidence")).select(*keys, "evidence").distinct()
+    found = own.where("is_line").select(*keys, "evidence").union(inside).withColumn("is_there", F.lit(True))
+    return claims.join(found, [*keys, "evidence"], "left").select(
+        *claims.columns, F.col("is_there").isNull().alias("not_in_text"), (F.length("evidence") > T.MAX_EVIDENCE).alias("too_long")
+    )
 
 
 def compare_standards(expected: DataFrame, cited: DataFrame) -> DataFrame:

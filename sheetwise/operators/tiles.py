@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetwise.scratch import keep
+
 THRESHOLD = 15
 # In tiles: a lone changed tile grows to 9 and isn't a region.
 CLOSE, DILATE, MIN_SIZE = 1, 1, 9
@@ -36,20 +35,8 @@ def _closed(tiles: DataFrame, reach: int) -> DataFrame:
     return near.where(F.col("n") == (2 * reach + 1) ** 2).select(*KEY, "tx", "ty")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, a temporary one (local session) or one in the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        folder = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def _shared(df: DataFrame) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/regions-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return keep(df, "regions")
 
 
 def diff_regions(changed: DataFrame, close: int = 1, dilate: int = 1, min_size: int = 0) -> DataFrame:

@@ -6,7 +6,6 @@ joined text, so that both engines compare alike.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from sheetwise.functions import text as T
 from sheetwise.operators import batch, cells, frames, reports, standards, tiles, zones
 from sheetwise.plans import pipelines, sql
 from sheetwise.plans.fixtures import ctes, derived
+from sheetwise.scratch import new_path
 from sheetwise.sources import files
 
 QUERIES: dict = {}
@@ -93,7 +93,7 @@ def cost_log_source(spark, sf):
 )
 def cost_log_append(spark, sf):
     """Every call appended to a new log in the shared folder, and the log read again."""
-    path = f"{tiles.shared_folder(spark)}/costs-{uuid.uuid4().hex}"
+    path = new_path(spark, "costs")
     batch.append_costs(batch.cost_log(derived(spark, sf, "cost_log")), path)
     return files.read_cost_log(spark, path).drop("call_id")
 
@@ -109,7 +109,7 @@ def result_writeback(spark, sf):
 
 @query(ctes("sheet", "results") + _BACK)
 def sheet_writeback(spark, sf):
-    path = f"{tiles.shared_folder(spark)}/sheet-{uuid.uuid4().hex}"
+    path = new_path(spark, "sheet")
     result_writeback(spark, sf).write.parquet(path)
     return spark.read.parquet(path)
 
@@ -205,18 +205,13 @@ def extract_cited_standards(spark, sf):
     return standards.extract_cited(texts, "drawing_id", "page")
 
 
-QUERIES["extract_cited_all_pages"] = extract_cited_standards
-ORACLES["extract_cited_all_pages"] = ORACLES["extract_cited_standards"]
-
-
 @query(
     ctes("cited", "texts")
     + """, t as (select drawing_id, string_agg(text, chr(10) order by text) as text from fx_texts group by drawing_id)
  select c.drawing_id, ord, evidence, coalesce(not contains(text, evidence), true) as not_in_text, length(evidence) > 150 as too_long from fx_cited c left join t on t.drawing_id = c.drawing_id"""
 )
 def evidence_grounding(spark, sf):
-    texts = derived(spark, sf, "texts").groupBy("drawing_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
-    return standards.ground_evidence(derived(spark, sf, "cited").select("drawing_id", "ord", "evidence"), texts, "drawing_id")
+    return standards.ground_evidence(derived(spark, sf, "cited").select("drawing_id", "ord", "evidence"), derived(spark, sf, "texts"), "drawing_id")
 
 
 @query(ctes("cost_log") + " select call_id, printf('%.6f', prompt_tokens::double/1e6*0.075 + completion_tokens::double/1e6*0.3) as usd from fx_cost_log")
@@ -400,12 +395,23 @@ def _applicable(spark, sf):
     return standards.applicable_standards(derived(spark, sf, "drawings"), _parts(spark, sf), _notes(spark, sf))
 
 
-@query(f"{_APPLICABLE} select drawing_id, standard, reason, source from applicable", name="applicable_standards")
 @query(f"{_APPLICABLE} select drawing_id, standard, reason, source from applicable")
 def standard_first_source(spark, sf):
     return _applicable(spark, sf).select("drawing_id", "standard", "reason", "source")
 
 
+@query(
+    f"""{_APPLICABLE}, n as (select drawing_id, count(*) as n_standards, string_agg(standard || ' ' || source, ', ' order by standard) as standards from applicable group by drawing_id),
+ o as (select distinct drawing_id from component where open_series) select d.drawing_id, coalesce(n_standards, 0) as n_standards, coalesce(standards, '') as standards, case when o.drawing_id is null then '' else 'compressor_series' end as unresolved_fields,
+ case when o.drawing_id is null then 'RESOLVED' else 'INCONCLUSIVE' end as status from fx_drawings d left join n using (drawing_id) left join o using (drawing_id)"""
+)
+def applicable_standards(spark, sf):
+    """A row for each drawing: its standards with their sources, what is open and the status."""
+    t = standards.applicability(derived(spark, sf, "drawings"), _parts(spark, sf), _notes(spark, sf))
+    told = F.array_join(F.transform("codes", lambda x: F.concat_ws(" ", x["standard"], x["source"])), ", ")
+    return t.select("drawing_id", F.size("codes").cast("long").alias("n_standards"), told.alias("standards"), F.array_join("unresolved_fields", ", ").alias("unresolved_fields"), "status")
+
+
 @query(f"{_APPLICABLE} select distinct drawing_id, 'compressor_series' as field from component where open_series")
 def unresolved_fields(spark, sf):
     return standards.unresolved(derived(spark, sf, "drawings"), _notes(spark, sf))

@@ -8,32 +8,46 @@ from pyspark.sql import functions as F
 from sheetwise.operators import batch, cells, frames, reports, standards, tiles, zones
 
 
+def _compared(drawings: DataFrame, cited: DataFrame, parts: DataFrame, notes: DataFrame) -> DataFrame:
+    """Drawings with ``codes`` and ``open`` of their shape, their rows in ``cited``, and the sorted lists matching, missing and unexpected.
+
+    Drawings are read once here. Codes are compared as lists, so no row is made for a drawing and a code.
+    """
+    lists = standards.shape_standards(drawings, parts, notes)
+    own = standards.cited_standards(cited).groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct("ord", "standard", "standard_raw", "note_number", "source_text"))).alias("cited"))
+    t = drawings.withColumn("shape", standards.shape_key()).join(lists, "shape").join(own, "drawing_id", "left")
+    named = lambda c: F.coalesce(F.array_distinct(F.filter(F.transform(c, lambda x: x["standard"]), lambda x: x != "")), F.array().cast("array<string>"))
+    t = t.withColumns({"expected_codes": named("codes"), "cited_codes": named("cited")})
+    part = lambda f, a, b: F.array_sort(f(a, b))
+    return t.withColumns({
+        "matching": part(F.array_intersect, "expected_codes", "cited_codes"), "missing": part(F.array_except, "expected_codes", "cited_codes"),
+        "unexpected": part(F.array_except, "cited_codes", "expected_codes"),
+    })
+
+
 def standards_compliance(drawings: DataFrame, cited: DataFrame, parts: DataFrame, notes: DataFrame) -> DataFrame:
     """A row for each drawing: its counts of matching, missing and unexpected codes, conformity, band and status."""
-    own = cited.join(drawings.select("drawing_id").distinct(), "drawing_id", "left_semi")
-    share = standards.conformity(standards.compare_standards(standards.applicable_standards(drawings, parts, notes), own))
-    open_fields = standards.unresolved(drawings, notes)
-    t = drawings.join(share, "drawing_id", "left").join(open_fields, "drawing_id", "left")
-    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_matching", "n_missing", "n_unexpected")]
+    t = _compared(drawings, cited, parts, notes)
+    counts = [F.size(c).cast("long").alias(f"n_{c}") for c in ("matching", "missing", "unexpected")]
+    share = _conformity()
     return t.select(
-        "drawing_id", F.coalesce("component", F.lit("Unknown")).alias("component"), "compressor_series", "material_family", *counts, "conformity", "band",
-        F.when(F.col("field").isNotNull(), "INCONCLUSIVE").otherwise("RESOLVED").alias("status"), F.col("field").alias("unresolved_field"),
+        "drawing_id", F.coalesce("component", F.lit("Unknown")).alias("component"), "compressor_series", "material_family", *counts, share.alias("conformity"), standards.T.conformity_band(share).alias("band"),
+        standards.status(F.col("open")).alias("status"), F.get(standards.unresolved_fields(F.col("open")), F.lit(0)).alias("unresolved_field"),
     )
 
 
+def _conformity() -> F.Column:
+    """Share of the expected codes that are cited; null without an expected code."""
+    return F.try_divide(F.size("matching"), F.size("matching") + F.size("missing"))
+
+
 def compliance_json(drawings: DataFrame, cited: DataFrame, parts: DataFrame, notes: DataFrame) -> DataFrame:
     """(drawing_id, json): the consolidated nested record of each drawing."""
-    codes = lambda df, *cols: df.groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("rows"))
-    applicable = standards.applicable_standards(drawings, parts, notes)
-    own = standards.cited_standards(cited.join(drawings.select("drawing_id").distinct(), "drawing_id", "left_semi"))
-    a = codes(applicable, "standard", "reason", "source").withColumnRenamed("rows", "applicable")
-    c = codes(own, "ord", "standard", "standard_raw", "note_number", "source_text").withColumnRenamed("rows", "cited")
-    v = codes(standards.compare_standards(applicable, own), "verdict", "standard").withColumnRenamed("rows", "verdicts")
-    pick = lambda name: F.transform(F.filter("verdicts", lambda x: x["verdict"] == name), lambda x: x["standard"]).alias(name)
-    t = drawings.join(c, "drawing_id", "left").join(a, "drawing_id", "left").join(v, "drawing_id", "left").join(standards.unresolved(drawings, notes), "drawing_id", "left")
+    t = _compared(drawings, cited, parts, notes)
     record = F.struct(
-        F.struct("component", "compressor_series", "material_family").alias("classification"), "cited", "applicable",
-        F.struct(*map(pick, ("matching", "missing", "unexpected"))).alias("comparison"), F.array_compact(F.array("field")).alias("unresolved_fields"),
+        F.struct("component", "compressor_series", "material_family").alias("classification"), "cited",
+        F.transform("codes", lambda x: F.struct(x["standard"].alias("standard"), x["reason"].alias("reason"), x["source"].alias("source"))).alias("applicable"),
+        F.struct("matching", "missing", "unexpected").alias("comparison"), standards.unresolved_fields(F.col("open")).alias("unresolved_fields"),
     )
     return t.select("drawing_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("json"))
 
