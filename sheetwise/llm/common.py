@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import threading
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -13,57 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD_GAP = "[\\x20\\x09-\\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Where that is unset, a local session uses a
-    temporary folder of its own and any other session a folder in the warehouse.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if spark.sparkContext.master.split("[")[0] == "local":
-        found = tempfile.mkdtemp(prefix="spark-")
-    else:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
+from sheetwise.scratch import keep, keep_last  # noqa: F401  the operators take them from here
 
-_passing = threading.local()
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return the written table.
-
-    This cuts the lineage: a lost executor costs only the tasks that read the table.
-    """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    for paths in getattr(_passing, "levels", [])[-1:]:
-        paths.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def keep_last(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """Keep what ``make`` returns and delete the tables that it kept on the way."""
-    levels = _passing.levels = getattr(_passing, "levels", [])
-    levels.append([])
-    try:
-        last = make()
-    except BaseException:
-        levels.pop()
-        raise
-    passing = levels.pop()
-    last = keep(last, name)
-    spark = last.sparkSession
-    for path in passing:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    return last
+WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -74,6 +24,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def rows_of(rows: DataFrame, chosen: DataFrame, marks: list[str]) -> DataFrame:
+    """Columns of ``rows``, ``chosen`` beside, for the rows that it has by ``marks``; ``repeated`` ones come once."""
+    once = rows.join(chosen.where("not repeated").drop("repeated"), marks)
+    several = chosen.where("repeated").drop("repeated")
+    if not several.take(1):
+        return once
+    # Rows that can't be told apart; partial aggregates leave one a task.
+    found = rows.join(several, marks)
+    one = found.groupBy(*marks).agg(F.first(F.struct(*(c for c in found.columns if c not in marks))).alias("one"))
+    return once.unionByName(one.select(*marks, "one.*"))
+
+
 _shipped: set[str] = set()
 
 

@@ -22,13 +22,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import free_name, keep
+from sheetwise.llm.common import free_name, keep, keep_last, rows_of
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 TOLERANCE = 1e-6
 MAX_ROUNDS = 60
 CELL = 1_000_000
+BLOCK = 10_000
 UNIT = 1_000_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -110,9 +111,8 @@ def solve(sizes: DataFrame, aims: DataFrame, most: int = MAX_COPIES) -> DataFram
 
 
 def _copies(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """Add source_size, target and copies to rows that have mix_key, mix_size and doc_id."""
-    narrow = keep(sized.select("doc_id", "mix_key", "mix_size"), "sizes")
-    sizes = keep(narrow.groupBy("mix_key", "mix_size").agg(F.count("*").alias("n")), "histogram")
+    """Add source_size, target and copies to the rows of a written table with mix_key, mix_size and doc_id."""
+    sizes = keep(sized.groupBy("mix_key", "mix_size").agg(F.count("*").alias("n")), "histogram")
     aims = keep(targets(sizes.groupBy("mix_key").agg(F.sum(F.col("mix_size") * F.col("n")).alias("source_size")), weights, most), "targets")
     dual = solve(sizes, aims, most)
 
@@ -123,7 +123,7 @@ def _copies(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     rates = sizes.join(aims, "mix_key").join(dual.select("mix_key", "mean", "lam"), "mix_key", "left").select(
         "mix_key", "mix_size", "source_size", "target", F.when(F.col("source_size") > 0, F.round(_rate(most) * UNIT)).otherwise(0).cast("long").alias("rate")
     )
-    cells = narrow.groupBy("mix_key", "mix_size", bucket.alias("mix_bucket")).agg(F.count("*").alias("n")).join(rates, ["mix_key", "mix_size"])
+    cells = sized.groupBy("mix_key", "mix_size", bucket.alias("mix_bucket")).agg(F.count("*").alias("n")).join(rates, ["mix_key", "mix_size"])
     before = Window.partitionBy("mix_key").orderBy("mix_size", "mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     part = F.col("rate") % UNIT
     cells = cells.withColumn("start", F.coalesce(F.sum(part * F.col("n")).over(before), F.lit(0)) + UNIT // 2).drop("n")
@@ -136,14 +136,31 @@ def _copies(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies), a row for each row of ``docs``."""
-    sized = keep(_sized(docs.select("doc_id", "text", "source")).select("doc_id", "mix_key", "mix_size"), "sized")
-    rows = _copies(sized, weights, most)
-    return rows.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("mix_size")).alias("taken"), "copies")
+
+    def make():
+        sized = keep(_sized(docs.select("doc_id", "text", "source")).select("doc_id", "mix_key", "mix_size"), "sized")
+        return _copies(sized, weights, most)
+
+    return keep_last(make, "mixed").select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("mix_size")).alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
-    """The columns of ``docs`` and ``copy_no``: each document as often as the mix takes it."""
-    aside = {c: f"own_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text", "source")}
-    rows = _copies(_sized(docs.withColumnsRenamed(aside)), weights, most)
-    own = [F.col(aside.get(c, c)).alias(c) for c in docs.columns]
-    return rows.where("copies > 0").select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias(free_name(docs, "copy_no")))
+    """The columns of ``docs`` and ``copy_no``: each document as often as the mix takes it, rows that repeat numbered on.
+
+    Ids and sizes alone are ranked; copies come back to rows by two hashes of the row's columns but for maps, and texts move once.
+    """
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+    names = [free_name(docs, c) for c in ("mix_hash", "mix_mark")]
+    marks = dict(zip(names, (F.xxhash64(*plain), F.xxhash64(*(x for c in plain for x in (F.col(c).isNull(), F.col(c)))))))
+
+    def make():
+        sized = keep(_sized(docs.select("doc_id", "text", "source", *(m.alias(c) for c, m in marks.items()))).select("doc_id", *names, "mix_key", "mix_size"), "sized")
+        return _copies(sized, weights, most).groupBy(*names).agg(F.sum("copies").alias("copies"), (F.count("*") > 1).alias("repeated")).where("copies > 0")
+
+    taken = keep_last(make, "copies")
+    count, block, copy_no = (free_name(docs, c) for c in ("copies", "copies_block", "copy_no"))
+    rows = rows_of(docs.withColumns(marks), taken.withColumnRenamed("copies", count), names)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    blocks = rows.withColumn(block, F.explode(upto(F.ceil(F.col(count) / BLOCK))))
+    out = blocks.select(*docs.columns, block, F.explode(upto(F.least(F.lit(BLOCK).cast("long"), F.col(count) - F.col(block) * BLOCK))).alias(copy_no))
+    return out.select(*docs.columns, (F.col(block) * BLOCK + F.col(copy_no) + 1).alias(copy_no))

@@ -28,13 +28,36 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,}?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
-_WEB_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+# Three parts between dots, looked for from the second: a run of the class is passed once, however often it holds the first letters.
+_WEB_PART = re.compile(r"[A-Za-z0-9_-]+")
+_WEB_START, _MIN_WEB_PART = "eyJ", 10
 MIN_ASSIGNED = 6
-RULE_VERSION = zlib.crc32("\n".join((*(p.pattern for p in (_ASSIGN, _ACCESS, _HEX, _KEY_BLOCK, _WEB_TOKEN)), str(MIN_ASSIGNED))).encode())
+RULE_VERSION = zlib.crc32("\n".join((*(p.pattern for p in (_ASSIGN, _ACCESS, _HEX, _KEY_BLOCK, _WEB_PART)), _WEB_START, str(_MIN_WEB_PART), str(MIN_ASSIGNED))).encode())
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
+def web_tokens(text: str) -> list[tuple[int, int]]:
+    """(start, end) of ``eyJ`` and 10 or more, a dot, the same again, a dot, and 10 or more of letters, digits, _ and -; leftmost, not overlapping.
+
+    A token starts at the first ``eyJ`` of its first part that leaves enough behind it; each part is looked at a fixed number of times.
+    """
+    least = len(_WEB_START) + _MIN_WEB_PART
+    found, parts = [], []  # the last two runs, if each is followed by a dot and the next
+    for m in _WEB_PART.finditer(text):
+        if parts and not (m.start() == parts[-1].end() + 1 and text[parts[-1].end()] == "."):
+            parts = []
+        if len(parts) == 2 and m.end() - m.start() >= _MIN_WEB_PART:
+            first, second = parts
+            start = text.find(_WEB_START, first.start(), first.end())
+            if 0 <= start <= first.end() - least and text.startswith(_WEB_START, second.start()) and second.end() - second.start() >= least:
+                found.append((start, m.end()))
+                parts = []
+                continue
+        parts = [*parts[-1:], m]
+    return found
+
+
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every secret, by start, then kind; offsets in code points, end exclusive."""
     if not text:
@@ -48,7 +71,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     if "-----BEGIN" in text:
         found += [(m.start(), 3, m.end()) for m in _KEY_BLOCK.finditer(text)]
     if "eyJ" in text:
-        found += [(m.start(), 4, m.end()) for m in _WEB_TOKEN.finditer(text)]
+        found += [(a, 4, b) for a, b in web_tokens(text)]
     kinds = (*BASE_KINDS, "key_block", "web_token")
     return [(kinds[k], a, b) for a, k, b in sorted(found)]
 
