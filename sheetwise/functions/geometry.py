@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,5 +50,23 @@ def intersection(a, b) -> Column:
     return F.when((w > 0) & (h > 0), w * h).otherwise(0.0)
 
 
-def clamp(v, low, high) -> Column:
-    return F.greatest(low, F.least(v, high))
+#: Side of a square of the page's grid, in points: as high as the tallest frame.
+SQUARE = 40.0
+
+
+def square_of(v) -> Column:
+    """Number of the column or row of squares that holds the coordinate."""
+    return F.floor(v / SQUARE)
+
+
+def squares_between(low, high) -> Column:
+    """Numbers of all columns or rows of squares from one coordinate to the other, which isn't smaller."""
+    return F.sequence(square_of(low), square_of(high))
+
+
+def in_squares(df: DataFrame, x0, y0, x1, y1) -> DataFrame:
+    """A row of ``df`` for each square (sx, sy) that the box touches. A point that the box holds lies in exactly one of them.
+
+    Points and boxes that are joined by page and square meet once, whatever else is on the page.
+    """
+    return df.withColumn("sx", F.explode(squares_between(x0, x1))).withColumn("sy", F.explode(squares_between(y0, y1)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetwise.functions import geometry as G
+
 REPRESENTATIONS = ("gray", "binary", "edges")
 PRIMARY = "gray"
 MIN_SCORE, MIN_MARGIN = 0.55, 0.12
@@ -47,13 +49,14 @@ def cell_ranking(scores: DataFrame, min_score: float = MIN_SCORE, min_margin: fl
     """(cell_id, best, best_score, second, second_score, margin, accepted, agreement) by the primary representation.
 
     The margin of a cell with one template is its score. Agreement: all representations have the same best template.
+    Only the two best of a cell and representation pass: each task keeps two rows of what it has read, before and behind the shuffle.
     """
-    first = F.struct((-F.col("score")).alias("down"), "template", "score")
-    top = scores.groupBy("cell_id", "representation").agg(F.min(first).alias("one"), F.slice(F.array_sort(F.collect_list(first)), 2, 1).alias("rest"))
-    wide = top.groupBy("cell_id").agg(
-        F.max(F.when(F.col("representation") == PRIMARY, F.struct("one", "rest"))).alias("p"), F.count_distinct("one.template").alias("tops")
-    )
-    second = F.get("p.rest", F.lit(0))
+    order = Window.partitionBy("cell_id", "representation").orderBy(F.desc("score"), "template")
+    two = scores.withColumn("nth", F.row_number().over(order)).where("nth <= 2")
+    entry = lambda k: F.max(F.when(F.col("nth") == k, F.struct("template", "score")))
+    top = two.groupBy("cell_id", "representation").agg(entry(1).alias("one"), entry(2).alias("two"))
+    wide = top.groupBy("cell_id").agg(F.max(F.when(F.col("representation") == PRIMARY, F.struct("one", "two"))).alias("p"), F.count_distinct("one.template").alias("tops"))
+    second = F.col("p.two")
     margin = F.coalesce(F.col("p.one.score") - second["score"], F.col("p.one.score"), F.lit(0.0))
     t = wide.select(
         "cell_id", F.col("p.one.template").alias("best"), F.col("p.one.score").alias("best_score"), second["template"].alias("second"), second["score"].alias("second_score"), margin.alias("margin"), (F.col("tops") == 1).alias("agreement")
@@ -90,12 +93,16 @@ def gdt_first_cell(cells: DataFrame, scores: DataFrame) -> DataFrame:
 def uncovered_matches(matches: DataFrame, cells: DataFrame, margin: float = COVERAGE_MARGIN) -> DataFrame:
     """(page_id, symbol, score, scale, x0, y0, x1, y1) of matches whose centre lies in no cell grown by the margin.
 
-    Matches and cells share one unit; the page is the equi-key of the anti-join.
+    Matches and cells share one unit; page and square are the equi-keys of the anti-join.
     """
-    c = cells.select("page_id", F.col("x0").alias("cx0"), F.col("y0").alias("cy0"), F.col("x1").alias("cx1"), F.col("y1").alias("cy1"))
-    x, y = (matches.x0 + matches.x1) / 2, (matches.y0 + matches.y1) / 2
-    inside = (matches.page_id == c.page_id) & x.between(c.cx0 - margin, c.cx1 + margin) & y.between(c.cy0 - margin, c.cy1 + margin)
-    return matches.join(c, inside, "left_anti").select("page_id", "symbol", F.round("score", 4).alias("score"), "scale", *(F.round(k, 2).alias(k) for k in ("x0", "y0", "x1", "y1")))
+    low = lambda c: F.col(c) - margin
+    high = lambda c: F.col(c) + margin
+    c = G.in_squares(cells.select("page_id", "x0", "y0", "x1", "y1"), low("x0"), low("y0"), high("x1"), high("y1"))
+    c = c.select(F.col("page_id").alias("cell_page"), "sx", "sy", low("x0").alias("cx0"), low("y0").alias("cy0"), high("x1").alias("cx1"), high("y1").alias("cy1"))
+    m = matches.withColumns({"mx": (F.col("x0") + F.col("x1")) / 2, "my": (F.col("y0") + F.col("y1")) / 2})
+    here = (F.col("page_id") == F.col("cell_page")) & (G.square_of(F.col("mx")) == F.col("sx")) & (G.square_of(F.col("my")) == F.col("sy"))
+    inside = here & F.col("mx").between(F.col("cx0"), F.col("cx1")) & F.col("my").between(F.col("cy0"), F.col("cy1"))
+    return m.join(c, inside, "left_anti").select("page_id", "symbol", F.round("score", 4).alias("score"), "scale", *(F.round(k, 2).alias(k) for k in ("x0", "y0", "x1", "y1")))
 
 
 def cell_inset(boxes: DataFrame, zoom: float, page_w: int, page_h: int) -> DataFrame:

@@ -1,7 +1,8 @@
 """Tolerance frames rebuilt from loose strokes, their cells, words, numbers and confidence.
 
-Geometry is in points, with the page as the unit of partition: frames of a page are few (hundreds),
-so ordered greedy steps fold over one page's sorted array. Strokes of all pages are never gathered.
+Geometry is in points. Lines, words and cells meet by page and square of a grid on it, so what is compared
+with a box doesn't grow with the page. Greedy steps fold over groups of frames that a sweep across the page can't part,
+since only frames that touch can drop each other. Strokes of all pages are never gathered.
 """
 
 from __future__ import annotations
@@ -68,12 +69,23 @@ def frame_connectors(h: DataFrame, v: DataFrame) -> DataFrame:
     gap = F.col("bottom") - F.col("top")
     pairs = tops.join(bottoms, ["page_id", "bucket"]).where((F.col("bottom_id") > F.col("top_id")) & (gap >= MIN_HEIGHT) & (gap <= MAX_HEIGHT))
     pairs = pairs.select("page_id", "top_id", "bottom_id", "top", "bottom", F.greatest("a0", "b0").alias("left"), F.least("a1", "b1").alias("right")).where(F.col("right") - F.col("left") >= MIN_WIDTH)
-    x = v.select("page_id", F.col("at").alias("x"), F.col("lo").alias("v0"), F.col("hi").alias("v1"))
-    joins = pairs.join(x, "page_id").where(
+    found = line_crossings(pairs, v).groupBy("page_id", "top_id", "bottom_id", "top", "bottom", "left", "right").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return found.where(F.size("xs") >= MIN_CELLS + 1)
+
+
+def line_candidates(pairs: DataFrame, v: DataFrame) -> DataFrame:
+    """``pairs`` with the v lines (x, v0, v1) of their squares: the pair takes the squares along its top, the line those along its length."""
+    x = v.select("page_id", F.col("at").alias("x"), F.col("lo").alias("v0"), F.col("hi").alias("v1"), G.square_of(F.col("at")).alias("sx"))
+    x = x.withColumn("sy", F.explode(G.squares_between(F.col("v0") - ENDPOINT, F.col("v1") + ENDPOINT)))
+    own = pairs.withColumn("sx", F.explode(G.squares_between(F.col("left") - ENDPOINT, F.col("right") + ENDPOINT))).withColumn("sy", G.square_of(F.col("top")))
+    return own.join(x, ["page_id", "sx", "sy"]).drop("sx", "sy")
+
+
+def line_crossings(pairs: DataFrame, v: DataFrame) -> DataFrame:
+    """``pairs`` with each v line that reaches from the top line to the bottom line between their ends."""
+    return line_candidates(pairs, v).where(
         (F.col("x") >= F.col("left") - ENDPOINT) & (F.col("x") <= F.col("right") + ENDPOINT) & (F.col("v0") <= F.col("top") + ENDPOINT) & (F.col("v1") >= F.col("bottom") - ENDPOINT)
     )
-    found = joins.groupBy("page_id", "top_id", "bottom_id", "top", "bottom", "left", "right").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return found.where(F.size("xs") >= MIN_CELLS + 1)
 
 
 def spaced(xs):
@@ -120,32 +132,61 @@ def _area(f):
     return F.abs(f["x1"] - f["x0"]) * F.abs(f["y1"] - f["y0"])
 
 
-def _greedy(frames: DataFrame, rank, drops) -> DataFrame:
-    """Per page, frames in order of ``rank``: one stays unless ``drops`` it for one that stays. Order numbers are made anew by (y0, x0)."""
+def _grouped(frames: DataFrame) -> DataFrame:
+    """Add ``gx`` and ``gy``: groups of a page's frames between which a sweep over x, then over y, finds a gap wider than SLACK."""
+    out = frames
+    for group, low, high in (("gx", "x0", "x1"), ("gy", "y0", "y1")):
+        known = ["page_id", *(["gx"] if group == "gy" else [])]
+        order = Window.partitionBy(*known).orderBy(F.least(low, high), "ord")
+        reached = F.max(F.greatest(low, high)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        out = out.withColumn("new", F.coalesce((F.least(low, high) > reached + SLACK).cast("int"), F.lit(0))).withColumn(group, F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    return out
+
+
+def _thinned(frames: DataFrame, *steps) -> DataFrame:
+    """Frames that stay after each of ``steps`` (rank, drops): in order of rank, one stays unless ``drops`` it for one that stays.
+
+    The steps run one after the other inside a group of ``_grouped``. Order numbers are made anew by (y0, x0, ord).
+    """
     whole = F.struct(*frames.columns)
-    listed = frames.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(*(r.alias(f"rank{k}") for k, r in enumerate(rank)), whole.alias("f")))).alias("fs"))
-    kind = frames.select(whole.alias("f")).schema["f"].dataType
-    start = F.array().cast(f"array<{kind.simpleString()}>")
-    kept = F.aggregate(F.transform("fs", lambda x: x["f"]), start, lambda acc, f: F.when(F.exists(acc, lambda k: drops(f, k)), acc).otherwise(F.array_append(acc, f)))
-    out = listed.select(F.explode(kept).alias("f")).select("f.*")
+    listed = _grouped(frames).groupBy("page_id", "gx", "gy").agg(F.collect_list(whole).alias("fs"))
+    start = F.array().cast(f"array<{frames.select(whole.alias('f')).schema['f'].dataType.simpleString()}>")
+    kept = F.col("fs")
+    for rank, drops in steps:
+        ordered = F.transform(F.array_sort(F.transform(kept, lambda f: F.struct(*(r.alias(f"rank{k}") for k, r in enumerate(rank(f))), f.alias("f")))), lambda x: x["f"])  # noqa: B023
+        kept = F.aggregate(ordered, start, lambda acc, f: F.when(F.exists(acc, lambda k: drops(f, k)), acc).otherwise(F.array_append(acc, f)))  # noqa: B023
+    out = listed.select(F.explode(F.when(F.size("fs") == 1, F.col("fs")).otherwise(kept)).alias("f")).select("f.*")
     return out.withColumn("ord", F.row_number().over(Window.partitionBy("page_id").orderBy("y0", "x0", "ord")).cast("long"))
 
 
+def _nested_in(f, k):
+    return (k["x0"] - SLACK <= f["x0"]) & (k["y0"] - SLACK <= f["y0"]) & (f["x1"] <= k["x1"] + SLACK) & (f["y1"] <= k["y1"] + SLACK)
+
+
+def _overlaps(f, k):
+    common = G.intersection(f, k)
+    return (common > 0) & ((common / (_area(f) + _area(k) - common) >= MAX_IOU) | (common / F.least(_area(f), _area(k)) >= MAX_CONTAINED))
+
+
+#: Larger frames first; more cells first, then larger ones. The ties of the second step fall in the order that the first leaves.
+_NESTED = (lambda f: (-_area(f), f["ord"]), _nested_in)
+_NMS = (lambda f: (-f["n_cells"], -_area(f), f["ord"]), _overlaps)
+_NMS_AFTER = (lambda f: (-f["n_cells"], -_area(f), f["y0"], f["x0"], f["ord"]), _overlaps)
+
+
 def frame_nested(frames: DataFrame) -> DataFrame:
     """Drop frames that lie, with half a point of slack, in a larger frame that stays."""
-    inside = lambda f, k: (k["x0"] - SLACK <= f["x0"]) & (k["y0"] - SLACK <= f["y0"]) & (f["x1"] <= k["x1"] + SLACK) & (f["y1"] <= k["y1"] + SLACK)
-    return _greedy(frames, [-_area({c: F.col(c) for c in ("x0", "y0", "x1", "y1")}), F.col("ord")], inside)
+    return _thinned(frames, _NESTED)
 
 
 def frame_nms(frames: DataFrame) -> DataFrame:
     """Drop frames that overlap one that stays by half of their union, or by 0.9 of the smaller; more cells, then larger area, go first."""
+    return _thinned(frames, _NMS)
 
-    def overlaps(f, k):
-        common = G.intersection(f, k)
-        smaller = F.least(_area(f), _area(k))
-        return (common > 0) & ((common / (_area(f) + _area(k) - common) >= MAX_IOU) | (common / smaller >= MAX_CONTAINED))
 
-    return _greedy(frames, [-F.col("n_cells"), -_area({c: F.col(c) for c in ("x0", "y0", "x1", "y1")}), F.col("ord")], overlaps)
+def frame_survivors(frames: DataFrame) -> DataFrame:
+    """``frame_nms`` of ``frame_nested``, in one pass over the groups."""
+    return _thinned(frames, _NESTED, _NMS_AFTER)
 
 
 def frame_ids(frames: DataFrame, page: Column) -> DataFrame:
@@ -158,23 +199,41 @@ def cells_of(frames: DataFrame) -> DataFrame:
     return frames.select("page_id", "ord", F.posexplode("cells").alias("cell_no", "c")).select("page_id", "ord", "cell_no", "c.*")
 
 
+def _placed(words: DataFrame) -> DataFrame:
+    """(page_id, word_no, wx, wy, word, sx, sy): words that aren't empty, at their centres, with the square of each."""
+    w = words.where(T.strip("text") != "").select("page_id", F.col("ord").alias("word_no"), ((F.col("x0") + F.col("x1")) / 2).alias("wx"), ((F.col("y0") + F.col("y1")) / 2).alias("wy"), T.strip("text").alias("word"))
+    return w.withColumns({"sx": G.square_of(F.col("wx")), "sy": G.square_of(F.col("wy"))})
+
+
+def word_candidates(cells: DataFrame, words: DataFrame) -> DataFrame:
+    """``cells`` with the words (word_no, wx, wy, word) of the squares that they touch."""
+    return G.in_squares(cells, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).join(_placed(words), ["page_id", "sx", "sy"]).drop("sx", "sy")
+
+
+def _held() -> Column:
+    return (F.col("wx") >= F.col("x0")) & (F.col("wx") <= F.col("x1")) & (F.col("wy") >= F.col("y0")) & (F.col("wy") <= F.col("y1"))
+
+
 def words_in_cell(cells: DataFrame, words: DataFrame, *keys: str) -> DataFrame:
     """(page_id, keys, texts): words whose centre lies in the cell, edges included, in word order; empty words go."""
-    w = words.where(T.strip("text") != "").select("page_id", F.col("ord").alias("word_no"), ((F.col("x0") + F.col("x1")) / 2).alias("wx"), ((F.col("y0") + F.col("y1")) / 2).alias("wy"), T.strip("text").alias("word"))
-    hit = cells.join(w, "page_id").where((F.col("wx") >= F.col("x0")) & (F.col("wx") <= F.col("x1")) & (F.col("wy") >= F.col("y0")) & (F.col("wy") <= F.col("y1")))
+    hit = word_candidates(cells, words).where(_held())
     return hit.groupBy("page_id", *keys).agg(F.array_sort(F.collect_list(F.struct("word_no", "word"))).alias("ws")).select("page_id", *keys, F.transform("ws", lambda x: x["word"]).alias("texts"))
 
 
 def frame_texts(frames: DataFrame, words: DataFrame) -> DataFrame:
     """Add ``texts``, the list of word lists of the frame's cells.
 
-    The words of a page meet its frames in one join on the page; frames are computed once.
+    Frames are computed once: they go along with their cells to the squares and come back with what was found there.
     """
-    word = F.struct(F.col("ord").alias("word_no"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), T.strip("text").alias("word"))
-    by_page = words.where(T.strip("text") != "").groupBy("page_id").agg(F.array_sort(F.collect_list(word)).alias("page_words"))
-    inside = lambda c: F.transform(F.filter("page_words", lambda w: G.holds(c, w["x"], w["y"])), lambda w: w["word"])
-    texts = F.transform("cells", lambda c: F.coalesce(inside(c), F.array().cast("array<string>")))
-    return frames.join(by_page, "page_id", "left").withColumn("texts", texts).drop("page_words")
+    own = F.struct(*frames.columns)
+    cells = frames.select("page_id", "ord", own.alias("f"), F.posexplode("cells").alias("cell_no", "c")).select("page_id", "ord", "f", "cell_no", "c.*")
+    placed = _placed(words).withColumnRenamed("page_id", "word_page").withColumnsRenamed({"sx": "word_sx", "sy": "word_sy"})
+    at = (F.col("page_id") == F.col("word_page")) & (F.col("sx") == F.col("word_sx")) & (F.col("sy") == F.col("word_sy"))
+    spread = G.in_squares(cells, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    found = spread.join(placed, at & _held(), "left").groupBy("page_id", "ord").agg(F.first("f").alias("f"), F.array_sort(F.collect_list(F.when(F.col("word_no").isNotNull(), F.struct("cell_no", "word_no", "word")))).alias("ws"))
+    of_cell = lambda k: F.transform(F.filter("ws", lambda w: w["cell_no"] == k), lambda w: w["word"])
+    texts = F.transform(F.sequence(F.lit(0), F.size("f.cells") - 1), of_cell)
+    return found.withColumn("texts", texts).select(*(F.col(f"f.{c}").alias(c) for c in frames.columns), "texts")
 
 
 def _behind_first(lists):
@@ -197,7 +256,7 @@ def frame_confidence(frames: DataFrame) -> DataFrame:
 
 def gdt_frames(strokes: DataFrame, words: DataFrame, page: Column) -> DataFrame:
     """Numbered frame candidates with their words, values and confidence."""
-    frames = frame_nms(frame_nested(frame_signature_dedup(frame_filter(raw_frames(strokes)))))
+    frames = frame_survivors(frame_signature_dedup(frame_filter(raw_frames(strokes))))
     return frame_ids(frame_values(frame_confidence(frame_texts(frames, words))), page)
 
 

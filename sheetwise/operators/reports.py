@@ -61,21 +61,22 @@ def report_preamble(reports: DataFrame) -> DataFrame:
     return t.select("doc_id", F.array_join(before, "\n").alias("before"), F.array_join(tail, "\n").alias("after"))
 
 
-def report_items(reports: DataFrame) -> DataFrame:
-    """(doc_id, row_no, item, zone_text, status): a row for each item of each report.
+def report_items(reports: DataFrame, *keys: str) -> DataFrame:
+    """(keys, doc_id, row_no, item, zone_text, status): a row for each item of each report.
 
     The three columns are found once in a report's header; rows are read where they stand, without a shuffle.
     """
+    keys = (*keys, "doc_id")
     rows = F.filter(F.transform(F.split("report", "\n"), T.strip), _is_row)
-    table = reports.select("doc_id", rows.alias("lines")).where(F.size("lines") > 1).select("doc_id", "lines", _cells(F.col("lines")[0]).alias("headers"))
+    table = reports.select(*keys, rows.alias("lines")).where(F.size("lines") > 1).select(*keys, "lines", _cells(F.col("lines")[0]).alias("headers"))
     hints = {"item": ITEM_HINTS, "zone_text": ZONE_HINTS, "status": STATUS_HINTS}
     place = lambda h: F.size("headers") - F.array_position(F.reverse("headers"), h).cast("int")
     # Of a header that repeats, the last value counts; the place is null without the header.
     places = [place(find_header(F.col("headers"), hint)).alias(f"{name}_at") for name, hint in hints.items()]
-    body = table.select("doc_id", *places, F.posexplode(F.slice("lines", F.lit(2), F.size("lines") - 1)).alias("at", "line"))
-    body = body.select("doc_id", (F.col("at") + 1).alias("row_no"), *(f"{name}_at" for name in hints), _cells(F.col("line")).alias("cells"))
+    body = table.select(*keys, *places, F.posexplode(F.slice("lines", F.lit(2), F.size("lines") - 1)).alias("at", "line"))
+    body = body.select(*keys, (F.col("at") + 1).alias("row_no"), *(f"{name}_at" for name in hints), _cells(F.col("line")).alias("cells"))
     value = lambda at: F.when(F.col(at).isNotNull(), F.coalesce(F.get("cells", at), F.lit("")))
-    return body.select("doc_id", "row_no", *(value(f"{name}_at").alias(name) for name in hints))
+    return body.select(*keys, "row_no", *(value(f"{name}_at").alias(name) for name in hints))
 
 
 def status_summary(reports: DataFrame) -> DataFrame:
@@ -125,14 +126,18 @@ def zone_resolve(groups: DataFrame, grid: DataFrame, *keys: str) -> DataFrame:
 COLOURS = 6
 
 
-def painted_regions(items: DataFrame, grid: DataFrame, dpi: int = 200) -> DataFrame:
-    """(page_id, row_no, item, boxes, resolved, colour) of each report item; ``items``: page_id, row_no, item, zone_text."""
-    groups = zone_groups(items, "page_id", "row_no")
+def painted_regions(items: DataFrame, grid: DataFrame, *keys: str, dpi: int = 200) -> DataFrame:
+    """(page_id, keys, row_no, item, status, boxes, resolved, colour) of each report item; ``items``: page_id, keys, row_no, item, zone_text, status.
+
+    ``keys`` tell apart the reports of a page that has several.
+    """
+    own = [*keys, "row_no"]
+    groups = zone_groups(items, "page_id", *own)
     px = lambda c: (F.col(c) * (dpi / 72.0)).cast("int")
-    boxes = zone_resolve(groups, grid, "row_no").select("page_id", "row_no", F.struct("group_no", px("x0").alias("x0"), px("y0").alias("y0"), px("x1").alias("x1"), px("y1").alias("y1")).alias("box"))
-    boxes = boxes.groupBy("page_id", "row_no").agg(F.array_sort(F.collect_list("box")).alias("boxes"))
-    joined = items.join(boxes, ["page_id", "row_no"], "left")
-    return joined.select("page_id", "row_no", "item", "boxes", F.col("boxes").isNotNull().alias("resolved"), ((F.col("row_no") - 1) % COLOURS).alias("colour"))
+    boxes = zone_resolve(groups, grid, *own).select("page_id", *own, F.struct("group_no", px("x0").alias("x0"), px("y0").alias("y0"), px("x1").alias("x1"), px("y1").alias("y1")).alias("box"))
+    boxes = boxes.groupBy("page_id", *own).agg(F.array_sort(F.collect_list("box")).alias("boxes"))
+    joined = items.join(boxes, ["page_id", *own], "left")
+    return joined.select("page_id", *own, "item", "status", "boxes", F.col("boxes").isNotNull().alias("resolved"), ((F.col("row_no") - 1) % COLOURS).alias("colour"))
 
 
 def unresolved_items(regions: DataFrame) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetwise.scratch import keep
+from sheetwise.scratch import keep, keep_last
+from sheetwise.tasks import ship
 
 THRESHOLD = 15
 # In tiles: a lone changed tile grows to 9 and isn't a region.
 CLOSE, DILATE, MIN_SIZE = 1, 1, 9
 KEY = ("pair_id", "page")
+#: Rows of tiles whose runs one task joins at a time.
+BAND = 1024
 
 
 def page_tile_diff(tiles: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -35,35 +39,132 @@ def _closed(tiles: DataFrame, reach: int) -> DataFrame:
     return near.where(F.col("n") == (2 * reach + 1) ** 2).select(*KEY, "tx", "ty")
 
 
-def _shared(df: DataFrame) -> DataFrame:
-    return keep(df, "regions")
+def tile_runs(tiles: DataFrame) -> DataFrame:
+    """(pair_id, page, ty, x0, x1): unbroken runs of the distinct ``tiles`` in each row."""
+    place = F.col("tx") - F.row_number().over(Window.partitionBy(*KEY, "ty").orderBy("tx"))
+    return tiles.withColumn("place", place).groupBy(*KEY, "ty", "place").agg(F.min("tx").alias("x0"), F.max("tx").alias("x1")).drop("place")
+
+
+class Sets(dict):
+    """Disjoint sets: each member leads to the least of its set."""
+
+    def least(self, k):
+        while (up := self.setdefault(k, k)) != k:
+            self[k] = k = self[up]
+        return k
+
+    def unite(self, a, b):
+        a, b = self.least(a), self.least(b)
+        self[max(a, b)] = min(a, b)
+
+
+def _groups(batches, keys: list[str]):
+    """Rows of sorted batches, a list of tuples for each value of ``keys``, which come first."""
+    held, now = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[: len(keys)] != now:
+                if held:
+                    yield held
+                held, now = [], row[: len(keys)]
+            held.append(row)
+    if held:
+        yield held
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def joined_runs(rows: list[tuple[int, int, int]]) -> list[int]:
+    """For runs (ty, x0, x1), sorted, the place of the first run of each one's region; runs touch by side or corner."""
+    sets, above, row, begin = Sets(), [], [], None
+    for k, (ty, x0, x1) in enumerate(rows):
+        if ty != begin:
+            above, row, begin, at = (row if begin is not None and ty == begin + 1 else []), [], ty, 0
+        while at < len(above) and rows[above[at]][2] < x0 - 1:
+            at += 1
+        sets.least(k)
+        touched = at
+        while touched < len(above) and rows[above[touched]][1] <= x1 + 1:
+            sets.unite(above[touched], k)
+            touched += 1
+        row.append(k)
+    return [sets.least(k) for k in range(len(rows))]
+
+
+def _labelled(runs: DataFrame) -> DataFrame:
+    """Add ``label`` to runs: the number of the first tile of the region that the run belongs to within its band of rows."""
+    kinds = dict(runs.dtypes)
+    ddl = ", ".join(f"{c} {kinds[c]}" for c in KEY) + ", band bigint, ty bigint, x0 bigint, x1 bigint, label bigint"
+    whole = [F.col(c).cast("long").alias(c) for c in ("ty", "x0", "x1")]
+    dealt = runs.select(*KEY, F.floor(F.col("ty") / BAND).alias("band"), *whole).repartition(*KEY, "band").sortWithinPartitions(*KEY, "band", "ty", "x0")
+
+    def work(batches):
+        schema, ready = None, []
+        for rows in _groups(_noting(batches, note := []), [*KEY, "band"]):
+            first = joined_runs([r[3:] for r in rows])
+            ready += [(*r, rows[k][3] * (1 << 32) + rows[k][4]) for r, k in zip(rows, first)]
+            schema = schema or pa.schema([*note[0], pa.field("label", pa.int64())])
+            if len(ready) > 10_000:
+                yield _table(ready, schema)
+                ready = []
+        if ready:
+            yield _table(ready, schema)
+
+    ship(runs.sparkSession)
+    return dealt.mapInArrow(work, ddl)
+
+
+def _noting(batches, note: list):
+    for batch in batches:
+        note.append(batch.schema) if not note else None
+        yield batch
+
+
+def _contracted(labelled: DataFrame) -> DataFrame | None:
+    """(pair_id, page, label, root) of labels that meet across a border of bands; None if none do.
+
+    Only runs of the two rows at a border are compared, so what a page's task holds grows with its borders, not with its regions.
+    """
+    last = labelled.where(F.col("ty") == F.col("band") * BAND + BAND - 1).select(*KEY, (F.col("ty") + 1).alias("ty"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("label").alias("a"))
+    first = labelled.where(F.col("ty") == F.col("band") * BAND).select(*KEY, "ty", F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("label").alias("b"))
+    meet = (F.col("b0") <= F.col("a1") + 1) & (F.col("b1") >= F.col("a0") - 1)
+    edges = keep(last.join(first, [*KEY, "ty"]).where(meet).select(*KEY, "a", "b").distinct(), "borders")
+    if not edges.take(1):
+        return None
+    kinds = dict(edges.dtypes)
+
+    def work(batches):
+        for rows in _groups(_noting(batches, note := []), list(KEY)):
+            sets = Sets()
+            for *_, a, b in rows:
+                sets.unite(a, b)
+            schema = pa.schema([*list(note[0])[: len(KEY)], pa.field("label", pa.int64()), pa.field("root", pa.int64())])
+            yield _table([(*rows[0][: len(KEY)], k, sets.least(k)) for k in list(sets)], schema)
+
+    return edges.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(work, ", ".join(f"{c} {kinds[c]}" for c in KEY) + ", label bigint, root bigint")
 
 
 def diff_regions(changed: DataFrame, close: int = 1, dilate: int = 1, min_size: int = 0) -> DataFrame:
     """(pair_id, page, region, size, x0, y0, x1, y1): 8-connected regions of changed tiles with more than ``min_size`` tiles.
 
-    Gaps are closed and the tiles dilated first. Labels sink to the smallest of the neighbourhood until
-    none changes; each round writes the labels, so the plan stays short. Regions don't join across pages;
-    closing and dilation aren't cut at a page's edge, so size and box count the margin there too.
+    Gaps are closed and the tiles dilated first. Tiles become runs, runs are joined within bands of BAND rows, and labels that meet at a border of
+    bands are joined once a page: there are no rounds, however long a region is. ``region`` is the number of its first tile. Regions don't
+    join across pages; closing and dilation aren't cut at a page's edge, so size and box count the margin there too.
     """
-    tiles = _spread(_closed(changed, close), dilate) if dilate else _closed(changed, close)
-    number = F.col("ty").cast("long") * (1 << 32) + F.col("tx")
-    labels = _shared(tiles.withColumn("label", number))
-    around = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
-    while True:
-        sent = labels.select(*KEY, "tx", "ty", "label", F.explode(around).alias("o"))
-        sent = sent.select(*KEY, (F.col("tx") + F.col("o.dx")).alias("tx"), (F.col("ty") + F.col("o.dy")).alias("ty"), "label")
-        low = sent.groupBy(*KEY, "tx", "ty").agg(F.min("label").alias("low"))
-        moved = _shared(labels.join(low, [*KEY, "tx", "ty"]).select(*KEY, "tx", "ty", "low", "label"))
-        if not moved.where("low < label").take(1):
-            break
-        # The label of one's label is a shortcut along the region.
-        step = moved.select(*KEY, "tx", "ty", F.col("low").alias("label"))
-        there = step.select(*KEY, number.alias("low_no"), F.col("label").alias("label2"))
-        labels = _shared(step.withColumn("low_no", F.col("label")).join(there, [*KEY, "low_no"], "left").select(*KEY, "tx", "ty", F.least("label", F.coalesce("label2", "label")).alias("label")))
-    return labels.groupBy(*KEY, F.col("label").alias("region")).agg(
-        F.count("*").alias("size"), F.min("tx").alias("x0"), F.min("ty").alias("y0"), F.max("tx").alias("x1"), F.max("ty").alias("y1")
-    ).where(F.col("size") > min_size)
+
+    def make():
+        tiles = _spread(_closed(changed, close), dilate) if dilate else _closed(changed, close)
+        labelled = keep(_labelled(tile_runs(tiles)), "runs")
+        roots = _contracted(labelled)
+        if roots is not None:
+            labelled = labelled.join(roots, [*KEY, "label"], "left").withColumn("label", F.coalesce("root", "label"))
+        return labelled.groupBy(*KEY, F.col("label").alias("region")).agg(
+            F.sum(F.col("x1") - F.col("x0") + 1).alias("size"), F.min("x0").cast("int").alias("x0"), F.min("ty").cast("int").alias("y0"), F.max("x1").cast("int").alias("x1"), F.max("ty").cast("int").alias("y1")
+        ).where(F.col("size") > min_size)
+
+    return keep_last(make, "regions")
 
 
 def changed_pages(regions: DataFrame, pages: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions import text as T
+from sheetwise.tasks import ship
 
 EDGE = 0.13
 STEP_TOLERANCE = 0.06
@@ -27,27 +31,58 @@ def grid_labels(spans: DataFrame) -> DataFrame:
     )
 
 
+def longest_chain(coords: list[float], labels: list[str]) -> list[int]:
+    """Places of the longest regularly spaced chain in the sorted ``coords``; empty without a pair more than 1 apart.
+
+    A seed is a pair of labels more than 1 apart. The chain grows by the first unused label within 6 % of a step from the next
+    place, looked up by binary search. The longest chain wins, of equals that of the first seed; a seed whose step leaves no
+    room for a longer chain isn't followed.
+    """
+    n, best = len(coords), []
+    for i in range(n):
+        for j in range(i + 1, n):
+            step, at = coords[j] - coords[i], coords[j]
+            if step <= 1.0 or len(best) >= 2 + (coords[-1] - at) / (step * (1 - STEP_TOLERANCE)) + 1e-9:
+                continue
+            chain, used, slack, k = [i, j], {labels[i], labels[j]}, step * STEP_TOLERANCE, j + 1
+            while True:
+                k = bisect_left(coords, at + step - slack - 1e-6, k)  # a little early; the exact test follows
+                while k < n and coords[k] <= at + step + slack + 1e-6 and not (abs(coords[k] - (at + step)) <= slack and labels[k] not in used):
+                    k += 1
+                if k == n or coords[k] > at + step + slack + 1e-6:
+                    break
+                chain.append(k)
+                used.add(labels[k])
+                at, k = coords[k], k + 1
+            if len(chain) > len(best):
+                best = chain
+    return best
+
+
+def _chains(batches):
+    point = pa.struct([("coord", pa.float64()), ("label", pa.string())])
+    for batch in batches:
+        chains, steps = [], []
+        for pts in batch.column("pts").to_pylist():
+            chain = [pts[k] for k in longest_chain([p["coord"] for p in pts], [p["label"] for p in pts])]
+            chains.append(chain)
+            steps.append(chain[1]["coord"] - chain[0]["coord"] if chain else None)
+        columns = [batch.column("page_id"), batch.column("axis"), pa.array(chains, pa.list_(point)), pa.array(steps, pa.float64()), batch.column("page_w"), batch.column("page_h")]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "axis", "chain", "step", "page_w", "page_h"])
+
+
 def progressions(labels: DataFrame) -> DataFrame:
-    """(page_id, axis, chain, step, page_w, page_h): the longest regularly spaced chain of labels on each axis.
+    """(page_id, axis, chain, step, page_w, page_h): the longest regularly spaced chain of labels on each axis that has one.
 
-    A seed is a pair of labels more than 1 apart. The chain grows by the first unused label, in order
-    of coordinate and label, within 6 % of a step from the next place; one forward fold over the sorted labels of
-    the axis finds it. The longest chain wins, of equals that of the first seed.
+    Labels of an axis are ordered by coordinate, to one decimal, and label, each once.
     """
-    point = F.struct(F.bround("coord", 1).alias("coord"), "label")
-    listed = labels.groupBy("page_id", "axis").agg(F.array_sort(F.collect_set(point)).alias("pts"), F.max("page_w").alias("page_w"), F.max("page_h").alias("page_h"))
-    one = listed.select("*", F.posexplode("pts").alias("i", "a"))
-    seeds = one.select("*", F.posexplode("pts").alias("j", "b")).where((F.col("j") > F.col("i")) & (F.col("b.coord") - F.col("a.coord") > 1.0))
-    step = F.col("b.coord") - F.col("a.coord")
-    start = F.struct(F.array("a", "b").alias("chain"), F.array("a.label", "b.label").alias("used"), F.col("b.coord").alias("at"))
-
-    def grow(s, p):
-        fits = ~F.array_contains(s["used"], p["label"]) & (F.abs(p["coord"] - (s["at"] + F.col("step"))) <= F.col("step") * STEP_TOLERANCE)
-        return F.when(fits, F.struct(F.array_append(s["chain"], p).alias("chain"), F.array_append(s["used"], p["label"]).alias("used"), p["coord"].alias("at"))).otherwise(s)
-
-    grown = seeds.withColumn("step", step).select("page_id", "axis", "page_w", "page_h", "i", "j", "step", F.aggregate("pts", start, grow)["chain"].alias("chain"))
-    best = grown.groupBy("page_id", "axis").agg(F.max_by(F.struct("chain", "step"), F.struct(F.size("chain"), -F.col("i"), -F.col("j"))).alias("best"), F.max("page_w").alias("page_w"), F.max("page_h").alias("page_h"))
-    return best.select("page_id", "axis", "best.chain", "best.step", "page_w", "page_h")
+    point = F.struct(F.bround("coord", 1).cast("double").alias("coord"), F.col("label").cast("string").alias("label"))
+    size = lambda c: F.max(F.col(c).cast("double")).alias(c)
+    listed = labels.groupBy("page_id", "axis").agg(F.array_sort(F.collect_set(point)).alias("pts"), size("page_w"), size("page_h"))
+    ship(labels.sparkSession)
+    page = labels.schema["page_id"].dataType.simpleString()
+    found = listed.mapInArrow(_chains, f"page_id {page}, axis string, chain array<struct<coord: double, label: string>>, step double, page_w double, page_h double")
+    return found.where(F.size("chain") > 0)
 
 
 def grid(spans: DataFrame) -> DataFrame:

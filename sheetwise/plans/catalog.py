@@ -262,7 +262,7 @@ def cell_text_flags(spark, sf):
 
 def _frames_with_texts(spark, sf):
     strokes, words = derived(spark, sf, "strokes"), derived(spark, sf, "words")
-    f = frames.frame_nms(frames.frame_nested(frames.frame_signature_dedup(frames.frame_filter(frames.raw_frames(strokes)))))
+    f = frames.frame_survivors(frames.frame_signature_dedup(frames.frame_filter(frames.raw_frames(strokes))))
     return frames.frame_texts(f, words)
 
 
@@ -478,7 +478,7 @@ def _painted(spark, sf):
 @query(f"{_PAINTED} select * from painted")
 def painted_regions(spark, sf):
     box = lambda b: F.concat_ws(" ", b["x0"], b["y0"], b["x1"], b["y1"])
-    return _painted(spark, sf).withColumn("boxes", F.coalesce(F.array_join(F.transform("boxes", box), ";"), F.lit("")))
+    return _painted(spark, sf).drop("status").withColumn("boxes", F.coalesce(F.array_join(F.transform("boxes", box), ";"), F.lit("")))
 
 
 @query(f"{_PAINTED} select count(*) filter (not resolved) as unresolved, count(*) as total from painted")
@@ -504,7 +504,7 @@ def _texts(c) -> F.Column:
 
 @query(ctes("strokes", "words") + f", {sql.GDT} select page_id, ord, cell_no, array_to_string(texts, ',') as texts from wc where texts is not null")
 def words_in_cell(spark, sf):
-    f = frames.frame_nms(frames.frame_nested(frames.frame_signature_dedup(frames.frame_filter(frames.raw_frames(derived(spark, sf, "strokes"))))))
+    f = frames.frame_survivors(frames.frame_signature_dedup(frames.frame_filter(frames.raw_frames(derived(spark, sf, "strokes")))))
     t = frames.words_in_cell(frames.cells_of(f), derived(spark, sf, "words"), "ord", "cell_no")
     return t.select("page_id", "ord", F.col("cell_no").cast("long").alias("cell_no"), F.array_join("texts", ",").alias("texts"))
 
@@ -589,12 +589,12 @@ def class_counts(spark, sf):
     return cells.class_counts(cells.cell_ranking(s), s)
 
 
-@query()
+@query(ctes("tiles", recursive=True) + f", {sql.REGIONS} select * from regions")
 def diff_regions(spark, sf):
     return tiles.diff_regions(tiles.page_tile_diff(derived(spark, sf, "tiles")), close=tiles.CLOSE, dilate=tiles.DILATE, min_size=tiles.MIN_SIZE)
 
 
-@query()
+@query(ctes("tiles", recursive=True) + f", {sql.REGIONS} select * from changed_pages")
 def changed_pages(spark, sf):
     t = derived(spark, sf, "tiles")
     return tiles.changed_pages(tiles.diff_regions(tiles.page_tile_diff(t), close=tiles.CLOSE, dilate=tiles.DILATE, min_size=tiles.MIN_SIZE), batch.page_pairs(t).select("pair_id", "page"))
@@ -648,7 +648,7 @@ def frame_nested(spark, sf):
 
 @query(ctes("boxes") + f", nn as {sql.renumbered(sql.nested('fx_boxes'))} select * from {sql.renumbered(sql.nms('nn'))}")
 def frame_nms(spark, sf):
-    return frames.frame_nms(frames.frame_nested(derived(spark, sf, "boxes")))
+    return frames.frame_survivors(derived(spark, sf, "boxes"))
 
 
 @query(ctes("boxes") + " select page_id, ord, printf('GDT-CAND-P%02d-%03d', page_id % 99 + 1, row_number() over (partition by page_id order by ord)) as frame_id from fx_boxes")
@@ -741,7 +741,21 @@ def batch_classification(spark, sf):
     return pipelines.batch_classification(derived(spark, sf, "files"), derived(spark, sf, "calls"), derived(spark, sf, "sheet"), derived(spark, sf, "results"))
 
 
-@query()
+_PAIRS = """folder_files as (select *, row_number() over (partition by folder order by name) as rn from fx_files),
+ folder_pairs as (select folder, count(*) as n_files, min(name) filter (contains(lower(name),'draw_1')) as a, min(name) filter (contains(lower(name),'draw_2')) as b, min(name) filter (rn=1) as n1, min(name) filter (rn=2) as n2 from folder_files group by folder)"""
+
+
+@query(
+    ctes("files", "tiles", "reports", "spans", recursive=True)
+    + f""", {sql.REGIONS}, {sql.ZONES}, {sql.GRID}, {_PAIRS}, found as (select distinct z.doc_id, z.row_no from zones z join fx_reports r on r.doc_id = z.doc_id
+  join grid ra on ra.page_id=r.pair_id and ra.axis='row' and ra.label=z.row_a join grid rb on rb.page_id=r.pair_id and rb.axis='row' and rb.label=coalesce(z.row_b,z.row_a)
+  join grid ca on ca.page_id=r.pair_id and ca.axis='col' and ca.label=z.col_a join grid cb on cb.page_id=r.pair_id and cb.axis='col' and cb.label=coalesce(z.col_b,z.col_a)),
+ told as (select r.pair_id, {sql.status_class('status')} as c, f.doc_id is not null as resolved from items i join fx_reports r on r.doc_id = i.doc_id left join found f on f.doc_id = i.doc_id and f.row_no = i.row_no),
+ summary as (select pair_id, count(*) as items, count(*) filter (c='observation') as observations, count(*) filter (c='correction') as corrections, count(*) filter (c='approved') as approvals, count(*) filter (resolved) as resolved from told group by pair_id),
+ per_pair as (select pair_id, sum(regions)::bigint as regions from changed_pages where regions > 0 group by pair_id)
+ select pair_id, case when a is not null and b is not null then a else n1 end as first, case when a is not null and b is not null then b else n2 end as second, regions, items, observations, corrections, approvals, resolved
+ from folder_pairs p join per_pair c on c.pair_id = p.folder join summary s using (pair_id) where n_files >= 2"""
+)
 def revision_review(spark, sf):
     return pipelines.revision_review(derived(spark, sf, "files"), derived(spark, sf, "tiles"), derived(spark, sf, "reports"), derived(spark, sf, "spans"))
 

@@ -51,7 +51,7 @@ from orders""",
 select concat('CAD', cast(o_custkey as string), case o_orderkey%6 when 0 then '_original.pdf' when 1 then '_review.pdf' when 2 then '_draw_1.pdf' when 3 then '_draw_2.pdf' when 4 then '_vs.pdf' else '_notes.txt' end) as name
 from orders""",
     "reports": """
-select o_orderkey as doc_id, concat('Resumo', chr(10), chr(10),
+select o_custkey as pair_id, o_orderkey as doc_id, concat('Resumo', chr(10), chr(10),
  '| Item | Diferença Encontrada | Localização (Quadrante) | Status IA | Ação Recomendada |', chr(10), '|------|---|:---:|---|---|', chr(10),
  '| 1 | Cota ', cast(o_custkey as string), '; REV.: 3 | Central (D', cast(1+o_orderkey%8 as string), ' a E7) | Aprovado | Nenhuma |', chr(10),
  '| 2 | Nota | ', case when o_orderkey%2=0 then 'Vários (F4-F7, C9-E9) A1, 2B' else 'Vistas de Detalhe' end, ' | Aprovado com Observação | Verificar |', chr(10),
@@ -141,6 +141,6 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ctes(*names: str) -> str:
+def ctes(*names: str, recursive: bool = False) -> str:
     """WITH clause of the derived tables, for the SQL that a query is held against."""
-    return "with " + ", ".join(f"fx_{n} as ({SQL[n]})" for n in names)
+    return "with " + "recursive " * recursive + ", ".join(f"fx_{n} as ({SQL[n]})" for n in names)

@@ -69,15 +69,17 @@ def batch_classification(files: DataFrame, calls: DataFrame, sheet: DataFrame, r
 
 
 def revision_review(files: DataFrame, pixels: DataFrame, answers: DataFrame, spans: DataFrame) -> DataFrame:
-    """(pair_id, first, second, regions, items, observations, corrections, approvals, resolved): pairs with a changed page and their reports."""
+    """(pair_id, first, second, regions, items, observations, corrections, approvals, resolved): pairs with a changed page and their reports.
+
+    ``answers``: (pair_id, doc_id, report); a pair may have several. ``spans``: page_id is the pair.
+    """
     pairs = batch.drawing_pairs(files).where("error is null").select(F.col("folder").alias("pair_id"), "first", "second")
     changed = tiles.changed_pages(tiles.diff_regions(tiles.page_tile_diff(pixels), close=tiles.CLOSE, dilate=tiles.DILATE, min_size=tiles.MIN_SIZE), batch.page_pairs(pixels).select("pair_id", "page")).where("regions > 0")
     per_pair = changed.groupBy("pair_id").agg(F.sum("regions").alias("regions"))
-    items = reports.report_items(answers).withColumnRenamed("doc_id", "page_id")
-    painted = reports.painted_regions(items, zones.grid(spans)).select("page_id", "row_no", "resolved")
-    status = items.join(painted, ["page_id", "row_no"]).withColumn("status_class", reports.T.status_class("status"))
+    items = reports.report_items(answers, "pair_id").withColumnRenamed("pair_id", "page_id")
+    painted = reports.painted_regions(items, zones.grid(spans), "doc_id").withColumn("status_class", reports.T.status_class("status"))
     n = lambda s: F.count_if(F.col("status_class") == s)
-    summary = status.groupBy(F.col("page_id").alias("pair_id")).agg(
+    summary = painted.groupBy(F.col("page_id").alias("pair_id")).agg(
         F.count("*").alias("items"), n("observation").alias("observations"), n("correction").alias("corrections"), n("approved").alias("approvals"), F.count_if("resolved").alias("resolved")
     )
     return pairs.join(per_pair, "pair_id").join(summary, "pair_id")

@@ -170,3 +170,20 @@ LIMITS = MARKERS + """,
 centres as (select page_id, kind as axis, text as label, median(case when kind='row' then cy else cx end) as centre from markers where kind <> 'dimension' group by page_id, kind, text),
 le as (select *, coalesce((centre + lead(centre) over (partition by page_id, axis order by centre, label))/2, 'infinity'::double) as "end" from centres),
 limits as (select page_id, axis, label, coalesce(lag("end") over (partition by page_id, axis order by centre, label), '-infinity'::double) as start, "end" from le)"""
+
+_AROUND = "(select * from (values (-1),(0),(1)) a(dx), (values (-1),(0),(1)) b(dy)) o"
+
+# Changed tiles closed by one and dilated by one, their runs in rows, runs reached from each other, regions of more than 9 tiles.
+REGIONS = f"""tile_a as (select * from fx_tiles where rev=1), tile_b as (select * from fx_tiles where rev=2),
+changed as (select coalesce(a.pair_id,b.pair_id) as pair_id, coalesce(a.page,b.page) as page, coalesce(a.tx,b.tx) as tx, coalesce(a.ty,b.ty) as ty from tile_a a full join tile_b b on a.pair_id=b.pair_id and a.page=b.page and a.tx=b.tx and a.ty=b.ty where coalesce(abs(a.gray-b.gray) > 15, true)),
+wide as (select distinct pair_id, page, tx+dx as tx, ty+dy as ty from changed, {_AROUND}),
+closed as (select pair_id, page, tx+dx as tx, ty+dy as ty from wide, {_AROUND} group by all having count(*) = 9),
+dilated as (select distinct pair_id, page, tx+dx as tx, ty+dy as ty from closed, {_AROUND}),
+tile_runs as (select pair_id, page, ty, min(tx) as x0, max(tx) as x1, ty::bigint * 4294967296 + min(tx) as run from (select *, tx - row_number() over (partition by pair_id, page, ty order by tx) as place from dilated) group by pair_id, page, ty, place),
+touching as (select a.pair_id, a.page, a.run as a, b.run as b from tile_runs a join tile_runs b on a.pair_id=b.pair_id and a.page=b.page and abs(a.ty-b.ty) = 1 and a.x0 <= b.x1+1 and b.x0 <= a.x1+1),
+reached as (select pair_id, page, run as a, run as b from tile_runs union select r.pair_id, r.page, r.a, t.b from reached r join touching t on t.pair_id=r.pair_id and t.page=r.page and t.a=r.b),
+run_region as (select pair_id, page, a as run, min(b) as region from reached group by pair_id, page, a),
+regions as (select pair_id, page, region, sum(x1-x0+1)::bigint as size, min(x0) as x0, min(ty) as y0, max(x1) as x1, max(ty) as y1 from tile_runs join run_region using (pair_id, page, run) group by pair_id, page, region having sum(x1-x0+1) > 9),
+tile_pages as (select pair_id, page from fx_tiles group by pair_id, page having count(distinct rev) = 2),
+page_regions as (select p.pair_id, p.page, count(region) as regions from tile_pages p left join regions r on r.pair_id=p.pair_id and r.page=p.page group by p.pair_id, p.page),
+changed_pages as (select pair_id, page, regions, changed from (select *, max(regions) over (partition by pair_id) > 0 as changed from page_regions) where regions > 0 or not changed)"""
