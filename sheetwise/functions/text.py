@@ -79,7 +79,7 @@ def status_class(c) -> Column:
     low = F.lower(strip(c))
     return (
         F.when(low.contains("observa"), "observation")
-        .when(low.contains("requer") | low.contains("correc") | low.contains("correç"), "correction")
+        .when(low.contains("requer") | low.contains("correc") | low.contains("correç") | low.contains("fixing"), "correction")
         .when(low.contains("aprovado"), "approved")
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,14 +53,14 @@ RESPONSE = "struct<" + ",".join(f"{f}:{FIELD}" for f in FIELDS) + ",cited_standa
 
 
 def response_ingest(responses: DataFrame) -> DataFrame:
-    """(doc_id, answer, violations): stored answers parsed by a fixed schema, with every rule they break."""
+    """(doc_id, answer, violations): stored answers parsed by a fixed schema, with every rule they break; a confidence has to be given."""
     parsed = responses.select("doc_id", F.from_json("response", RESPONSE).alias("answer"), F.try_parse_json("response").isNull().alias("malformed"))
     bad = [F.when(F.col("malformed"), "malformed")]
     for f in FIELDS:
         x = F.col(f"answer.{f}")
         bad += [
             F.when(~F.col("malformed") & x.isNull(), f"{f}: missing"),
-            F.when((x["confidence"] < 0) | (x["confidence"] > 1), f"{f}: confidence"),
+            F.when(x.isNotNull() & ~F.coalesce(x["confidence"].between(0, 1), F.lit(False)), f"{f}: confidence"),
             F.when(F.length(x["evidence"]) > T.MAX_EVIDENCE, f"{f}: evidence too long"),
         ]
     codes = F.transform("answer.cited_standards", lambda c: c["standard"])
@@ -81,27 +82,39 @@ SCHEMAS = {
 }
 
 
-def schema_ingest(responses: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, answer, violations): stored answers of one of SCHEMAS, with every rule they break.
-
-    All fields are required, also those of list items; codes don't repeat; a list of reasons is as
-    long as its list of codes; a confidence is from 0 to 1. What isn't JSON is malformed.
-    """
-    parsed = responses.select("doc_id", F.from_json("response", SCHEMAS[kind]).alias("answer"), F.try_parse_json("response").isNull().alias("malformed"))
-    fields = {f.name: f.dataType for f in parsed.schema["answer"].dataType}
-    own = {f: F.col(f"answer.{f}") for f in fields}
+def _rules(response: str, kind: str) -> Column:
+    """The rules of one of SCHEMAS that an answer breaks."""
+    answer = F.from_json(response, SCHEMAS[kind])
+    fields = dict(f.split(" ", 1) for f in re.split(r", (?=\w+ (?:string|double|array))", SCHEMAS[kind]))
+    own = {f: answer[f] for f in fields}
     bad = [F.when(own[f].isNull(), f"{f}: missing") for f in fields]
     for f, t in fields.items():
-        if t.typeName() == "array" and t.elementType.typeName() == "struct":
-            parts = t.elementType.names
+        if t.startswith("array<struct"):
+            parts = re.findall(r"(\w+):", t)
             bad.append(F.when(F.exists(own[f], lambda x: reduce(Column.__or__, (x[c].isNull() for c in parts))), f"{f}: incomplete"))  # noqa: B023
     reasons = [f for f in fields if f.startswith("justificativas")]
     codes = [f for f in fields if f in ("lista_normas", "normas_sugeridas")]
     bad += [F.when(F.size(own[a]) != F.size(own[b]), f"{a}: unequal length") for a, b in zip(codes, reasons)]
     bad += [F.when(F.size(own[f]) > F.size(F.array_distinct(own[f])), f"{f}: repeated") for f in codes]
     bad += [F.when(~own[f].between(0, 1), f"{f}: confidence") for f in fields if f == "confianca"]
-    rules = F.when(F.col("malformed"), F.array(F.lit("malformed"))).otherwise(F.array_compact(F.array(*bad)))
-    return parsed.select("doc_id", "answer", rules.alias("violations"))
+    return F.when(F.try_parse_json(response).isNull(), F.array(F.lit("malformed"))).otherwise(F.array_compact(F.array(*bad)))
+
+
+def schema_ingest(responses: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, answer, violations): stored answers of one of SCHEMAS, with every rule they break.
+
+    All fields are required, also those of list items; codes don't repeat; a list of reasons is as
+    long as its list of codes; a confidence is from 0 to 1. What isn't JSON is malformed.
+    """
+    return responses.select("doc_id", F.from_json("response", SCHEMAS[kind]).alias("answer"), _rules("response", kind).alias("violations"))
+
+
+def kinds_ingest(responses: DataFrame) -> DataFrame:
+    """(doc_id, kind, violations) of answers of all kinds in one scan, each by the rules of its ``kind``; an unknown kind is a violation."""
+    found = F.array(F.lit("unknown kind"))
+    for kind in reversed(SCHEMAS):
+        found = F.when(F.col("kind") == kind, _rules("response", kind)).otherwise(found)
+    return responses.select("doc_id", "kind", found.alias("violations"))
 
 
 def valid(ingested: DataFrame) -> DataFrame:
@@ -126,10 +139,10 @@ def result_writeback(sheet: DataFrame, results: DataFrame, key: str, columns: li
     return joined.select(*(F.when(write, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in sheet.columns))
 
 
-def cost_log(raw: DataFrame) -> DataFrame:
-    """The log with typed columns; what doesn't parse is null."""
+def cost_log(raw: DataFrame, *keys: str) -> DataFrame:
+    """The log, after ``keys``, with typed columns; what doesn't parse is null."""
     kinds = {"total_tokens": "bigint", "prompt_tokens": "bigint", "completion_tokens": "bigint", "latencia_ms": "double", "custo_usd": "double"}
-    return raw.select("call_id", "timestamp", "modelo", *(F.col(c).try_cast(k).alias(c) for c, k in kinds.items()))
+    return raw.select(*keys, "call_id", "timestamp", "modelo", *(F.col(c).try_cast(k).alias(c) for c, k in kinds.items()))
 
 
 def cost_rows(calls: DataFrame) -> DataFrame:
@@ -146,23 +159,31 @@ def append_costs(calls: DataFrame, path: str) -> None:
     cost_rows(calls).write.mode("append").option("header", True).csv(path)
 
 
-def cost_summary(raw: DataFrame) -> DataFrame:
-    """(calls, tokens, cost, mean_latency) of the log.
+def cost_sums(raw: DataFrame, *by: str) -> DataFrame:
+    """(by, calls, tokens, usd, ms): sums over log rows that sums of parts add up to.
 
     Cells are read from left to right and a row stops at its first malformed cell: its tokens count
     although its cost doesn't parse, its cost although its latency doesn't; only whole rows are calls.
     """
-    t = cost_log(raw)
+    t = cost_log(raw, *by)
     tokens = F.col("total_tokens").isNotNull()
     cost = tokens & F.col("custo_usd").isNotNull()
     whole = cost & F.col("latencia_ms").isNotNull()
-    sums = t.agg(
-        F.count_if(whole).alias("calls"),
-        F.coalesce(F.sum(F.when(tokens, F.col("total_tokens"))), F.lit(0)).alias("tokens"),
-        F.coalesce(F.sum(F.when(cost, F.col("custo_usd"))), F.lit(0.0)).alias("usd"),
-        F.coalesce(F.avg(F.when(whole, F.col("latencia_ms"))), F.lit(0.0)).alias("ms"),
+    return t.groupBy(*by).agg(
+        F.count_if(whole).alias("calls"), F.sum(F.when(tokens, F.col("total_tokens"))).alias("tokens"), F.sum(F.when(cost, F.col("custo_usd"))).alias("usd"), F.sum(F.when(whole, F.col("latencia_ms"))).alias("ms")
     )
-    return sums.select("calls", "tokens", F.concat(F.lit("$"), T.fixed(F.col("usd"), 4)).alias("cost"), T.fixed(F.col("ms"), 2).alias("mean_latency"))
+
+
+def cost_total(sums: DataFrame) -> DataFrame:
+    """(calls, tokens, cost, mean_latency) of rows of ``cost_sums``."""
+    t = sums.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("calls", "tokens")), *(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("usd", "ms")))
+    mean = F.coalesce(F.try_divide(F.col("ms"), F.col("calls")), F.lit(0.0))
+    return t.select("calls", "tokens", F.concat(F.lit("$"), T.fixed(F.col("usd"), 4)).alias("cost"), T.fixed(mean, 2).alias("mean_latency"))
+
+
+def cost_summary(raw: DataFrame) -> DataFrame:
+    """(calls, tokens, cost, mean_latency) of the log."""
+    return cost_total(cost_sums(raw))
 
 
 def drawing_token_totals(calls: DataFrame) -> DataFrame:

@@ -13,20 +13,14 @@ MIN_SCORE, MIN_MARGIN = 0.55, 0.12
 COVERAGE_MARGIN = 3.0
 INSET, MIN_INSET, MAX_INSET = 0.05, 0.6, 3.0
 CROP_PADDING = 4.0
-#: Templates go to every task only below this number; more are joined by representation.
+#: Templates go to every task only up to this number; more are dealt over decks.
 MAX_BROADCAST = 2000
 
 
-def _centred(vec):
-    v = F.transform(vec, lambda x: x.cast("double"))
-    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
-    return v, mean
-
-
 def _unit(df: DataFrame) -> DataFrame:
     """Replace ``vec`` by its deviation from its mean over its norm; a flat vector becomes zero."""
-    v, mean = _centred("vec")
-    t = df.withColumn("vec", v).withColumn("mean", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x) / F.size("vec"))
+    t = df.withColumn("vec", F.transform("vec", lambda x: x.cast("double")))
+    t = t.withColumn("mean", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x) / F.size("vec"))
     t = t.withColumn("vec", F.transform("vec", lambda x: x - F.col("mean")))
     t = t.withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))
     return t.withColumn("vec", F.transform("vec", lambda x: F.coalesce(F.try_divide(x, F.col("norm")), F.lit(0.0)))).drop("mean", "norm")
@@ -35,41 +29,49 @@ def _unit(df: DataFrame) -> DataFrame:
 def template_correlation(cells: DataFrame, templates: DataFrame) -> DataFrame:
     """(cell_id, representation, template, score): zero-mean normalised correlation of equal-sized vectors.
 
-    ``cells``: (cell_id, representation, vec); ``templates``: (template, representation, vec).
+    ``cells``: (cell_id, representation, vec); ``templates``: (template, representation, vec). Up to MAX_BROADCAST templates go to
+    every task. More are dealt over decks of about as many, and a cell visits each deck of its representation.
     """
     t = _unit(templates).select("template", "representation", F.col("vec").alias("tvec"))
-    if templates.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        t = F.broadcast(t)
-    both = _unit(cells).join(t, "representation")
+    n = templates.count()
+    own = _unit(cells)
+    if n <= MAX_BROADCAST:
+        both = own.join(F.broadcast(t), "representation")
+    else:
+        decks = -(-n // MAX_BROADCAST)
+        dealt = t.withColumn("deck", F.pmod(F.xxhash64("template"), F.lit(decks)))
+        # A part of the cells' hash is a key too, so that a deck's cells aren't one task's.
+        parts = 8 * decks
+        dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        spread = own.withColumn("deck", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(decks - 1).cast("long")))).withColumn("part", F.pmod(F.xxhash64("cell_id"), F.lit(parts)))
+        both = spread.join(dealt, ["representation", "deck", "part"])
     score = F.aggregate(F.zip_with("vec", "tvec", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     return both.select("cell_id", "representation", "template", score.alias("score"))
 
 
-def cell_ranking(scores: DataFrame, min_score: float = MIN_SCORE, min_margin: float = MIN_MARGIN) -> DataFrame:
-    """(cell_id, best, best_score, second, second_score, margin, accepted, agreement) by the primary representation.
+def cell_ranking(scores: DataFrame, min_score: float = MIN_SCORE, min_margin: float = MIN_MARGIN, table: bool = False) -> DataFrame:
+    """(cell_id, best, best_score, second, second_score, margin, agreement, accepted) by the primary representation.
 
     The margin of a cell with one template is its score. Agreement: all representations have the same best template.
     Only the two best of a cell and representation pass: each task keeps two rows of what it has read, before and behind the shuffle.
+    With ``table``, best and rounded score of each representation too.
     """
     order = Window.partitionBy("cell_id", "representation").orderBy(F.desc("score"), "template")
     two = scores.withColumn("nth", F.row_number().over(order)).where("nth <= 2")
-    entry = lambda k: F.max(F.when(F.col("nth") == k, F.struct("template", "score")))
-    top = two.groupBy("cell_id", "representation").agg(entry(1).alias("one"), entry(2).alias("two"))
-    wide = top.groupBy("cell_id").agg(F.max(F.when(F.col("representation") == PRIMARY, F.struct("one", "two"))).alias("p"), F.count_distinct("one.template").alias("tops"))
-    second = F.col("p.two")
-    margin = F.coalesce(F.col("p.one.score") - second["score"], F.col("p.one.score"), F.lit(0.0))
+    entry = lambda k, r: F.max(F.when((F.col("nth") == k) & (F.col("representation") == r), F.struct("template", "score")))
+    wide = two.groupBy("cell_id").agg(entry(1, PRIMARY).alias("one"), entry(2, PRIMARY).alias("two"), F.count_distinct(F.when(F.col("nth") == 1, F.col("template"))).alias("tops"), *(entry(1, r).alias(f"top_{r}") for r in REPRESENTATIONS))
+    margin = F.coalesce(F.col("one.score") - F.col("two.score"), F.col("one.score"), F.lit(0.0))
+    beside = [c for r in REPRESENTATIONS for c in (F.col(f"top_{r}.template").alias(f"{r}_best"), F.round(f"top_{r}.score", 4).alias(f"{r}_score"))] if table else []
     t = wide.select(
-        "cell_id", F.col("p.one.template").alias("best"), F.col("p.one.score").alias("best_score"), second["template"].alias("second"), second["score"].alias("second_score"), margin.alias("margin"), (F.col("tops") == 1).alias("agreement")
+        "cell_id", F.col("one.template").alias("best"), F.col("one.score").alias("best_score"), F.col("two.template").alias("second"), F.col("two.score").alias("second_score"), margin.alias("margin"), (F.col("tops") == 1).alias("agreement"), *beside
     )
     return t.withColumn("accepted", F.coalesce((F.col("best_score") >= min_score) & (F.col("margin") >= min_margin), F.lit(False)))
 
 
 def representation_table(scores: DataFrame) -> DataFrame:
     """(cell_id, best and score for each representation, agreement, accepted)."""
-    best = scores.groupBy("cell_id").pivot("representation", list(REPRESENTATIONS)).agg(F.min(F.struct((-F.col("score")).alias("down"), "template", "score")))
-    ranked = cell_ranking(scores).select("cell_id", "agreement", "accepted")
-    cols = [c for r in REPRESENTATIONS for c in (F.col(f"{r}.template").alias(f"{r}_best"), F.round(f"{r}.score", 4).alias(f"{r}_score"))]
-    return best.select("cell_id", *cols).join(ranked, "cell_id")
+    table = [f"{r}_{c}" for r in REPRESENTATIONS for c in ("best", "score")]
+    return cell_ranking(scores, table=True).select("cell_id", *table, "agreement", "accepted")
 
 
 def class_counts(ranking: DataFrame, templates: DataFrame) -> DataFrame:

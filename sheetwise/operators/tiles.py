@@ -173,3 +173,14 @@ def changed_pages(regions: DataFrame, pages: DataFrame) -> DataFrame:
     both = pages.join(n, list(KEY), "left")
     some = both.groupBy("pair_id").agg(F.max(F.col("regions").isNotNull()).alias("changed"))
     return both.join(some, "pair_id").where(F.col("regions").isNotNull() | ~F.col("changed")).select(*KEY, F.coalesce("regions", F.lit(0)).alias("regions"), "changed")
+
+
+def highlight_boxes(regions: DataFrame, tile: int, width: int, height: int) -> DataFrame:
+    """(pair_id, page, region, x0, y0, x1, y1): each region's box in pixels, grown by a padding and kept within the page.
+
+    ``tile``: pixels of a tile's side. The padding is a 250th of the page's shorter side, 4 at least.
+    """
+    pad = max(4, min(width, height) // 250)
+    low = lambda c: F.greatest(F.lit(0), F.col(c) * tile - pad).alias(c)
+    high = lambda c, most: F.least(F.lit(most), (F.col(c) + 1) * tile + pad).alias(c)
+    return regions.select(*KEY, "region", low("x0"), low("y0"), high("x1", width), high("y1", height))

@@ -6,8 +6,6 @@ joined text, so that both engines compare alike.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from sheetwise.functions import text as T
 from sheetwise.operators import batch, cells, frames, reports, standards, tiles, zones
 from sheetwise.plans import pipelines, sql
 from sheetwise.plans.fixtures import ctes, derived
-from sheetwise.scratch import new_path
+from sheetwise.scratch import keep, new_path
 from sheetwise.sources import files
 
 QUERIES: dict = {}
@@ -114,12 +112,7 @@ def sheet_writeback(spark, sf):
     return spark.read.parquet(path)
 
 
-@query(
-    ctes("responses")
-    + """, v as (select doc_id, json_valid(response) as ok, case when json_valid(response) then response end as r from fx_responses),
- c as (select doc_id, ok, r->>'$.component.value' as component, try_cast(r->>'$.component.confidence' as double) as conf from v)
- select doc_id, component, case when not ok then 'malformed' when conf > 1 then 'component: confidence' else '' end as violations from c"""
-)
+@query(ctes("responses") + f", {sql.RULES} select doc_id, r->>'$.component.value' as component, violations from answered")
 def response_ingest(spark, sf):
     return batch.response_ingest(derived(spark, sf, "responses")).select("doc_id", F.col("answer.component.value").alias("component"), F.array_join("violations", "; ").alias("violations"))
 
@@ -143,15 +136,9 @@ def _lists(a: str, b: str) -> str:
   else concat_ws('; ', {_missing('parecer_geral', 'analise_faltantes', 'analise_extras', 'conformidade_percentual')}, case when r->>'$.analise_faltantes[0].impacto' is null then 'analise_faltantes: incomplete' end) end end as violations from v"""
 )
 def response_schemas(spark, sf):
-    """Stored answers of five kinds, each by its own schema and rules."""
-    t = derived(spark, sf, "answers")
-    each = [batch.schema_ingest(t.where(F.col("kind") == k), k).select("doc_id", F.lit(k).alias("kind"), F.array_join("violations", "; ").alias("violations")) for k in batch.SCHEMAS]
-    return reduce(DataFrame.union, each)
-
-
-@query()
-def result_json_export(spark, sf):
-    return pipelines.compliance_json(derived(spark, sf, "drawings"), derived(spark, sf, "cited"), _parts(spark, sf), _notes(spark, sf))
+    """Stored answers of five kinds, each by its own schema and rules, in one scan."""
+    rules = batch.kinds_ingest(derived(spark, sf, "answers"))
+    return rules.select("doc_id", "kind", F.array_join("violations", "; ").alias("violations"))
 
 
 # Scalars
@@ -445,6 +432,23 @@ def standards_compliance(spark, sf):
     return t.select("drawing_id", "component", "n_matching", "n_missing", "n_unexpected", "conformity", "status")
 
 
+_RECORD = f"""{_COMPLIANCE.replace("with fx_cited as (", ctes("calls") + ", fx_cited as (", 1)}, cl as (select drawing_id, list({{'standard': {sql.normalize_standard('standard')}, 'standard_raw': standard, 'note_number': {sql.note_number('evidence')}, 'source_text': evidence}} order by ord, {sql.normalize_standard('standard')}, standard, {sql.note_number('evidence')} nulls first, evidence) as cited from fx_cited group by drawing_id),
+ al as (select drawing_id, list({{'standard': standard, 'reason': reason, 'source': source}} order by standard) as applicable from applicable group by drawing_id),
+ vl as (select drawing_id, list(standard order by standard) filter (verdict='matching') as matching, list(standard order by standard) filter (verdict='missing') as missing, list(standard order by standard) filter (verdict='unexpected') as unexpected from verdicts group by drawing_id),
+ tt as (select drawing_id, sum(prompt_tokens)::bigint as i, sum(completion_tokens)::bigint as o, printf('%.2f', round(sum(latency_ms), 2) / 1000)::double as seconds from fx_calls group by drawing_id),
+ op as (select distinct drawing_id from component where open_series)
+ select d.drawing_id, to_json({{'classification': {{'component': component, 'compressor_series': compressor_series, 'material_family': material_family}}, 'cited_standards': coalesce(cited, []), 'applicable_standards': coalesce(applicable, []),
+  'comparison': {{'matching': coalesce(matching, []), 'missing': coalesce(missing, []), 'unexpected': coalesce(unexpected, []), 'conformity': case when len(coalesce(matching, [])) + len(coalesce(missing, [])) > 0 then printf('%.3f', len(coalesce(matching, [])) / (len(coalesce(matching, [])) + len(coalesce(missing, []))))::double end}},
+  'metadata': {{'status': case when op.drawing_id is null then 'RESOLVED' else 'INCONCLUSIVE' end, 'unresolved_fields': case when op.drawing_id is null then []::varchar[] else ['compressor_series'] end, 'seconds': seconds, 'tokens': {{'input': coalesce(i, 0), 'output': coalesce(o, 0), 'total': coalesce(i + o, 0)}}}}}})::varchar as json
+ from fx_drawings d left join cl using (drawing_id) left join al using (drawing_id) left join vl using (drawing_id) left join tt using (drawing_id) left join op using (drawing_id)"""
+
+
+@query(_RECORD)
+def result_json_export(spark, sf):
+    totals = batch.drawing_token_totals(derived(spark, sf, "calls"))
+    return pipelines.compliance_json(derived(spark, sf, "drawings"), derived(spark, sf, "cited"), _parts(spark, sf), _notes(spark, sf), totals)
+
+
 _GRID = ctes("reports", "spans") + f", {sql.ZONES}, {sql.GRID}"
 _RESOLVED = f"""{_GRID}, z as (select *, row_no, doc_id as page_id, coalesce(row_b,row_a) as rb, coalesce(col_b,col_a) as cb from zones),
  rs as (select z.page_id, z.row_no, z.group_no, least(greatest(0,ca.centre-ca.step/2),greatest(0,cc.centre-cc.step/2)) as x0, least(greatest(0,ra.centre-ra.step/2),greatest(0,rr.centre-rr.step/2)) as y0,
@@ -568,6 +572,17 @@ def cost_summary(spark, sf):
     return batch.cost_summary(derived(spark, sf, "cost_log"))
 
 
+@query(ORACLES["cost_summary"])
+def cost_summary_increments(spark, sf):
+    """The log appended in two batches, one of them twice, and summarised after each: the last summary reads what is new alone."""
+    log, state = new_path(spark, "cost-log"), new_path(spark, "cost-sums")
+    calls = derived(spark, sf, "cost_log")
+    for batch_id in ("odd", "even", "odd"):
+        files.append_log(calls.where(F.col("call_id") % 2 == (1 if batch_id == "odd" else 0)), log, batch_id)
+        summary = batch.cost_total(files.summed_increments(spark, log, state))
+    return summary
+
+
 @query(ctes("calls") + " select drawing_id, sum(prompt_tokens)::bigint as input_tokens, sum(completion_tokens)::bigint as output_tokens, round(sum(latency_ms),2) as latency from fx_calls group by drawing_id")
 def drawing_token_totals(spark, sf):
     return batch.drawing_token_totals(derived(spark, sf, "calls"))
@@ -723,9 +738,8 @@ def zone_groups(spark, sf):
 
 @query(
     ctes("responses")
-    + f""", v as (select doc_id, case when json_valid(response) then response end as r from fx_responses)
- select doc_id, 0 as ord, r->>'$.component.value' as component, {sql.normalize_standard("r->>'$.cited_standards[0].standard'")} as standard, r->>'$.cited_standards[0].standard' as standard_raw,
-  {sql.note_number("r->>'$.cited_standards[0].evidence'")} as note_number from v where r is not null and try_cast(r->>'$.component.confidence' as double) <= 1"""
+    + f""", {sql.RULES} select doc_id, 0 as ord, r->>'$.component.value' as component, {sql.normalize_standard("r->>'$.cited_standards[0].standard'")} as standard, r->>'$.cited_standards[0].standard' as standard_raw,
+  {sql.note_number("r->>'$.cited_standards[0].evidence'")} as note_number from answered where violations = ''"""
 )
 def enriched_classification(spark, sf):
     return pipelines.enriched_classification(derived(spark, sf, "responses"))
@@ -777,15 +791,20 @@ _CELL_SCORES = f"""{_CELLS}, uk as (select *, page_id * 10000 + cast(substr(cell
 def _cells_and_scores(spark, sf):
     """Unique cells of every page with a key, and the scores that a matcher delivers for each cell."""
     unique = frames.unique_cells(frames.raw_frames(derived(spark, sf, "strokes")), _page_no())
-    keyed = unique.withColumn("cell_key", F.col("page_id").cast("long") * 10000 + F.substring("cell_id", 9, 9).cast("long"))
+    keyed = keep(unique.withColumn("cell_key", F.col("page_id").cast("long") * 10000 + F.substring("cell_id", 9, 9).cast("long")), "unique-cells")
     reps, templates = F.array(*map(F.lit, cells.REPRESENTATIONS)), F.array(*(F.lit(k) for k in range(3)))
     each = keyed.select("*", F.explode(reps).alias("representation")).select("*", F.explode(templates).alias("k"))
     points = (F.col("page_id") * 7 + F.col("cell_index") * 13 + F.col("k") * 31 + F.col("n_cells") * 5 + F.length("representation") * F.col("k") * 11) % 100
     return keyed, each.select(F.col("cell_key").alias("cell_id"), "representation", F.concat(F.lit("tpl"), "k").alias("template"), (points / 100.0).alias("score"))
 
 
-@query(ctes("strokes") + f", {_CELL_SCORES}, fx_scores as (select * from sc), {sql.RANKED} select page_id, u.cell_id, is_first, best, best_score, agreement, accepted from uk u join ranking r on r.cell_id = u.cell_key")
+@query(
+    ctes("strokes")
+    + f""", {_CELL_SCORES}, fx_scores as (select * from sc), {sql.RANKED}, firsts as (select cell_id, {", ".join(f"max(template) filter (representation='{r}') as {r}_best, round(max(score) filter (representation='{r}'),4) as {r}_score" for r in cells.REPRESENTATIONS)} from rk where rn = 1 group by cell_id)
+ select page_id, u.cell_id, is_first, best, best_score, agreement, accepted, {", ".join(f"{r}_best, {r}_score" for r in cells.REPRESENTATIONS)} from uk u join ranking r on r.cell_id = u.cell_key join firsts f on f.cell_id = u.cell_key"""
+)
 def gdt_cells(spark, sf):
+    """Every classified cell with the best template of each representation."""
     return pipelines.gdt_cells(*_cells_and_scores(spark, sf))
 
 
@@ -793,3 +812,27 @@ def gdt_cells(spark, sf):
 def gdt_first_cell(spark, sf):
     keyed, scores = _cells_and_scores(spark, sf)
     return cells.gdt_first_cell(keyed.select(F.col("cell_key").alias("cell_id"), "is_first"), scores)
+
+
+_REPORT = f"""{ctes("strokes", "matches")}, {_CELL_SCORES}, fx_scores as (select * from sc), {sql.RANKED}, tb as (select u.page_id, u.cell_id, accepted, best from uk u join ranking r on r.cell_id = u.cell_key),
+ ps as (select page_id, count(*) as total_cells from uk group by page_id), cn as (select page_id, count(*) as total_classifications, count(*) filter (accepted) as accepted_count from tb group by page_id),
+ kl as (select page_id, string_agg(best || ': ' || n, ', ' order by best) as classes from (select page_id, best, count(*) as n from tb where accepted group by page_id, best) group by page_id),
+ un as (select page_id, count(*) as fallback_count, max(round(score,4)) as fallback_best from fx_matches m where not exists (select 1 from ucells c where c.page_id = m.page_id and (m.x0+m.x1)/2 between c.x0-3 and c.x1+3 and (m.y0+m.y1)/2 between c.y0-3 and c.y1+3) group by page_id)
+ select page_id, coalesce(total_cells, 0) as total_cells, coalesce(total_classifications, 0) as total_classifications, coalesce(accepted_count, 0) as accepted_count, coalesce(classes, '') as classes, coalesce(fallback_count, 0) as fallback_count, fallback_best
+ from ps full join un using (page_id) left join cn using (page_id) left join kl using (page_id)"""
+
+
+@query(_REPORT)
+def gdt_cell_report(spark, sf):
+    """A row for each page: counts, classes, and matches outside all cells; the nested record is written by pipelines.gdt_json."""
+    t = pipelines.gdt_report(*_cells_and_scores(spark, sf), derived(spark, sf, "matches"))
+    classes = F.array_join(F.transform("classes", lambda c: F.concat(c["template"], F.lit(": "), c["n"])), ", ")
+    return t.select("page_id", "total_cells", "total_classifications", "accepted_count", classes.alias("classes"), F.size("fallback_matches").cast("long").alias("fallback_count"), F.array_max(F.transform("fallback_matches", lambda m: m["score"])).alias("fallback_best"))
+
+
+_TILE, _SHEET = 16, (25 * 16, 5 * 16)
+
+
+@query(ctes("tiles", recursive=True) + f", {sql.REGIONS} select pair_id, page, region, greatest(0, x0*16-4) as x0, greatest(0, y0*16-4) as y0, least(400, (x1+1)*16+4) as x1, least(80, (y1+1)*16+4) as y1 from regions")
+def highlight_boxes(spark, sf):
+    return tiles.highlight_boxes(diff_regions(spark, sf), _TILE, *_SHEET)

@@ -55,7 +55,7 @@ select o_custkey as pair_id, o_orderkey as doc_id, concat('Resumo', chr(10), chr
  '| Item | Diferença Encontrada | Localização (Quadrante) | Status IA | Ação Recomendada |', chr(10), '|------|---|:---:|---|---|', chr(10),
  '| 1 | Cota ', cast(o_custkey as string), '; REV.: 3 | Central (D', cast(1+o_orderkey%8 as string), ' a E7) | Aprovado | Nenhuma |', chr(10),
  '| 2 | Nota | ', case when o_orderkey%2=0 then 'Vários (F4-F7, C9-E9) A1, 2B' else 'Vistas de Detalhe' end, ' | Aprovado com Observação | Verificar |', chr(10),
- case when o_orderkey%3=0 then '| 3 | Tabela | A1 | Requer Correção |' else '' end, chr(10), 'Fim') as report
+ case when o_orderkey%3=0 then concat('| 3 | Tabela | A1 | ', case when o_orderkey%2=0 then 'Fixing needed' else 'Requer Correção' end, ' |') else '' end, chr(10), 'Fim') as report
 from orders""",
     "strokes": """
 select c_custkey as page_id, cast(x0 as double) as x0, cast(y0 as double) as y0, cast(x1 as double) as x1, cast(y1 as double) as y1,
@@ -85,10 +85,11 @@ select c_custkey as pair_id, 1 as page, rev, cast(n_nationkey as int) as tx, cas
   cast(100+(n_nationkey*3+r_regionkey*5)%50 + case when rev=2 and (c_custkey+n_nationkey*r_regionkey)%11=0 then 16 when rev=2 and n_nationkey%5=0 then 15 else 0 end as int) as gray
 from customer, nation, region, (select 1 as rev union all select 2 as rev) v""",
     "responses": """
-select o_orderkey as doc_id, case when o_orderkey%50=0 then '{"component": ' else concat('{"document_type":{"value":"product_drawing","evidence":"DRAWING","confidence":0.95},"component":{"value":"part ',
- cast(o_custkey%64 as string),'","evidence":"PART NAME","confidence":', case when o_orderkey%17=0 then '1.5' else '0.5' end,
- '},"material_family":{"value":null,"evidence":null,"confidence":0.0},"compressor_series":{"value":null,"evidence":null,"confidence":0.0},"cited_standards":[{"standard":"TSS-',
- lpad(cast(o_custkey%40 as string),6,'0'),'","evidence":"NOTE 7: X"}]}') end as response from orders""",
+select o_orderkey as doc_id, case when o_orderkey%50=0 then '{"component": ' else concat('{"document_type":{"value":"product_drawing","evidence":', case when o_orderkey%31=0 then concat('"', repeat('x', 160), '"') else '"DRAWING"' end, ',"confidence":0.95},',
+ case when o_orderkey%37=0 then '' else concat('"component":{"value":"part ', cast(o_custkey%64 as string),'","evidence":"PART NAME","confidence":', case when o_orderkey%17=0 then '1.5' when o_orderkey%19=0 then 'null' else '0.5' end, '},') end,
+ '"material_family":{"value":null,"evidence":null,"confidence":', case when o_orderkey%23=0 then '-0.1' else '0.0' end, '},"compressor_series":{"value":null,"evidence":null', case when o_orderkey%29=0 then '' else ',"confidence":0.0' end, '}',
+ case when o_orderkey%41=0 then '' else concat(',"cited_standards":[{"standard":"TSS-', lpad(cast(o_custkey%40 as string),6,'0'),'","evidence":"NOTE 7: X"}',
+  case when o_orderkey%43=0 then concat(',{"standard":"TSS-', lpad(cast(o_custkey%40 as string),6,'0'),'","evidence":"again"}') when o_orderkey%47=0 then concat(',{"standard":"ISO 1","evidence":"', repeat('y', 151), '"}') else '' end, ']') end, '}') end as response from orders""",
     "answers": """
 select o_orderkey as doc_id, case o_orderkey%5 when 0 then 'classification' when 1 then 'standards' when 2 then 'classification_and_standards' when 3 then 'missing_standards' else 'difference' end as kind,
  case when o_orderkey%43=0 then '{"x' else case o_orderkey%5

@@ -41,13 +41,22 @@ def _conformity() -> F.Column:
     return F.try_divide(F.size("matching"), F.size("matching") + F.size("missing"))
 
 
-def compliance_json(drawings: DataFrame, cited: DataFrame, parts: DataFrame, notes: DataFrame) -> DataFrame:
-    """(drawing_id, json): the consolidated nested record of each drawing."""
-    t = _compared(drawings, cited, parts, notes)
+def compliance_json(drawings: DataFrame, cited: DataFrame, parts: DataFrame, notes: DataFrame, totals: DataFrame) -> DataFrame:
+    """(drawing_id, json): the consolidated nested record of each drawing, with what its calls took.
+
+    ``totals``: as of batch.drawing_token_totals; a drawing without calls has no seconds and no tokens.
+    """
+    t = _compared(drawings, cited, parts, notes).join(totals, "drawing_id", "left")
+    listed = lambda c, *names: F.coalesce(F.transform(c, lambda x: F.struct(*(x[n].alias(n) for n in names))), F.array().cast("array<struct<" + ",".join(f"{n}:{'int' if n == 'note_number' else 'string'}" for n in names) + ">>"))
+    tokens = [F.coalesce(c, F.lit(0)) for c in ("input_tokens", "output_tokens")]
     record = F.struct(
-        F.struct("component", "compressor_series", "material_family").alias("classification"), "cited",
-        F.transform("codes", lambda x: F.struct(x["standard"].alias("standard"), x["reason"].alias("reason"), x["source"].alias("source"))).alias("applicable"),
-        F.struct("matching", "missing", "unexpected").alias("comparison"), standards.unresolved_fields(F.col("open")).alias("unresolved_fields"),
+        F.struct(*standards.SHAPE).alias("classification"), listed("cited", "standard", "standard_raw", "note_number", "source_text").alias("cited_standards"),
+        listed("codes", "standard", "reason", "source").alias("applicable_standards"),
+        F.struct("matching", "missing", "unexpected", standards.T.fixed(_conformity(), 3).cast("double").alias("conformity")).alias("comparison"),
+        F.struct(
+            standards.status(F.col("open")).alias("status"), standards.unresolved_fields(F.col("open")).alias("unresolved_fields"), standards.T.fixed(F.col("latency") / 1000, 2).cast("double").alias("seconds"),
+            F.struct(tokens[0].alias("input"), tokens[1].alias("output"), (tokens[0] + tokens[1]).alias("total")).alias("tokens"),
+        ).alias("metadata"),
     )
     return t.select("drawing_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("json"))
 
@@ -86,9 +95,38 @@ def revision_review(files: DataFrame, pixels: DataFrame, answers: DataFrame, spa
 
 
 def gdt_cells(unique: DataFrame, scores: DataFrame) -> DataFrame:
-    """(page_id, cell_id, is_first, best, best_score, agreement, accepted): unique cells of each page with their symbol.
+    """(page_id, cell_id, is_first, best, best_score, agreement, accepted, best and score of each representation): unique cells with their symbol.
 
     ``unique``: as of frames.unique_cells, with cell_key; ``scores``: (cell_id, representation, template, score), cell_id the key.
     """
-    ranked = cells.cell_ranking(scores).select(F.col("cell_id").alias("cell_key"), "best", "best_score", "agreement", "accepted")
-    return unique.join(ranked, "cell_key").select("page_id", "cell_id", "is_first", "best", "best_score", "agreement", "accepted")
+    ranked = cells.cell_ranking(scores, table=True).withColumnRenamed("cell_id", "cell_key")
+    table = [f"{r}_{c}" for r in cells.REPRESENTATIONS for c in ("best", "score")]
+    return unique.join(ranked, "cell_key").select("page_id", "cell_id", "is_first", "best", "best_score", "agreement", "accepted", *table)
+
+
+def gdt_report(unique: DataFrame, scores: DataFrame, matches: DataFrame) -> DataFrame:
+    """A row for each page with cells or matches: counts, accepted cells of each class that has any, classifications, and matches outside all cells.
+
+    (page_id, total_cells, total_classifications, accepted_count, classes, classifications, fallback_matches); lists in the order of
+    template, cell id, and symbol and place. A page's lists are bounded by what is on it.
+    """
+    whole = ["cell_id", "is_first", "best", "best_score", "second", "second_score", "margin", "agreement", "accepted"]
+    ranked = cells.cell_ranking(scores).withColumnRenamed("cell_id", "cell_key")
+    classified = unique.join(ranked, "cell_key", "left")
+    row = F.when(F.col("best").isNotNull(), F.struct(*whole))
+    pages = classified.groupBy("page_id").agg(F.count("*").alias("total_cells"), F.count("best").alias("total_classifications"), F.count_if("accepted").alias("accepted_count"), F.array_sort(F.collect_list(row)).alias("classifications"))
+    place = ["symbol", "x0", "y0", "x1", "y1", "score", "scale"]
+    fallback = cells.uncovered_matches(matches, unique).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(*place))).alias("fallback_matches"))
+    t = pages.join(fallback, "page_id", "full")
+    taken = F.filter("classifications", lambda c: c["accepted"])
+    n = lambda name: F.size(F.filter(taken, lambda c: c["best"] == name)).cast("long")
+    labels = F.array_sort(F.array_distinct(F.transform(taken, lambda c: c["best"])))
+    classes = F.transform(labels, lambda name: F.struct(name.alias("template"), n(name).alias("n")))
+    empty = lambda c: F.coalesce(c, F.array().cast(t.schema[c].dataType)).alias(c)
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("total_cells", "total_classifications", "accepted_count")]
+    return t.select("page_id", *counts, F.coalesce(classes, F.array().cast("array<struct<template:string,n:bigint>>")).alias("classes"), empty("classifications"), empty("fallback_matches"))
+
+
+def gdt_json(report: DataFrame) -> DataFrame:
+    """(page_id, json) of ``gdt_report``."""
+    return report.select("page_id", F.to_json(F.struct(*report.columns[1:]), {"ignoreNullFields": "false"}).alias("json"))

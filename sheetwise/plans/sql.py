@@ -36,7 +36,7 @@ def joined(c: str, sep: str = ",") -> str:
 
 def status_class(c: str) -> str:
     low = f"lower(trim({c}))"
-    return f"case when contains({low},'observa') then 'observation' when contains({low},'requer') or contains({low},'correc') or contains({low},'correç') then 'correction' when contains({low},'aprovado') then 'approved' end"
+    return f"case when contains({low},'observa') then 'observation' when contains({low},'requer') or contains({low},'correc') or contains({low},'correç') or contains({low},'fixing') then 'correction' when contains({low},'aprovado') then 'approved' end"
 
 
 NOTES = f"""notes as (select ord, {normalize_standard('standard')} as standard, trim(content) as content, trim(category) as category,
@@ -187,3 +187,16 @@ regions as (select pair_id, page, region, sum(x1-x0+1)::bigint as size, min(x0)
 tile_pages as (select pair_id, page from fx_tiles group by pair_id, page having count(distinct rev) = 2),
 page_regions as (select p.pair_id, p.page, count(region) as regions from tile_pages p left join regions r on r.pair_id=p.pair_id and r.page=p.page group by p.pair_id, p.page),
 changed_pages as (select pair_id, page, regions, changed from (select *, max(regions) over (partition by pair_id) > 0 as changed from page_regions) where regions > 0 or not changed)"""
+
+
+def _field_rules(f: str) -> str:
+    there = f"coalesce(json_type(r,'$.{f}'),'NULL') <> 'NULL'"
+    return f"""case when r is not null and not {there} then '{f}: missing' end, case when {there} and not coalesce(try_cast(r->>'$.{f}.confidence' as double) between 0 and 1, false) then '{f}: confidence' end,
+ case when length(r->>'$.{f}.evidence') > 150 then '{f}: evidence too long' end"""
+
+
+RULES = f"""parsed as (select doc_id, case when json_valid(response) then response end as r from fx_responses),
+answered as (select doc_id, r, concat_ws('; ', case when r is null then 'malformed' end, {", ".join(map(_field_rules, ("document_type", "component", "material_family", "compressor_series")))},
+ case when r is not null and json_type(r,'$.cited_standards') is null then 'cited_standards: missing' end,
+ case when len(list_distinct((r->>'$.cited_standards[*].standard')::varchar[])) < len((r->>'$.cited_standards[*].standard')::varchar[]) then 'cited_standards: repeated' end,
+ case when len(list_filter((r->>'$.cited_standards[*].evidence')::varchar[], lambda x: length(x) > 150)) > 0 then 'cited_standards: evidence too long' end) as violations from parsed)"""
