@@ -210,31 +210,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """(doc_id, fingerprint, component_id): a row for each document."""
     own, label = _grouped(docs, shingle, radius, leaf)
     return own.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group; one row of those that share the id.
-
-    Of a group whose ids are all null one row stays.
-    """
-    own, label = _grouped(docs, shingle, radius, leaf)
-    label = keep(label, "labels")
-    first = label.select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null")
-    if not nameless.take(1):
-        return kept
-
-    mark, group = free_name(docs, "simhash_fp"), free_name(docs, "simhash_root")
-
-    def work(batches):
-        for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text"))
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in text], np.uint64)
-            yield batch.append_column(mark, pa.array(fps.view(np.int64), pa.int64()))
-
-    ship(docs.sparkSession)
-    schema = StructType([*nameless.schema.fields, StructField(mark, LongType())])
-    alone = label.where("component_id is null").select(F.col("fp").alias(mark), F.col("root").alias(group))
-    rest = nameless.mapInArrow(work, schema).join(alone, mark).dropDuplicates([group]).select(*docs.columns)
-    return kept.select(*docs.columns).union(rest)
