@@ -54,22 +54,33 @@ RESPONSE = "struct<" + ",".join(f"{f}:{FIELD}" for f in FIELDS) + ",cited_standa
 
 def response_ingest(responses: DataFrame) -> DataFrame:
     """(doc_id, answer, violations): stored answers parsed by a fixed schema, with every rule they break; a confidence has to be given."""
-    parsed = responses.select("doc_id", F.from_json("response", RESPONSE).alias("answer"), F.try_parse_json("response").isNull().alias("malformed"))
-    bad = [F.when(F.col("malformed"), "malformed")]
-    for f in FIELDS:
-        x = F.col(f"answer.{f}")
+    malformed = F.try_parse_json("response").isNull()
+
+    def rules(answer):
+        bad = [F.when(malformed, "malformed")]
+        for f in FIELDS:
+            x = answer[f]
+            bad += [
+                F.when(~malformed & x.isNull(), f"{f}: missing"),
+                F.when(x.isNotNull() & ~F.coalesce(x["confidence"].between(0, 1), F.lit(False)), f"{f}: confidence"),
+                F.when(F.length(x["evidence"]) > T.MAX_EVIDENCE, f"{f}: evidence too long"),
+            ]
+        cited = answer["cited_standards"]
+        codes = F.transform(cited, lambda c: c["standard"])
         bad += [
-            F.when(~F.col("malformed") & x.isNull(), f"{f}: missing"),
-            F.when(x.isNotNull() & ~F.coalesce(x["confidence"].between(0, 1), F.lit(False)), f"{f}: confidence"),
-            F.when(F.length(x["evidence"]) > T.MAX_EVIDENCE, f"{f}: evidence too long"),
+            F.when(~malformed & cited.isNull(), "cited_standards: missing"),
+            F.when(F.size(codes) > F.size(F.array_distinct(codes)), "cited_standards: repeated"),
+            F.when(F.exists(cited, lambda c: F.length(c["evidence"]) > T.MAX_EVIDENCE), "cited_standards: evidence too long"),
         ]
-    codes = F.transform("answer.cited_standards", lambda c: c["standard"])
-    bad += [
-        F.when(~F.col("malformed") & F.col("answer.cited_standards").isNull(), "cited_standards: missing"),
-        F.when(F.size(codes) > F.size(F.array_distinct(codes)), "cited_standards: repeated"),
-        F.when(F.exists("answer.cited_standards", lambda c: F.length(c["evidence"]) > T.MAX_EVIDENCE), "cited_standards: evidence too long"),
-    ]
-    return parsed.select("doc_id", "answer", F.array_compact(F.array(*bad)).alias("violations"))
+        return F.array_compact(F.array(*bad))
+
+    both = _once(F.from_json("response", RESPONSE), lambda a: F.struct(a.alias("answer"), rules(a).alias("violations")))
+    return responses.select("doc_id", both.alias("both")).select("doc_id", "both.answer", "both.violations")
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 #: The fields of the stored answers of each kind.
@@ -84,20 +95,23 @@ SCHEMAS = {
 
 def _rules(response: str, kind: str) -> Column:
     """The rules of one of SCHEMAS that an answer breaks."""
-    answer = F.from_json(response, SCHEMAS[kind])
     fields = dict(f.split(" ", 1) for f in re.split(r", (?=\w+ (?:string|double|array))", SCHEMAS[kind]))
-    own = {f: answer[f] for f in fields}
-    bad = [F.when(own[f].isNull(), f"{f}: missing") for f in fields]
-    for f, t in fields.items():
-        if t.startswith("array<struct"):
-            parts = re.findall(r"(\w+):", t)
-            bad.append(F.when(F.exists(own[f], lambda x: reduce(Column.__or__, (x[c].isNull() for c in parts))), f"{f}: incomplete"))  # noqa: B023
     reasons = [f for f in fields if f.startswith("justificativas")]
     codes = [f for f in fields if f in ("lista_normas", "normas_sugeridas")]
-    bad += [F.when(F.size(own[a]) != F.size(own[b]), f"{a}: unequal length") for a, b in zip(codes, reasons)]
-    bad += [F.when(F.size(own[f]) > F.size(F.array_distinct(own[f])), f"{f}: repeated") for f in codes]
-    bad += [F.when(~own[f].between(0, 1), f"{f}: confidence") for f in fields if f == "confianca"]
-    return F.when(F.try_parse_json(response).isNull(), F.array(F.lit("malformed"))).otherwise(F.array_compact(F.array(*bad)))
+
+    def rules(answer):
+        own = {f: answer[f] for f in fields}
+        bad = [F.when(own[f].isNull(), f"{f}: missing") for f in fields]
+        for f, t in fields.items():
+            if t.startswith("array<struct"):
+                parts = re.findall(r"(\w+):", t)
+                bad.append(F.when(F.exists(own[f], lambda x: reduce(Column.__or__, (x[c].isNull() for c in parts))), f"{f}: incomplete"))  # noqa: B023
+        bad += [F.when(F.size(own[a]) != F.size(own[b]), f"{a}: unequal length") for a, b in zip(codes, reasons)]
+        bad += [F.when(F.size(own[f]) > F.size(F.array_distinct(own[f])), f"{f}: repeated") for f in codes]
+        bad += [F.when(~own[f].between(0, 1), f"{f}: confidence") for f in fields if f == "confianca"]
+        return F.array_compact(F.array(*bad))
+
+    return F.when(F.try_parse_json(response).isNull(), F.array(F.lit("malformed"))).otherwise(_once(F.from_json(response, SCHEMAS[kind]), rules))
 
 
 def schema_ingest(responses: DataFrame, kind: str) -> DataFrame:

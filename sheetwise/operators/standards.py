@@ -260,10 +260,10 @@ def unresolved(queries: DataFrame, notes: DataFrame) -> DataFrame:
     return queries.select("drawing_id", shape_key().alias("shape")).join(found, "shape").select("drawing_id", F.lit("compressor_series").alias("field")).distinct()
 
 
-def cited_standards(cited: DataFrame) -> DataFrame:
-    """(drawing_id, ord, standard, standard_raw, note_number, source_text) of every cited code."""
+def cited_standards(cited: DataFrame, *keys: str) -> DataFrame:
+    """(keys, drawing_id, ord, standard, standard_raw, note_number, source_text) of every cited code."""
     return cited.select(
-        "drawing_id", "ord", T.normalize_standard("standard").alias("standard"), F.col("standard").alias("standard_raw"), T.note_number("evidence").alias("note_number"), F.col("evidence").alias("source_text")
+        *keys, "drawing_id", "ord", T.normalize_standard("standard").alias("standard"), F.col("standard").alias("standard_raw"), T.note_number("evidence").alias("note_number"), F.col("evidence").alias("source_text")
     )
 
 

@@ -65,8 +65,8 @@ def enriched_classification(responses: DataFrame) -> DataFrame:
     """(doc_id, ord, component, standard, standard_raw, note_number): valid answers with their cited codes."""
     ok = batch.valid(batch.response_ingest(responses))
     cited = ok.select(F.col("doc_id").alias("drawing_id"), F.col("answer.component.value").alias("component"), F.posexplode("answer.cited_standards").alias("ord", "c"))
-    codes = standards.cited_standards(cited.select("drawing_id", "ord", "c.standard", "c.evidence"))
-    return codes.join(cited.select("drawing_id", "ord", "component"), ["drawing_id", "ord"]).select(F.col("drawing_id").alias("doc_id"), "ord", "component", "standard", "standard_raw", "note_number")
+    codes = standards.cited_standards(cited.select("component", "drawing_id", "ord", "c.standard", "c.evidence"), "component")
+    return codes.select(F.col("drawing_id").alias("doc_id"), "ord", "component", "standard", "standard_raw", "note_number")
 
 
 def batch_classification(files: DataFrame, calls: DataFrame, sheet: DataFrame, results: DataFrame) -> DataFrame:
