@@ -10,6 +10,8 @@ list of their shape in one join at the end.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from sheetwise.scratch import keep, keep_last
 
 MATRIX, COMPONENT, MATERIAL = "customer_applicability_matrix", "component_match", "material_match"
 SOURCES = (MATRIX, COMPONENT, MATERIAL)
+MANDATORY, APPLIES = "mandatory for ", {COMPONENT: "component applies", MATERIAL: "material applies"}
+#: A source's place above the order of its notes, in one number.
+SOURCE_STEP = 1 << 60
 THRESHOLD, MATERIAL_THRESHOLD = 0.5, 0.4
 #: Characters of a gram by which families meet contents, and families up to which their index goes to every task.
 GRAM, MAX_BROADCAST = 4, 200_000
@@ -93,8 +98,8 @@ def shape_key() -> Column:
 
 
 def shapes(queries: DataFrame) -> DataFrame:
-    """(shape, component, compressor_series, material_family): the distinct ones, written once."""
-    return keep(queries.select(*SHAPE).distinct().select(shape_key().alias("shape"), *SHAPE), "shapes")
+    """(kind, shape, component, compressor_series, material_family): the distinct ones, written once with a number each."""
+    return keep(queries.select(*SHAPE).distinct().select(F.monotonically_increasing_id().alias("kind"), shape_key().alias("shape"), *SHAPE), "shapes")
 
 
 def _for_drawings(queries: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
@@ -107,12 +112,15 @@ def _for_drawings(queries: DataFrame, rows: DataFrame, *columns: str) -> DataFra
 ROW = ("standard", "reason", "source", "src", "ord")
 
 
+def _matched(kinds: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    return best_match(kinds.select(F.col("component").alias("target")).where("target is not null").distinct(), parts, threshold)
+
+
 def _mandatory(kinds: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
-    """(shape, standard, reason, source, src, ord) from the part that is most like each component."""
-    matched = best_match(kinds.select(F.col("component").alias("target")).where("target is not null").distinct(), parts, threshold)
-    found = matched.join(parts.select("part", "mandatory"), "part").select("target", "part", F.posexplode(F.array_sort("mandatory")).alias("ord", "standard"))
+    """(kind, shape, standard, reason, source, src, ord) from the part that is most like each component."""
+    found = _matched(kinds, parts, threshold).join(parts.select("part", "mandatory"), "part").select("target", "part", F.posexplode(F.array_sort("mandatory")).alias("ord", "standard"))
     return kinds.join(found, F.col("component") == F.col("target")).select(
-        "shape", "standard", F.concat(F.lit("mandatory for "), "part").alias("reason"), F.lit(MATRIX).alias("source"), F.lit(0).alias("src"), F.col("ord").cast("long").alias("ord")
+        "kind", "shape", "standard", F.concat(F.lit(MANDATORY), "part").alias("reason"), F.lit(MATRIX).alias("source"), F.lit(0).alias("src"), F.col("ord").cast("long").alias("ord")
     )
 
 
@@ -142,16 +150,16 @@ def component_notes(queries: DataFrame, notes: DataFrame, threshold: float = THR
 
 
 def _by_component(kinds: DataFrame, notes: DataFrame, threshold: float) -> DataFrame:
-    """(shape, standard, reason, source, src, ord, open_series): notes by component, then by series.
+    """(kind, shape, standard, reason, source, src, ord, open_series): notes by component, then by series.
 
     Component and series are equi-keys. Notes for all components are one list for each series key.
     """
-    rows = kinds.where("component is not null").select("shape", "component", F.explode(F.array(F.lit("a"), F.concat(F.lit("s"), F.coalesce("compressor_series", F.lit(""))))).alias("series_key"))
+    rows = kinds.where("component is not null").select("kind", "shape", "component", F.explode(F.array(F.lit("a"), F.concat(F.lit("s"), F.coalesce("compressor_series", F.lit(""))))).alias("series_key"))
     listed = component_notes(kinds, notes, threshold).join(_series_keys(notes), "ord")
     general = _series_keys(notes.where(_general())).groupBy("series_key").agg(F.collect_list(F.struct("standard", "ord")).alias("general"))
-    both = rows.join(listed, ["component", "series_key"]).select("shape", "standard", "ord", "series_key")
-    both = both.union(rows.join(general, "series_key").select("shape", F.inline("general"), "series_key"))
-    return both.select("shape", "standard", F.lit("component applies").alias("reason"), F.lit(COMPONENT).alias("source"), F.lit(1).alias("src"), "ord", (F.col("series_key") == "s").alias("open_series"))
+    both = rows.join(listed, ["component", "series_key"]).select("kind", "shape", "standard", "ord", "series_key")
+    both = both.union(rows.join(general, "series_key").select("kind", "shape", F.inline("general"), "series_key"))
+    return both.select("kind", "shape", "standard", F.lit(APPLIES[COMPONENT]).alias("reason"), F.lit(COMPONENT).alias("source"), F.lit(1).alias("src"), "ord", (F.col("series_key") == "s").alias("open_series"))
 
 
 def component_match(queries: DataFrame, notes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -193,7 +201,7 @@ def containing(patterns: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _by_material(kinds: DataFrame, notes: DataFrame) -> DataFrame:
-    """(shape, standard, reason, source, src, ord): notes of category material whose content contains the family or is similar to it.
+    """(kind, shape, standard, reason, source, src, ord): notes of category material whose content contains the family or is similar to it.
 
     Both are decided for distinct families and distinct contents.
     """
@@ -204,7 +212,7 @@ def _by_material(kinds: DataFrame, notes: DataFrame) -> DataFrame:
     near = similar(families.withColumn("name", F.col("pattern")), "pattern", contents.withColumn("name", F.col("content")), "content", MATERIAL_THRESHOLD)
     hit = held.union(near.select("pattern", "content")).distinct().join(material, "content")
     return kinds.join(hit, F.col("material_family") == F.col("pattern")).select(
-        "shape", "standard", F.lit("material applies").alias("reason"), F.lit(MATERIAL).alias("source"), F.lit(2).alias("src"), "ord"
+        "kind", "shape", "standard", F.lit(APPLIES[MATERIAL]).alias("reason"), F.lit(MATERIAL).alias("source"), F.lit(2).alias("src"), "ord"
     )
 
 
@@ -214,20 +222,31 @@ def material_match(queries: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def shape_standards(queries: DataFrame, parts: DataFrame, notes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(shape, codes, open): for each distinct shape its applicable standards, in code order, and whether a note depends on a missing series.
+    """(shape, codes, expected, open): for each distinct shape its applicable standards, in code order, and whether a note depends on a missing series.
 
-    Each standard comes once: mandatory before component before material, then note order. ``codes``: (standard, reason, source, src, ord).
+    Each standard comes once: mandatory before component before material, then note order. ``codes``: (standard, reason, source, src, ord);
+    ``expected``: the standards alone.
     """
 
     def make():
         kinds = shapes(queries)
         known = keep(notes, "notes")
-        closed = F.lit(False).alias("open_series")
-        rows = _mandatory(kinds, parts, threshold).select("shape", *ROW, closed).union(_by_component(kinds, known, threshold)).union(_by_material(kinds, known).select("shape", *ROW, closed))
-        row = F.when(~F.col("open_series"), F.struct(*ROW))
-        each = rows.groupBy("shape", "standard").agg(F.min_by(row, F.when(~F.col("open_series"), F.struct("src", "ord"))).alias("row"), F.max("open_series").alias("open"))
-        lists = each.groupBy("shape").agg(F.array_sort(F.collect_list("row")).alias("codes"), F.max("open").alias("open"))
-        return kinds.select("shape").join(lists, "shape", "left").select("shape", F.coalesce("codes", F.array().cast(lists.schema["codes"].dataType)).alias("codes"), F.coalesce("open", F.lit(False)).alias("open"))
+        # Rows are numbers of shapes, codes and ranks, the source above the note's order, so that they are aggregated by hashing.
+        rank = F.col("src").cast("long") * SOURCE_STEP + F.col("ord")
+        no = F.lit(False).alias("open_series")
+        found = ((_mandatory(kinds, parts, threshold), no), (_by_component(kinds, known, threshold), "open_series"), (_by_material(kinds, known), no))
+        rows = reduce(DataFrame.union, (t.select("kind", "standard", rank.alias("rank"), is_open) for t, is_open in found))
+        each = rows.groupBy("kind", "standard").agg(F.min(F.when(~F.col("open_series"), F.col("rank"))).alias("rank"), F.max("open_series").alias("open"))
+        lists = each.groupBy("kind").agg(F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("standard", "rank")))).alias("ranked"), F.max("open").alias("open"))
+        matched = _matched(kinds, parts, threshold).select(F.col("target").alias("component"), F.concat(F.lit(MANDATORY), "part").alias("mandatory"))
+        t = kinds.select("kind", "shape", "component").join(lists, "kind", "left").join(matched, "component", "left")
+        src = lambda x: F.floor(x["rank"] / F.lit(SOURCE_STEP)).cast("int")
+        row = lambda x: F.struct(
+            x["standard"].alias("standard"), F.when(src(x) == 0, F.col("mandatory")).when(src(x) == 1, APPLIES[COMPONENT]).otherwise(APPLIES[MATERIAL]).alias("reason"),
+            F.get(F.array(*map(F.lit, SOURCES)), src(x)).alias("source"), src(x).alias("src"), (x["rank"] - src(x) * F.lit(SOURCE_STEP)).alias("ord"),
+        )
+        ranked = F.coalesce("ranked", F.array().cast("array<struct<standard:string,rank:bigint>>"))
+        return t.select("shape", F.transform(ranked, row).alias("codes"), F.transform(ranked, lambda x: x["standard"]).alias("expected"), F.coalesce("open", F.lit(False)).alias("open"))
 
     return keep_last(make, "shape-standards")
 

@@ -8,51 +8,48 @@ from pyspark.sql import functions as F
 from sheetwise.operators import batch, cells, frames, reports, standards, tiles, zones
 
 
-def _compared(drawings: DataFrame, cited: DataFrame, parts: DataFrame, notes: DataFrame) -> DataFrame:
-    """Drawings with ``codes`` and ``open`` of their shape, their rows in ``cited``, and the sorted lists matching, missing and unexpected.
+def _with_lists(drawings: DataFrame, cited: DataFrame, parts: DataFrame, notes: DataFrame) -> DataFrame:
+    """Drawings with ``codes``, ``expected`` and ``open`` of their shape, and their sorted ``cited_codes``.
 
     Drawings are read once here. Codes are compared as lists, so no row is made for a drawing and a code.
     """
-    lists = standards.shape_standards(drawings, parts, notes)
-    own = standards.cited_standards(cited).groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct("ord", "standard", "standard_raw", "note_number", "source_text"))).alias("cited"))
-    t = drawings.withColumn("shape", standards.shape_key()).join(lists, "shape").join(own, "drawing_id", "left")
-    named = lambda c: F.coalesce(F.array_distinct(F.filter(F.transform(c, lambda x: x["standard"]), lambda x: x != "")), F.array().cast("array<string>"))
-    t = t.withColumns({"expected_codes": named("codes"), "cited_codes": named("cited")})
-    part = lambda f, a, b: F.array_sort(f(a, b))
-    return t.withColumns({
-        "matching": part(F.array_intersect, "expected_codes", "cited_codes"), "missing": part(F.array_except, "expected_codes", "cited_codes"),
-        "unexpected": part(F.array_except, "cited_codes", "expected_codes"),
-    })
+    code = standards.T.normalize_standard("standard").alias("standard")
+    own = cited.select("drawing_id", code).where("standard <> ''").groupBy("drawing_id").agg(F.array_sort(F.collect_set("standard")).alias("cited_codes"))
+    t = drawings.withColumn("shape", standards.shape_key()).join(standards.shape_standards(drawings, parts, notes), "shape").join(own, "drawing_id", "left")
+    return t.withColumn("cited_codes", F.coalesce("cited_codes", F.array().cast("array<string>")))
+
+
+def _matching() -> F.Column:
+    """The cited codes that are expected; few are cited, so each is looked for in the longer list."""
+    return F.filter("cited_codes", lambda x: F.array_contains("expected", x))
 
 
 def standards_compliance(drawings: DataFrame, cited: DataFrame, parts: DataFrame, notes: DataFrame) -> DataFrame:
     """A row for each drawing: its counts of matching, missing and unexpected codes, conformity, band and status."""
-    t = _compared(drawings, cited, parts, notes)
-    counts = [F.size(c).cast("long").alias(f"n_{c}") for c in ("matching", "missing", "unexpected")]
-    share = _conformity()
+    t = _with_lists(drawings, cited, parts, notes).withColumn("n_matching", F.size(_matching()).cast("long"))
+    counts = ["n_matching", (F.size("expected") - F.col("n_matching")).alias("n_missing"), (F.size("cited_codes") - F.col("n_matching")).alias("n_unexpected")]
+    share = F.try_divide(F.col("n_matching"), F.size("expected"))  # null without an expected code
     return t.select(
         "drawing_id", F.coalesce("component", F.lit("Unknown")).alias("component"), "compressor_series", "material_family", *counts, share.alias("conformity"), standards.T.conformity_band(share).alias("band"),
         standards.status(F.col("open")).alias("status"), F.get(standards.unresolved_fields(F.col("open")), F.lit(0)).alias("unresolved_field"),
     )
 
 
-def _conformity() -> F.Column:
-    """Share of the expected codes that are cited; null without an expected code."""
-    return F.try_divide(F.size("matching"), F.size("matching") + F.size("missing"))
-
-
 def compliance_json(drawings: DataFrame, cited: DataFrame, parts: DataFrame, notes: DataFrame, totals: DataFrame) -> DataFrame:
     """(drawing_id, json): the consolidated nested record of each drawing, with what its calls took.
 
     ``totals``: as of batch.drawing_token_totals; a drawing without calls has no seconds and no tokens.
     """
-    t = _compared(drawings, cited, parts, notes).join(totals, "drawing_id", "left")
+    own = standards.cited_standards(cited).groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct("ord", "standard", "standard_raw", "note_number", "source_text"))).alias("cited"))
+    t = _with_lists(drawings, cited, parts, notes).join(own, "drawing_id", "left").join(totals, "drawing_id", "left")
+    t = t.withColumns({"matching": _matching(), "missing": F.array_except("expected", "cited_codes"), "unexpected": F.filter("cited_codes", lambda x: ~F.array_contains("expected", x))})
+    share = F.try_divide(F.size("matching"), F.size("expected"))
     listed = lambda c, *names: F.coalesce(F.transform(c, lambda x: F.struct(*(x[n].alias(n) for n in names))), F.array().cast("array<struct<" + ",".join(f"{n}:{'int' if n == 'note_number' else 'string'}" for n in names) + ">>"))
     tokens = [F.coalesce(c, F.lit(0)) for c in ("input_tokens", "output_tokens")]
     record = F.struct(
         F.struct(*standards.SHAPE).alias("classification"), listed("cited", "standard", "standard_raw", "note_number", "source_text").alias("cited_standards"),
         listed("codes", "standard", "reason", "source").alias("applicable_standards"),
-        F.struct("matching", "missing", "unexpected", standards.T.fixed(_conformity(), 3).cast("double").alias("conformity")).alias("comparison"),
+        F.struct("matching", "missing", "unexpected", standards.T.fixed(share, 3).cast("double").alias("conformity")).alias("comparison"),
         F.struct(
             standards.status(F.col("open")).alias("status"), standards.unresolved_fields(F.col("open")).alias("unresolved_fields"), standards.T.fixed(F.col("latency") / 1000, 2).cast("double").alias("seconds"),
             F.struct(tokens[0].alias("input"), tokens[1].alias("output"), (tokens[0] + tokens[1]).alias("total")).alias("tokens"),
