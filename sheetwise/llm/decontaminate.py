@@ -13,7 +13,8 @@ items make more parts, and each part is a further pass over the documents.
 
 Defined results: null texts and texts without words hit nothing and are never hit; an item shorter
 than a shingle is one shingle; items or documents that repeat keep a row each (documents with equal
-ids each report their own hits); empty tables give no rows; extra columns are ignored, but the items'
+ids each report their own hits); of items with one score each is a hit, and of passages of a document the best counts; a very long
+text is searched whole, passage by passage; empty tables give no rows; extra columns are ignored, but the items'
 columns question and answer, where they exist, replace the split of the text at its last sentence.
 """
 

@@ -7,7 +7,8 @@ DataFrame functions only. Lines are counted by two independent 64-bit hashes, wi
 aggregate, so neither a host nor a line with a third of all rows gathers in one task.
 
 Defined results: a null text stays null and has no lines; a null host is a host of its own; every
-row is a page, also if rows or ids repeat; an empty table gives no rows; other columns are ignored.
+row is a page, also if rows or ids repeat; an empty table gives no rows; other columns are ignored. A line exactly at the
+ratio stays. A very long text is split whole in its task; its boilerplate lines alone come back to it.
 """
 
 from __future__ import annotations

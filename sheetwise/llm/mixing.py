@@ -14,7 +14,8 @@ DataFrame functions only.
 
 Defined results: a null text has size zero; null sources form one source, which comes last; rows
 that repeat each count; sources without words have the target zero and take nothing; an empty table
-gives no rows; other columns are kept by ``mixed_documents`` and ignored by ``mix``.
+gives no rows; other columns are kept by ``mixed_documents`` and ignored by ``mix``. Documents of one source and size share a rate, and
+the order of a hash of the id tells which get a further copy. The words of a very long text are counted in its task.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ The measure for a length is the share of word characters that lie inside n-grams
 more; duplicated lines are measured alike.
 
 Defined results: a null text has no words and fails; an empty table gives no rows; repeated rows
-keep a row each; extra columns are ignored.
+keep a row each; extra columns are ignored. A share exactly at its limit passes. A very long text is measured whole, in time
+and memory in proportion to its words.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ not with its square.
 Defined results: a null text is empty and its fingerprint is zero, linked like any other; a text
 shorter than a shingle is one shingle; null ids take part, and a group's id is its smallest non-null
 id (null if it has none); rows that repeat keep a row each; an empty table gives no rows; extra
-columns are ignored.
+columns are ignored. A bit that exactly half of the shingles set is 0. A very long text is hashed whole in its task.
 """
 
 from __future__ import annotations

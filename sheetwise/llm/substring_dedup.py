@@ -14,7 +14,8 @@ only ever counted under their anchor, never paired, so a passage that a third of
 costs one row for each document. A false match needs equal 64-bit hashes of both anchor and window.
 
 Defined results: a null text has no words; documents with equal ids are separate documents; rows
-that repeat are repeats of each other; an empty table gives no rows; extra columns are ignored.
+that repeat are repeats of each other; an empty table gives no rows; extra columns are ignored. A very long text is
+taken whole, its anchors a task's work; windows of equal words all count, so there are no ties to break.
 """
 
 from __future__ import annotations
