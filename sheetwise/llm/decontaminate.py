@@ -2,9 +2,10 @@
 
 Test items form an inverted index. Each weight is divided by the score that the item has against
 itself, so one threshold serves all items. Every passage of every training document (overlapping
-windows, twice as long as the longest item of its length class) is a query. The index keeps, for
-each term, the largest weight in each block of items; a passage skips the blocks whose bound stays
-under the threshold, and scores the others exactly, so it retrieves every item above the threshold.
+windows, twice as long as the longest item of its length class) is a query. A term's postings are
+cut into blocks of items, each with its largest weight. Pivots tell which lists a passage has to open; blocks
+that no opened list names are skipped before any sum, then those whose bound stays under the threshold. The
+others are scored exactly, so every item above the threshold is retrieved. Passages are worked on together, in arrays.
 Each hit is verified by the share of the item's five-word shingles that the passage holds: in the
 question, in the answer and in the whole item.
 
@@ -35,9 +36,15 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 SHINGLE = 5
 OVERLAP = 0.8
-PART_CHARS = 500_000
-#: Blocks of an index; so many items or fewer have a block each.
-MAX_BLOCKS = 256
+PART_CHARS = 4_000_000
+#: Items of a block.
+BLOCK = 2
+#: Cuts of lists opened at a time, unless one cell opens more.
+LIVE = 500_000
+#: The part of the threshold that unopened lists may reach.
+PIVOT = 0.3
+#: What sums of bounds may lose to rounding.
+SLACK = 1e-6
 _TERM = re.compile(r"\w+")
 _LAST = re.compile(r"(.*[.!?\n])\s*(\S.*)", re.S)
 
@@ -62,79 +69,134 @@ def _share(part: set, held: list[set]) -> float:
     return sum(x in held[len(x)] for x in part) / len(part) if part else 1.0
 
 
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... up to count[0] numbers, then those of first[1], and so on."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
 class Index:
-    """Items of one length class."""
+    """Postings of the items of one length class.
+
+    Each term has a list of (item, weight), cut where the items' numbers enter another block of BLOCK items, with the
+    largest weight of each cut and of the list. Terms are numbered from the longest list to the shortest.
+    """
 
     def __init__(self, items: list[tuple], vocabulary: dict[str, int], idf: np.ndarray, mean_length: float):
         self.items = [x[0] for x in items]
         self.cell = max(len(x[1]) for x in items)
         self.cell += self.cell // 4 + 1
-        size = math.ceil(len(items) / MAX_BLOCKS)
-        self.block_size, blocks = size, math.ceil(len(items) / size)
-        weights = []
-        for _, terms, _, _ in items:
+        self.blocks = math.ceil(len(items) / BLOCK)
+        term, item, weight = [], [], []
+        for k, (_, terms, _, _) in enumerate(items):
             counts = Counter(vocabulary[t] for t in terms)
             norm = K1 * (1 - B + B * len(terms) / mean_length)
             w = {t: idf[t] * n * (K1 + 1) / (n + norm) for t, n in counts.items()}
             total = sum(w.values())
-            weights.append({t: x / total for t, x in w.items()})
-        known = sorted({t for w in weights for t in w})
-        self.row = np.full(len(vocabulary) + 1, -1, np.int64)  # the last stands for unknown terms
-        self.row[known] = np.arange(len(known))
+            term.extend(w)
+            item.extend([k] * len(w))
+            weight.extend(x / total for x in w.values())
+        known, size = np.unique(term, return_counts=True)
+        known = known[np.argsort(-size, kind="stable")]
         self.terms = len(known)
-        self.most = np.zeros((len(known), blocks), np.float32)
-        self.weights = [{int(self.row[t]): x for t, x in w.items()} for w in weights]
-        for k, w in enumerate(self.weights):
-            for t, x in w.items():
-                self.most[t, k // size] = max(self.most[t, k // size], x * (1 + 1e-6))
-        self.blocks = []
-        for b in range(blocks):
-            own = self.weights[b * size : (b + 1) * size]
-            held = np.array(sorted({t for w in own for t in w}), np.int64)
-            self.blocks.append((held, np.array([[w.get(t, 0.0) for w in own] for t in held.tolist()])))
+        self.row = np.full(len(vocabulary) + 1, -1, np.int64)  # the last stands for unknown terms
+        self.row[known] = np.arange(self.terms)
+        term, item, weight = self.row[term], np.array(item, np.int64), np.array(weight)
+        order = np.lexsort((item, term))
+        self.term, self.item, self.weight = term[order], item[order], weight[order]
+        key = self.term * self.blocks + self.item // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.block_key = key[first]
+        self.block_start = np.append(first, len(key))
+        self.block_most = np.maximum.reduceat(self.weight, first)
+        self.list_start = np.searchsorted(self.block_key, np.arange(self.terms + 1) * self.blocks)
+        self.list_most = np.maximum.reduceat(self.block_most, self.list_start[:-1])
         ids = lambda terms: [vocabulary[t] for t in terms]
-        self.parts = [(shingles(ids(q)), shingles(ids(a)), shingles(ids(terms))) for _, terms, q, a in items]
+        self.parts = [(ids(q), ids(a), ids(terms)) for _, terms, q, a in items]
+
+    @property
+    def weights(self) -> list[dict[int, float]]:
+        """The weights of each item by term."""
+        out = [{} for _ in self.items]
+        for t, k, w in zip(self.term.tolist(), self.item.tolist(), self.weight.tolist()):
+            out[k][t] = w
+        return out
 
     def search(self, tokens: np.ndarray, starts: np.ndarray, threshold: float):
-        """(document, item, score, token range) of each hit; ``starts``: where each document's tokens begin, and the end."""
+        """(document, item, score, token range) of each hit; ``starts``: where each document's tokens begin, and the end.
+
+        A passage is two neighbouring cells of a document. An item that reaches the threshold reaches half of it in one
+        of them. The pivot of a cell is the term at which the largest weights of its lists, the longest first, come to
+        the part PIVOT of that half: terms before it can't reach the half without one behind it, so only the lists
+        behind it are opened. An earlier pivot opens more lists and leaves tighter bounds.
+        """
         lengths = np.diff(starts)
         cells = (lengths + self.cell - 1) // self.cell
         base = np.concatenate([[0], np.cumsum(cells)])
-        if not base[-1]:
-            return
-        doc = np.repeat(np.arange(len(lengths)), lengths)
         rows = self.row[tokens]
         known = np.flatnonzero(rows >= 0)
-        place = known - starts[doc[known]]
-        held = np.unique((base[doc[known]] + place // self.cell) * self.terms + rows[known])
+        doc = np.searchsorted(starts, known, side="right") - 1
+        held = np.unique((base[doc] + (known - starts[doc]) // self.cell) * self.terms + rows[known])
         if not len(held):
             return
         cell, term = held // self.terms, held % self.terms
-        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        bound = np.zeros((base[-1] + 1, self.most.shape[1]), np.float32)
-        for i in range(0, len(first), 4096):
-            a, b = first[i], first[i + 4096] if i + 4096 < len(first) else len(term)
-            bound[cell[first[i : i + 4096]]] = np.add.reduceat(self.most[term[a:b]], first[i : i + 4096] - a, axis=0)
+        at = np.searchsorted(cell, np.arange(base[-1] + 2))
         follows = np.ones(base[-1], bool)
         follows[base[1:][cells > 0] - 1] = False  # the last cell of a document has none after it
-        both = bound[:-1] + np.where(follows[:, None], bound[1:], 0)
-        at = np.searchsorted(cell, np.arange(base[-1] + 1))
-        spots, blocks = np.nonzero(both >= threshold)
-        for b in np.unique(blocks):
-            c = spots[blocks == b]
-            first, count = at[c], at[c + 1 + follows[c]] - at[c]
-            owner = np.repeat(np.arange(len(c)), count)
-            inside = term[np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())]
-            once = np.unique(owner * self.terms + inside)  # a term of both cells of a passage counts once
-            own_terms, weights = self.blocks[b]
-            place = np.minimum(np.searchsorted(own_terms, once % self.terms), len(own_terms) - 1)
-            hit = own_terms[place] == once % self.terms
-            scores = np.zeros((len(c), weights.shape[1]))
-            np.add.at(scores, once[hit] // self.terms, weights[place[hit]])
-            for i, k in zip(*np.nonzero(scores >= threshold)):
-                d = int(np.searchsorted(base, c[i], side="right")) - 1
-                begin = starts[d] + (c[i] - base[d]) * self.cell
-                yield d, int(b * self.block_size + k), float(scores[i, k]), begin, min(starts[d + 1], begin + 2 * self.cell)
+        most = self.list_most[term]
+        total = np.concatenate([[0.0], np.cumsum(most)])
+        behind = total[1:] - total[at[cell]] >= threshold * PIVOT / 2 - SLACK
+        before = np.bincount(cell[~behind], most[~behind], base[-1] + 1)
+        bound = total[at[1:]] - total[at[:-1]]
+        used = bound[:-1] + np.where(follows, bound[1:], 0) >= threshold - SLACK
+        used[1:] |= used[:-1] & follows[:-1]
+        entry = np.flatnonzero(behind & used[cell])
+        work = np.bincount(cell[entry], self.list_start[term[entry] + 1] - self.list_start[term[entry]], base[-1])
+        work = np.concatenate([[0], np.cumsum(work)])
+        low = 0
+        while low < base[-1]:
+            high = max(low + 1, int(np.searchsorted(work, work[low] + LIVE, side="right")) - 1)
+            inside = entry[np.searchsorted(cell[entry], low) : np.searchsorted(cell[entry], high + 1)]
+            spots, blocks = self._live(cell[inside], term[inside], low, high, follows, before, threshold)
+            for i in range(0, len(spots), 4096):
+                c = spots[i : i + 4096]
+                for owner, k, score in self._scores(c, blocks[i : i + 4096], at, term, follows, threshold):
+                    d = int(np.searchsorted(base, c[owner], side="right")) - 1
+                    begin = starts[d] + (c[owner] - base[d]) * self.cell
+                    yield d, k, score, begin, min(starts[d + 1], begin + 2 * self.cell)
+            low = high
+
+    def _live(self, cell, term, low, high, follows, before, threshold):
+        """(passage, block) of the passages from ``low`` to ``high`` whose opened lists and the bound of the rest reach the threshold."""
+        first, count = self.list_start[term], self.list_start[term + 1] - self.list_start[term]
+        cut = _ranges(first, count)
+        live, which = np.unique(np.repeat(cell, count) * self.blocks + self.block_key[cut] % self.blocks, return_inverse=True)
+        opened = np.bincount(which, self.block_most[cut])
+        c = live // self.blocks
+        begins, ends = c < high, (c > low) & follows[c - 1]
+        pairs, which = np.unique(np.concatenate([live[begins], live[ends] - self.blocks]), return_inverse=True)
+        bound = np.bincount(which, np.concatenate([opened[begins], opened[ends]]))
+        spot = pairs // self.blocks
+        good = bound + before[spot] + np.where(follows[spot], before[spot + 1], 0) >= threshold - SLACK
+        return spot[good], pairs[good] % self.blocks
+
+    def _scores(self, spots, blocks, at, term, follows, threshold):
+        """(number of the pair, item, score) of the items at or above the threshold in pairs of passage and block."""
+        first, count = at[spots], at[spots + 1 + follows[spots]] - at[spots]
+        owner = np.repeat(np.arange(len(spots)), count)
+        inside = term[_ranges(first, count)]
+        key = inside * self.blocks + blocks[owner]
+        cut = np.minimum(np.searchsorted(self.block_key, key), len(self.block_key) - 1)
+        hit = self.block_key[cut] == key
+        owner, cut = owner[hit], cut[hit]
+        good = (np.bincount(owner, self.block_most[cut], len(spots)) >= threshold - SLACK)[owner]
+        once = np.unique(owner[good] * len(self.block_key) + cut[good])  # a term of both cells counts once
+        owner, cut = once // len(self.block_key), once % len(self.block_key)
+        first, count = self.block_start[cut], self.block_start[cut + 1] - self.block_start[cut]
+        post = _ranges(first, count)
+        pairs, which = np.unique(np.repeat(owner, count) * len(self.items) + self.item[post], return_inverse=True)
+        scores = np.bincount(which, self.weight[post])
+        for i in np.flatnonzero(scores >= threshold).tolist():
+            yield *divmod(int(pairs[i]), len(self.items)), float(scores[i])
 
 
 def build(items: list[tuple], document_frequency: dict[str, int], total: int, mean_length: float) -> tuple[dict[str, int], list[Index]]:
@@ -159,8 +221,8 @@ def _find(indexes, vocabulary, texts, threshold):
         best: dict[tuple[int, int], tuple] = {}
         for d, k, score, a, b in index.search(tokens, starts, threshold):
             ids = tokens[a:b].tolist()
-            question, answer, whole = index.parts[k]
-            sizes = {len(x) for part in index.parts[k] for x in part}
+            question, answer, whole = map(shingles, index.parts[k])
+            sizes = {len(x) for part in (question, answer, whole) for x in part}
             held = [{tuple(ids[i : i + n]) for i in range(len(ids) - n + 1)} if n in sizes else set() for n in range(SHINGLE + 1)]
             row = (_share(whole, held), score, _share(question, held), _share(answer, held))
             best[d, k] = max(best.get((d, k), row), row)

@@ -27,3 +27,41 @@ def test_scores_are_bm25_over_the_item_itself(spark):
     got = {(r.doc_id, r.item_id): r.score for r in decontaminate.retrieve(*frames, threshold=0.3).collect()}
     assert set(got) == {k for k, v in want.items() if v >= 0.3} and len(got) > 60
     assert all(abs(v - want[k]) < 1e-9 for k, v in got.items())
+
+
+def test_postings_pivots_and_blocks_lose_nothing():
+    rnd = random.Random(4)
+    common, rare = [f"c{k}" for k in range(12)], [f"r{k}" for k in range(400)]
+    items = []
+    for k in range(150):
+        terms = rnd.choices(common, k=rnd.randint(1, 8)) + rnd.choices(rare, k=rnd.randint(0, 12))
+        items.append((k, terms, terms, []))
+    frequency = Counter(t for _, terms, *_ in items for t in set(terms))
+    vocabulary, indexes = decontaminate.build(items, frequency, len(items), 12.0)
+    texts = ["", None, " ".join(common)] + [" ".join(rnd.choices(common + ["other"], k=rnd.randint(0, 60)) + rnd.choice(items)[1]) for _ in range(80)]
+    texts.append(" ".join(rnd.choices(common + rare, k=4000)))  # many cells
+    for threshold in (0.15, 0.5, 0.95):
+        want = {}
+        for d, text in enumerate(texts):
+            terms = decontaminate.terms_of(text)
+            for index in indexes:
+                for a in range(0, len(terms), index.cell):
+                    held = {int(index.row[vocabulary[t]]) for t in terms[a : a + 2 * index.cell] if t in vocabulary}
+                    for item, w in zip(index.items, index.weights):
+                        s = sum(x for t, x in w.items() if t in held)
+                        if s >= threshold - 1e-9:
+                            want[d, item] = max(s, want.get((d, item), 0))
+        found = {(d, i): s for d, i, s, *_ in decontaminate._find(indexes, vocabulary, texts, threshold)}
+        assert set(found) <= set(want) and all(s < threshold + 1e-9 for k, s in want.items() if k not in found)
+        assert len(found) > 50
+
+
+def test_passages_of_common_words_open_no_block():
+    items = [(k, ["the", "of", *(f"r{k}x{j}" for j in range(6))], [], []) for k in range(64)]
+    frequency = Counter(t for _, terms, *_ in items for t in terms)
+    vocabulary, (index,) = decontaminate.build(items, frequency, len(items), 8.0)
+    scored = []
+    index._scores = lambda spots, *_: scored.append(len(spots)) or []
+    assert not list(decontaminate._find([index], vocabulary, ["the of " * 500] * 20, 0.5)) and not scored
+    list(decontaminate._find([index], vocabulary, ["the of " * 500 + " ".join(items[9][1]) + " of the" * 500], 0.5))
+    assert sum(scored) <= 2  # of 64 items and over a hundred passages
