@@ -88,14 +88,15 @@ def classified_order(ranking: DataFrame) -> DataFrame:
 
 def gdt_first_cell(cells: DataFrame, scores: DataFrame) -> DataFrame:
     """(cell_id, best, best_score, verdict) of first cells; with one template the margin is the score."""
-    ranked = cell_ranking(scores.join(cells.where("is_first").select("cell_id"), "cell_id", "left_semi"))
+    ranked = cell_ranking(scores.join(cells.where("is_first").select("cell_id").hint("merge"), "cell_id", "left_semi"))
     return ranked.select("cell_id", "best", "best_score", F.when(F.col("accepted"), "validated").otherwise("rejected").alias("verdict"))
 
 
 def uncovered_matches(matches: DataFrame, cells: DataFrame, margin: float = COVERAGE_MARGIN) -> DataFrame:
     """(page_id, symbol, score, scale, x0, y0, x1, y1) of matches whose centre lies in no cell grown by the margin.
 
-    Matches and cells share one unit; page and square are the equi-keys of the anti-join.
+    Matches and cells share one unit; page and square are the equi-keys of the anti-join. Cells are sorted, not sent to the driver and every
+    task: their table may be far smaller on disk than its rows are.
     """
     low = lambda c: F.col(c) - margin
     high = lambda c: F.col(c) + margin
@@ -104,7 +105,7 @@ def uncovered_matches(matches: DataFrame, cells: DataFrame, margin: float = COVE
     m = matches.withColumns({"mx": (F.col("x0") + F.col("x1")) / 2, "my": (F.col("y0") + F.col("y1")) / 2})
     here = (F.col("page_id") == F.col("cell_page")) & (G.square_of(F.col("mx")) == F.col("sx")) & (G.square_of(F.col("my")) == F.col("sy"))
     inside = here & F.col("mx").between(F.col("cx0"), F.col("cx1")) & F.col("my").between(F.col("cy0"), F.col("cy1"))
-    return m.join(c, inside, "left_anti").select("page_id", "symbol", F.round("score", 4).alias("score"), "scale", *(F.round(k, 2).alias(k) for k in ("x0", "y0", "x1", "y1")))
+    return m.join(c.hint("merge"), inside, "left_anti").select("page_id", "symbol", F.round("score", 4).alias("score"), "scale", *(F.round(k, 2).alias(k) for k in ("x0", "y0", "x1", "y1")))
 
 
 def cell_inset(boxes: DataFrame, zoom: float, page_w: int, page_h: int) -> DataFrame:
