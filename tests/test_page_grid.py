@@ -126,3 +126,38 @@ def test_a_long_region_takes_no_rounds(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"long-{length}")))
     spark.sparkContext.setJobGroup("rest", "")
     assert jobs[1] <= jobs[0] + 6
+
+
+@pytest.mark.parametrize("band", [1, 4, 1024])
+def test_growing_in_bands_against_loops(spark, monkeypatch, band):
+    monkeypatch.setattr(tiles, "BAND", band)
+    rnd = random.Random(band)
+    pages = {p: {(rnd.randint(-9, 15), rnd.randint(-9, 15)) for _ in range(n)} for p, n in ((1, 60), (2, 200), (3, 1), (4, 20))}
+    df = spark.createDataFrame([(p, 1, x, y) for p, own in pages.items() for x, y in own], "pair_id long, page int, tx int, ty int")
+    around = lambda own: {(x + a, y + b) for x, y in own for a in (-1, 0, 1) for b in (-1, 0, 1)}
+    closed = {p: {(x, y) for x, y in around(own) if around({(x, y)}) <= around(own)} for p, own in pages.items()}
+    t = tiles.diff_regions(df, close=1, dilate=1)
+    got = {}
+    for r in t.collect():
+        got.setdefault(r.pair_id, []).append((r.region, r["size"], r.x0, r.y0, r.x1, r.y1))
+    assert {p: sorted(rows) for p, rows in got.items()} == {p: flood(around(own)) for p, own in closed.items()}
+
+
+def test_growing_shuffles_changed_tiles_once(spark):
+    df = spark.createDataFrame([(1, 1, 0, 0)], "pair_id long, page int, tx int, ty int")
+    assert tiles._labelled(df, 1, 1)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_matches_and_cells_are_not_sent_to_every_task(spark):
+    c = spark.createDataFrame([(1, 0.0, 0.0, 9.0, 9.0)], "page_id long, x0 double, y0 double, x1 double, y1 double")
+    m = c.selectExpr("page_id", "'s' as symbol", "0.5D as score", "1D as scale", "x0", "y0", "x1", "y1")
+    assert "Broadcast" not in cells.uncovered_matches(m, c)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_task_sorts_or_gathers_before_its_rows_are_dealt(spark):
+    from sheetwise.plans import catalog
+
+    for name in ("frame_signature_dedup", "compare_standards", "extract_cited_standards"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        behind = plan.rstrip()[plan.rindex("Exchange"):] if name == "frame_signature_dedup" else plan.split("Exchange hashpartitioning")[-1]
+        assert "repartition" in plan.lower() and not any(x in behind for x in ("Sort [", "Aggregate", "WindowGroupLimit")), name
