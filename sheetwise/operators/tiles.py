@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.scratch import keep, keep_last
@@ -24,27 +25,6 @@ def page_tile_diff(tiles: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return both.where(F.coalesce(F.abs(F.col("gray1") - F.col("gray2")) > threshold, F.lit(True))).select(*KEY, "tx", "ty")
 
 
-def _spread(tiles: DataFrame, reach: int) -> DataFrame:
-    """``tiles`` and all tiles within ``reach`` of one of them."""
-    around = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1)))
-    t = tiles.select(*KEY, "tx", "ty", F.explode(around).alias("o"))
-    return t.select(*KEY, (F.col("tx") + F.col("o.dx")).alias("tx"), (F.col("ty") + F.col("o.dy")).alias("ty")).distinct()
-
-
-def _closed(tiles: DataFrame, reach: int) -> DataFrame:
-    """Morphological closing: spread, then keep what is surrounded."""
-    wide = _spread(tiles, reach)
-    votes = wide.select(*KEY, "tx", "ty", F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1)))).alias("o"))
-    near = votes.groupBy(*KEY, (F.col("tx") + F.col("o.dx")).alias("tx"), (F.col("ty") + F.col("o.dy")).alias("ty")).agg(F.count("*").alias("n"))
-    return near.where(F.col("n") == (2 * reach + 1) ** 2).select(*KEY, "tx", "ty")
-
-
-def tile_runs(tiles: DataFrame) -> DataFrame:
-    """(pair_id, page, ty, x0, x1): unbroken runs of the distinct ``tiles`` in each row."""
-    place = F.col("tx") - F.row_number().over(Window.partitionBy(*KEY, "ty").orderBy("tx"))
-    return tiles.withColumn("place", place).groupBy(*KEY, "ty", "place").agg(F.min("tx").alias("x0"), F.max("tx").alias("x1")).drop("place")
-
-
 class Sets(dict):
     """Disjoint sets: each member leads to the least of its set."""
 
@@ -76,43 +56,106 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def joined_runs(rows: list[tuple[int, int, int]]) -> list[int]:
-    """For runs (ty, x0, x1), sorted, the place of the first run of each one's region; runs touch by side or corner."""
-    sets, above, row, begin = Sets(), [], [], None
-    for k, (ty, x0, x1) in enumerate(rows):
-        if ty != begin:
-            above, row, begin, at = (row if begin is not None and ty == begin + 1 else []), [], ty, 0
-        while at < len(above) and rows[above[at]][2] < x0 - 1:
-            at += 1
-        sets.least(k)
-        touched = at
-        while touched < len(above) and rows[above[touched]][1] <= x1 + 1:
-            sets.unite(above[touched], k)
-            touched += 1
-        row.append(k)
-    return [sets.least(k) for k in range(len(rows))]
-
-
-def _labelled(runs: DataFrame) -> DataFrame:
-    """Add ``label`` to runs: the number of the first tile of the region that the run belongs to within its band of rows."""
-    kinds = dict(runs.dtypes)
+def _around(keys: np.ndarray, width: int, reach: int) -> np.ndarray:
+    """All keys within ``reach`` of each of ``keys``, as often as they are; a key is row * ``width`` + column."""
+    steps = np.arange(-reach, reach + 1)
+    return (keys[:, None] + (steps[:, None] * width + steps).ravel()).ravel()
+
+
+def grown(keys: np.ndarray, width: int, close: int, dilate: int) -> np.ndarray:
+    """The sorted tiles that are left after closing and dilation."""
+    keys = np.unique(keys)
+    if close:
+        near, votes = np.unique(_around(np.unique(_around(keys, width, close)), width, close), return_counts=True)
+        keys = near[votes == (2 * close + 1) ** 2]
+    return np.unique(_around(keys, width, dilate)) if dilate else keys
+
+
+def joined_runs(row: np.ndarray, x0: np.ndarray, x1: np.ndarray, width: int) -> np.ndarray:
+    """For runs sorted by row and column, the place of the first run of each one's region; runs of rows next to each other touch by side or corner."""
+    begin, end = row * width + x0, row * width + x1
+    # Of the next row, the runs from the first that ends behind this one's left neighbour to the last that begins before its right one.
+    low, high = np.searchsorted(end, begin + width - 1, "left"), np.searchsorted(begin, end + width + 1, "right")
+    n = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(row)), n)
+    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    label = np.arange(len(row))
+    while len(a):
+        one, two = label[a], label[b]
+        apart = one != two
+        a, b, one, two = a[apart], b[apart], one[apart], two[apart]
+        np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+        while not np.array_equal(label, up := label[label]):
+            label = up
+    return label
+
+
+def _firsts(columns: list[pa.Array]) -> np.ndarray:
+    """Places where a row of sorted columns differs from the one before, and 0."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new) > 1:
+        codes = [c.dictionary_encode("encode").indices.to_numpy() for c in columns]
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in codes])
+    return np.flatnonzero(new)
+
+
+def _pieces(batches):
+    """Sorted batches, cut and joined so that no (pair_id, page, band) stands in two of them, each of some thousand rows or one such group."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = int(_firsts(batch.columns[:3])[-1])
+        if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in range(3)):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks().to_batches()[0]
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _labelled(tiles: DataFrame, close: int, dilate: int) -> DataFrame:
+    """(pair_id, page, band, ty, x0, x1, label): runs of the closed and dilated ``tiles``; ``label`` is the number of the first tile of the region that the run belongs to within its band of rows.
+
+    A tile goes to each band that it may reach into, so that bands are grown by themselves. Tiles are shuffled once here; a task
+    works on some thousand of them at a time, of many pages together.
+    """
+    kinds, reach = dict(tiles.dtypes), 2 * close + dilate
     ddl = ", ".join(f"{c} {kinds[c]}" for c in KEY) + ", band bigint, ty bigint, x0 bigint, x1 bigint, label bigint"
-    whole = [F.col(c).cast("long").alias(c) for c in ("ty", "x0", "x1")]
-    dealt = runs.select(*KEY, F.floor(F.col("ty") / BAND).alias("band"), *whole).repartition(*KEY, "band").sortWithinPartitions(*KEY, "band", "ty", "x0")
+    band = lambda d: F.floor((F.col("ty").cast("long") + d) / rows)
+    rows = BAND
+    dealt = tiles.select(*KEY, F.explode(F.sequence(band(-reach), band(reach))).alias("band"), F.col("ty").cast("long").alias("ty"), F.col("tx").cast("long").alias("tx"))
+    dealt = dealt.repartition(*KEY, "band").sortWithinPartitions(*KEY, "band")
 
     def work(batches):
-        schema, ready = None, []
-        for rows in _groups(_noting(batches, note := []), [*KEY, "band"]):
-            first = joined_runs([r[3:] for r in rows])
-            ready += [(*r, rows[k][3] * (1 << 32) + rows[k][4]) for r, k in zip(rows, first)]
-            schema = schema or pa.schema([*note[0], pa.field("label", pa.int64())])
-            if len(ready) > 10_000:
-                yield _table(ready, schema)
-                ready = []
-        if ready:
-            yield _table(ready, schema)
-
-    ship(runs.sparkSession)
+        for t in _pieces(batches):
+            first = _firsts(t.columns[:3])
+            group = np.repeat(np.arange(len(first)), np.diff([*first, t.num_rows]))
+            bands, ty, tx = (t.column(k).to_numpy() for k in (2, 3, 4))
+            left, top, height = int(tx.min()) - reach - 1, bands * rows - 2 * reach - 1, rows + 4 * reach + 3
+            width = int(tx.max()) - left + reach + 3
+            made = grown((group * height + ty - top) * width + tx - left, width, close, dilate)
+            if not len(made):
+                continue
+            own, x = np.divmod(made, width)
+            group, place = np.divmod(own, height)
+            y = place + top[first[group]]
+            mine = (y >= bands[first[group]] * rows) & (y < (bands[first[group]] + 1) * rows)
+            made, own, x, y, group = made[mine], own[mine], x[mine], y[mine], group[mine]
+            if not len(made):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(made) != 1]))
+            ends = np.concatenate([starts[1:] - 1, [len(made) - 1]])
+            label = joined_runs(own[starts], x[starts], x[ends], width)
+            y, x0, x1 = y[starts], x[starts] + left, x[ends] + left
+            found = [pa.array(c, pa.int64()) for c in (y, x0, x1, y[label] * (1 << 32) + x0[label])]
+            place = pa.array(first[group[starts]])
+            yield pa.RecordBatch.from_arrays([*(c.take(place) for c in t.columns[:3]), *found], names=[*KEY, "band", "ty", "x0", "x1", "label"])
+
+    ship(tiles.sparkSession)
     return dealt.mapInArrow(work, ddl)
 
 
@@ -149,14 +192,13 @@ def _contracted(labelled: DataFrame) -> DataFrame | None:
 def diff_regions(changed: DataFrame, close: int = 1, dilate: int = 1, min_size: int = 0) -> DataFrame:
     """(pair_id, page, region, size, x0, y0, x1, y1): 8-connected regions of changed tiles with more than ``min_size`` tiles.
 
-    Gaps are closed and the tiles dilated first. Tiles become runs, runs are joined within bands of BAND rows, and labels that meet at a border of
+    Gaps are closed and the tiles dilated first. Within bands of BAND rows tiles are grown, become runs and are joined, and labels that meet at a border of
     bands are joined once a page: there are no rounds, however long a region is. ``region`` is the number of its first tile. Regions don't
     join across pages; closing and dilation aren't cut at a page's edge, so size and box count the margin there too.
     """
 
     def make():
-        tiles = _spread(_closed(changed, close), dilate) if dilate else _closed(changed, close)
-        labelled = keep(_labelled(tile_runs(tiles)), "runs")
+        labelled = keep(_labelled(changed, close, dilate), "runs")
         roots = _contracted(labelled)
         if roots is not None:
             labelled = labelled.join(roots, [*KEY, "label"], "left").withColumn("label", F.coalesce("root", "label"))
