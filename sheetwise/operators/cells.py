@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions import geometry as G
@@ -59,15 +59,41 @@ def cell_ranking(scores: DataFrame, min_score: float = MIN_SCORE, min_margin: fl
     order = Window.partitionBy("cell_id", "representation").orderBy(F.desc("score"), "template")
     two = scores.withColumn("nth", F.row_number().over(order)).where("nth <= 2")
     entry = lambda k, r: F.max(F.when((F.col("nth") == k) & (F.col("representation") == r), F.struct("template", "score")))
-    wide = two.groupBy("cell_id").agg(entry(1, PRIMARY).alias("one"), entry(2, PRIMARY).alias("two"), F.count_distinct(F.when(F.col("nth") == 1, F.col("template"))).alias("tops"), *(entry(1, r).alias(f"top_{r}") for r in REPRESENTATIONS))
-    margin = F.coalesce(F.col("one.score") - F.col("two.score"), F.col("one.score"), F.lit(0.0))
+    top = F.when(F.col("nth") == 1, F.col("template"))
+    wide = two.groupBy("cell_id").agg(entry(2, PRIMARY).alias("two"), *(entry(1, r).alias(f"top_{r}") for r in REPRESENTATIONS), (F.min(top) == F.max(top)).alias("same"))
+    return _verdict(wide, ["cell_id"], F.col("same"), min_score, min_margin, table)
+
+
+def _verdict(wide: DataFrame, keys: list[str], same: Column, min_score: float, min_margin: float, table: bool) -> DataFrame:
+    """``keys`` and the columns of ``cell_ranking``, of the best (template, score) of each representation, ``top_*``, and the primary's second, ``two``."""
+    one = f"top_{PRIMARY}"
+    margin = F.coalesce(F.col(f"{one}.score") - F.col("two.score"), F.col(f"{one}.score"), F.lit(0.0))
     beside = [c for r in REPRESENTATIONS for c in (F.col(f"top_{r}.template").alias(f"{r}_best"), F.round(f"top_{r}.score", 4).alias(f"{r}_score"))] if table else []
     t = wide.select(
-        "cell_id", F.col("one.template").alias("best"), F.col("one.score").alias("best_score"), F.col("two.template").alias("second"), F.col("two.score").alias("second_score"), margin.alias("margin"), (F.col("tops") == 1).alias("agreement"), *beside
+        *keys, F.col(f"{one}.template").alias("best"), F.col(f"{one}.score").alias("best_score"), F.col("two.template").alias("second"), F.col("two.score").alias("second_score"), margin.alias("margin"), F.coalesce(same, F.lit(False)).alias("agreement"), *beside
     )
     return t.withColumn("accepted", F.coalesce((F.col("best_score") >= min_score) & (F.col("margin") >= min_margin), F.lit(False)))
 
 
+def entry(template: Column, score: Column) -> Column:
+    """A template's score in the list of a cell. Lists sort by falling score (NaN first, null last), then template, as the rows of ``cell_ranking`` do."""
+    return F.struct(score.isNull().alias("missing"), (~F.isnan(score)).alias("number"), (-score).alias("fall"), template.alias("template"), score.alias("score"))
+
+
+def ranked_on_row(cells: DataFrame, min_score: float = MIN_SCORE, min_margin: float = MIN_MARGIN, table: bool = False) -> DataFrame:
+    """``cells`` with the columns of ``cell_ranking`` in place of its lists of scores: a cell is ranked on its own row, nothing is shuffled or sorted.
+
+    A list of ``entry`` for each representation, as ``scores_gray``, with all templates. A cell without a score has nulls and isn't accepted.
+    """
+    lists = {r: f"scores_{r}" for r in REPRESENTATIONS}
+    keys = [c for c in cells.columns if c not in lists.values()]
+    t = cells.withColumn(lists[PRIMARY], F.sort_array(lists[PRIMARY]))
+    top = lambda r: F.get(lists[r], F.lit(0)) if r == PRIMARY else F.array_min(lists[r])
+    t = t.select(*keys, F.get(lists[PRIMARY], F.lit(1)).alias("two"), *(top(r).alias(f"top_{r}") for r in REPRESENTATIONS))
+    tops = [F.col(f"top_{r}.template") for r in REPRESENTATIONS]
+    return _verdict(t, keys, F.least(*tops) == F.greatest(*tops), min_score, min_margin, table)
+
+
 def representation_table(scores: DataFrame) -> DataFrame:
     """(cell_id, best and score for each representation, agreement, accepted)."""
     table = [f"{r}_{c}" for r in REPRESENTATIONS for c in ("best", "score")]
@@ -86,9 +112,9 @@ def classified_order(ranking: DataFrame) -> DataFrame:
     return ranking.select("cell_id", "accepted", label.alias("label"), "best_score").orderBy(F.desc("accepted"), "label", F.desc("best_score"), "cell_id")
 
 
-def gdt_first_cell(cells: DataFrame, scores: DataFrame) -> DataFrame:
-    """(cell_id, best, best_score, verdict) of first cells; with one template the margin is the score."""
-    ranked = cell_ranking(scores.join(cells.where("is_first").select("cell_id").hint("merge"), "cell_id", "left_semi"))
+def gdt_first_cell(cells: DataFrame) -> DataFrame:
+    """(cell_id, best, best_score, verdict) of first cells, their scores on their row; with one template the margin is the score."""
+    ranked = ranked_on_row(cells.where("is_first"))
     return ranked.select("cell_id", "best", "best_score", F.when(F.col("accepted"), "validated").otherwise("rejected").alias("verdict"))
 
 

@@ -20,6 +20,14 @@ MIN_ASPECT, MAX_ASPECT = 0.5, 2.5
 SLACK, MAX_IOU, MAX_CONTAINED = 0.5, 0.5, 0.9
 SNAP = 0.5
 
+#: Parts for each core, at least, of what is dealt by page: a page's rows are few bytes in a shuffle and many cells behind it, so parts aren't merged by their bytes.
+DEALT = 4
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), DEALT * spark.sparkContext.defaultParallelism), "page_id")
+
 
 def segment_classify(strokes: DataFrame) -> DataFrame:
     """(page_id, axis, at, lo, hi): h strokes at their mean y, v strokes at their mean x, without the page border.
@@ -51,25 +59,35 @@ def merge_segments(segments: DataFrame, axis: str) -> DataFrame:
     t = t.withColumn("line", F.sum("new").over(rows))
     along = Window.partitionBy("page_id", "line").orderBy("lo", "hi")
     end = F.max("hi").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    t = t.withColumn("new", F.coalesce(F.col("lo") > end + MERGE_GAP, F.lit(True)).cast("int")).withColumn("at", F.avg("at").over(Window.partitionBy("page_id", "line")))
+    mean = F.avg("at").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    t = t.withColumns({"new": F.coalesce(F.col("lo") > end + MERGE_GAP, F.lit(True)).cast("int"), "at": mean})
     t = t.withColumn("piece", F.sum("new").over(along))
     return t.groupBy("page_id", "line", "piece").agg(F.min("at").alias("at"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("page_id", "at", "lo", "hi")
 
 
-def frame_connectors(h: DataFrame, v: DataFrame) -> DataFrame:
-    """(page_id, top, bottom, left, right, xs): pairs of h lines and the sorted places of the v lines that join them.
+def line_pairs(h: DataFrame) -> DataFrame:
+    """(page_id, top_id, bottom_id, top, bottom, left, right): pairs of h lines as far apart as a frame is high, with what they have in common.
 
-    The band join has the equi-keys page and a bucket of y as high as the tallest frame: a top looks
-    in its own bucket and the next, so a page's lines aren't all paired. Line ids keep equal pairs apart.
+    A window by height brings each line those below it, so a page's lines aren't all paired, and lines are made and sorted once, without a join.
+    Line ids keep equal pairs apart. The window reaches a point further than a frame may; the exact bounds follow.
     """
-    h = h.withColumn("line_id", F.row_number().over(Window.partitionBy("page_id").orderBy("at", "lo", "hi")))
-    bucket = F.floor(F.col("at") / MAX_HEIGHT)
-    tops = h.select("page_id", F.col("line_id").alias("top_id"), F.col("at").alias("top"), F.col("lo").alias("a0"), F.col("hi").alias("a1"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
-    bottoms = h.select("page_id", F.col("line_id").alias("bottom_id"), F.col("at").alias("bottom"), F.col("lo").alias("b0"), F.col("hi").alias("b1"), bucket.alias("bucket"))
+    page = Window.partitionBy("page_id")
+    lines = h.withColumn("line_id", F.row_number().over(page.orderBy("at", "lo", "hi")))
+    line = F.struct(F.col("line_id").alias("bottom_id"), F.col("at").alias("bottom"), F.col("lo").alias("b0"), F.col("hi").alias("b1"))
+    below = F.collect_list(line).over(page.orderBy("at").rangeBetween(int(MIN_HEIGHT) - 1, int(MAX_HEIGHT) + 1))
+    pairs = lines.withColumn("below", below).select("page_id", F.col("line_id").alias("top_id"), F.col("at").alias("top"), F.col("lo").alias("a0"), F.col("hi").alias("a1"), F.inline("below"))
     gap = F.col("bottom") - F.col("top")
-    pairs = tops.join(bottoms, ["page_id", "bucket"]).where((F.col("bottom_id") > F.col("top_id")) & (gap >= MIN_HEIGHT) & (gap <= MAX_HEIGHT))
-    pairs = pairs.select("page_id", "top_id", "bottom_id", "top", "bottom", F.greatest("a0", "b0").alias("left"), F.least("a1", "b1").alias("right")).where(F.col("right") - F.col("left") >= MIN_WIDTH)
-    found = line_crossings(pairs, v).groupBy("page_id", "top_id", "bottom_id", "top", "bottom", "left", "right").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    pairs = pairs.where((F.col("bottom_id") > F.col("top_id")) & (gap >= MIN_HEIGHT) & (gap <= MAX_HEIGHT))
+    return pairs.select("page_id", "top_id", "bottom_id", "top", "bottom", F.greatest("a0", "b0").alias("left"), F.least("a1", "b1").alias("right")).where(F.col("right") - F.col("left") >= MIN_WIDTH)
+
+
+def frame_connectors(h: DataFrame, v: DataFrame) -> DataFrame:
+    """(page_id, top_id, bottom_id, top, bottom, left, right, xs): pairs of h lines and the sorted places of the v lines that join them.
+
+    What squares have found is dealt by page, once for the lists and for all that follows by page.
+    """
+    keys = ["page_id", "top_id", "bottom_id", "top", "bottom", "left", "right"]
+    found = _dealt(line_crossings(line_pairs(h), v).select(*keys, "x")).groupBy(*keys).agg(F.sort_array(F.collect_list("x")).alias("xs"))
     return found.where(F.size("xs") >= MIN_CELLS + 1)
 
 
@@ -95,7 +113,7 @@ def spaced(xs):
 
 def connector_spacing(found: DataFrame) -> DataFrame:
     t = found.withColumn("xs", spaced(F.col("xs")))
-    return t.where(F.size("xs").between(MIN_CELLS + 1, MAX_CELLS + 1))
+    return t.where(F.size("xs").isin(*range(MIN_CELLS + 1, MAX_CELLS + 2)))
 
 
 def frame_cells(found: DataFrame) -> DataFrame:
@@ -266,7 +284,7 @@ def unique_cells(frames: DataFrame, page: Column) -> DataFrame:
     ``page`` is the page's number in its document, from 1; with the order in the page it makes the id.
     """
     cells = frames.select("page_id", "ord", "n_cells", F.posexplode("cells").alias("cell_index", "c")).select("page_id", "ord", "n_cells", "cell_index", "c.*")
-    place = [F.bround(F.col(c) / SNAP) for c in ("x0", "y0", "x1", "y1")]
+    place = [F.rint(F.col(c) / SNAP) for c in ("x0", "y0", "x1", "y1")]
     here = Window.partitionBy("page_id", *place).orderBy("ord", "cell_index")
     first = cells.withColumn("nth", F.row_number().over(here)).where("nth = 1")
     number = F.row_number().over(Window.partitionBy("page_id").orderBy("ord", "cell_index"))

@@ -161,3 +161,48 @@ def test_no_task_sorts_or_gathers_before_its_rows_are_dealt(spark):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         behind = plan.rstrip()[plan.rindex("Exchange"):] if name == "frame_signature_dedup" else plan.split("Exchange hashpartitioning")[-1]
         assert "repartition" in plan.lower() and not any(x in behind for x in ("Sort [", "Aggregate", "WindowGroupLimit")), name
+
+
+def test_cells_are_ranked_on_their_row(spark):
+    from sheetwise.plans import catalog
+
+    for name in ("gdt_cells", "gdt_first_cell"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        behind = plan[: plan.index("Exchange")]  # the last step that deals rows: squares have been met, a page's cells follow
+        assert "hashpartitioning(page_id" in plan[len(behind) :].splitlines()[0] and "Join" not in behind and "Scan" not in behind, name
+        assert "hashpartitioning(cell" not in plan and plan.count("WindowGroupLimit") == 1, name
+
+
+def test_ranking_on_the_row_and_of_rows(spark):
+    rnd, rows = random.Random(4), []
+    for c in range(200):
+        for r in cells.REPRESENTATIONS:
+            rows += [(c, r, f"t{k}", rnd.choice([0.5, 0.55, 0.67, 0.9, None, float("nan"), -0.1, 0.0])) for k in rnd.sample(range(6), rnd.choice([0, 1, 2, 5]))]
+    scores = spark.createDataFrame(rows, "cell_id long, representation string, template string, score double")
+    entry = cells.entry(F.col("template"), F.col("score"))
+    lists = scores.groupBy("cell_id").agg(*(F.collect_list(F.when(F.col("representation") == r, entry)).alias(f"scores_{r}") for r in cells.REPRESENTATIONS))
+    show = lambda t: {r.cell_id: str(r) for r in t.collect()}
+    want = show(cells.cell_ranking(scores, table=True))
+    assert len(want) > 150 and show(cells.ranked_on_row(lists, table=True)) == want
+    empty = spark.createDataFrame([(1,)], "cell_id long").select("cell_id", *(F.lit(None).cast(lists.schema[f"scores_{r}"].dataType).alias(f"scores_{r}") for r in cells.REPRESENTATIONS))
+    assert [(r.best, r.second, r.margin, r.agreement, r.accepted) for r in cells.ranked_on_row(empty).collect()] == [(None, None, 0.0, False, False)]
+
+
+def test_pairs_of_lines_against_loops(spark):
+    rnd, rows = random.Random(8), []
+    for page in range(6):
+        for _ in range(60):
+            at, lo = rnd.choice([30.0, 35.0, 70.0, 75.1, 34.9, 115.0, rnd.randint(30, 300) + 0.1]), float(rnd.randint(0, 60))
+            rows.append((page, at, lo, lo + rnd.choice([10.0, 15.0, 80.0])))
+    h = spark.createDataFrame(rows, "page_id long, at double, lo double, hi double")
+    got = sorted(tuple(r) for r in frames.line_pairs(h).select("page_id", "top_id", "bottom_id", "top", "bottom", "left", "right").collect())
+    want = []
+    for page in range(6):
+        lines = sorted(r[1:] for r in rows if r[0] == page)
+        for i, (top, a0, a1) in enumerate(lines):
+            for j, (bottom, b0, b1) in enumerate(lines[i + 1 :], i + 1):
+                if 5 <= bottom - top <= 40 and min(a1, b1) - max(a0, b0) >= 15:
+                    want.append((page, i + 1, j + 1, top, bottom, max(a0, b0), min(a1, b1)))
+    assert got == sorted(want) and len(want) > 500
+    plan = frames.line_pairs(h)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
